@@ -1 +1,6 @@
+"""All queries of the library by name."""
 
+from braidline.plans import contexts, exchanges, statistics
+
+QUERIES = {**contexts.R.queries, **exchanges.R.queries, **statistics.R.queries}
+ORACLES = {**contexts.R.oracles, **exchanges.R.oracles, **statistics.R.oracles}
