@@ -55,6 +55,12 @@ def maybe(table: tuple[Column, int], h: Column) -> Column:
     return F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
+def _short(words: Column, n: int, table: tuple[Column, int]) -> Column:
+    """Marks of all places whose n words may be a whole item of n words."""
+    found = F.filter(F.sequence(F.lit(0), F.size(words) - n), lambda i: maybe(table, gram(words, i, n)))
+    return F.transform(found, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.lit(None).cast("bigint").alias("h"), F.slice(words, i + 1, n).alias("near")))
+
+
 def scan(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", span: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """The saved (row, columns of docs but the text, n_words, marks) and the spans found: (row, start, n, items)."""
     windows = save(windows_of(bench, item_col, bench_text, span), "bench-windows")
@@ -86,10 +92,7 @@ def scan(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col:
     nothing = F.lit(None).cast("array<struct<at:int,n:int,h:bigint,near:array<string>>>")
     marks = [F.when(F.size(g) > 0, F.transform(picked, mark)).otherwise(nothing)]
     for n in lengths:
-        there = bitmap(windows.where(F.col("n") == n).select(gram(F.split("window", " "), F.lit(0), n).alias("h")).distinct())
-        found = F.filter(F.sequence(F.lit(0), F.size("w") - n), lambda i, n=n, t=there: maybe(t, gram(words, i, n)))
-        short = lambda i, n=n: F.struct(i.alias("at"), F.lit(n).alias("n"), F.lit(None).cast("bigint").alias("h"), F.slice(words, i + 1, n).alias("near"))
-        marks.append(F.when(F.size("w") >= n, F.transform(found, short)).otherwise(nothing))
+        marks.append(F.when(F.size("w") >= n, _short(words, n, bitmap(windows.where(F.col("n") == n).select(gram(F.split("window", " "), F.lit(0), n).alias("h")).distinct()))).otherwise(nothing))
     empty = F.array().cast("array<struct<at:int,n:int,h:bigint,near:array<string>>>")
     others = [c for c in rows.columns if c not in ("w", "g")]
     rows = save(rows.select(*others, F.size("w").cast("long").alias("n_words"), F.concat(*[F.coalesce(m, empty) for m in marks]).alias("marks")), "doc-marks")

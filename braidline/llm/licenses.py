@@ -25,7 +25,7 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A text without any of these, after A-Z are lower-cased, matches no rule and no base phrase.
 GATE = "|".join(
     ["licen[sc]", "copyright", "rights", "warrant", "spdx", "gnu", "gplv?", "cc0", "commons", "redistribut", "permission", "wtfpl", "noncommercial", "reproduced", "proprietary", "confidential", "unauthorized", "bsd", "0bsd"]
-    + [f"(?<![a-z0-9])[me]plv?{_GAP}?\\d", f"cc{_GAP}(?:by|zero)", f"public{_GAP}domain", f"use{_GAP}only", f"software{_GAP}foundation", f"provided{_GAP}as{_GAP}is", f"what{_GAP}the{_GAP}fuck"]
+    + [f"(?<![a-z0-9])[me]pl(?:{_GAP})?v?(?:{_GAP})?\\d", f"cc{_GAP}(?:by|zero)", f"public{_GAP}domain", f"use{_GAP}only", f"software{_GAP}foundation", f"provided{_GAP}as{_GAP}is", f"what{_GAP}the{_GAP}fuck"]
 )
 #: Base phrases: (words, label).
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -121,8 +121,8 @@ def signature_rules() -> list[tuple[int, int, int, str, str, str]]:
     add(4, 70, "copyright", r"copyright (?:c )?(?:19|20)\d\d", r"copyright c", r"copyrighted (?:material|work)")
     add(3, 80, "reserved", "some rights reserved", "no rights reserved", "all rights are reserved")
     add(4, 75, "proprietary", "proprietary and confidential", "confidential and proprietary", "may not be reproduced", "not for redistribution", "redistribution is prohibited", "redistribution prohibited", "unauthorized copying", "no part of this (?:publication|work|document|book) may be reproduced", "permission is required", "with permission of the copyright (?:holder|owner)", "by permission of the copyright (?:holder|owner)")
-    add(4, 75, "noncommercial", "for non ?commercial use only", "non ?commercial use only", "for personal use only", "for research use only", "noncommercial purposes only")
-    add(5, 50, "unspecified", "licensed under", "released under the", "license agreement", "end user license agreement", "this license", "open source license", "free license", "licence agreement", "subject to license", "under license from", "license terms")
+    add(4, 75, "noncommercial", "for non ?commercial use only", "non commercial use only", "noncommercial use only", "for personal use only", "for research use only", "noncommercial purposes only")
+    add(5, 50, "unspecified", "licensed under", "released under license", "license agreement", "end user license agreement", "this license", "open source license", "free license", "licence agreement", "subject to license", "under license from", "license terms")
     # The order of rules decides between equal intervals; optional words have no place of their own in a keyword.
     return [(i, p, sure, word.split("(")[0], pattern, label) for i, (p, sure, word, pattern, label) in enumerate(rules)]
 

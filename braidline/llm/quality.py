@@ -88,11 +88,9 @@ def host_rates(rows: DataFrame, host_col: str) -> DataFrame:
     if m.k and m.k > 1:
         spread = m["var"] - m["mean"] * (1 - m["mean"]) * m["inv"]  # what differs beyond binomial chance
         limit = m["mean"] * (1 - m["mean"])
-        if 0 < spread < limit:
-            size = limit / spread - 1
+        if limit > 0:  # hosts that differ by chance alone are pooled strongly, hosts that differ wholly by one row at least
+            size = 1000.0 if spread <= 0 else max(1.0, limit / spread - 1)
             alpha, beta = m["mean"] * size, (1 - m["mean"]) * size
-        elif limit > 0:  # hosts differ by chance alone: pool them strongly
-            alpha, beta = m["mean"] * 1000, (1 - m["mean"]) * 1000
     return hosts.withColumn("host_rate", (F.col("failed") + F.lit(float(alpha))) / (F.col("n") + F.lit(float(alpha + beta))))
 
 

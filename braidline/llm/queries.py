@@ -114,8 +114,8 @@ f AS (SELECT *, base_failed OR n_symbols > 0.25 * n_words OR n_dup_lines > 0.5 *
 h AS (SELECT source, count(*) AS n, count(*) FILTER (rule_failed) AS failed, count(*) FILTER (rule_failed) / count(*)::DOUBLE AS rate FROM f GROUP BY source),
 a AS (SELECT count(*) AS k, avg(rate) AS mean, var_samp(rate) AS v, avg(1.0::DOUBLE / n) AS inv FROM h),
 s AS (SELECT k, mean, mean * (1 - mean) AS lim, v - mean * (1 - mean) * inv AS spread FROM a),
-prior AS (SELECT CASE WHEN k > 1 AND spread > 0 AND spread < lim THEN mean * (lim / spread - 1) WHEN k > 1 AND lim > 0 THEN mean * 1000 ELSE {quality.PRIOR[0]} END AS alpha,
-                 CASE WHEN k > 1 AND spread > 0 AND spread < lim THEN (1 - mean) * (lim / spread - 1) WHEN k > 1 AND lim > 0 THEN (1 - mean) * 1000 ELSE {quality.PRIOR[1]} END AS beta FROM s)
+size AS (SELECT k, mean, lim, CASE WHEN spread <= 0 THEN 1000 ELSE greatest(1, lim / spread - 1) END AS size FROM s),
+prior AS (SELECT CASE WHEN k > 1 AND lim > 0 THEN mean * size ELSE {quality.PRIOR[0]} END AS alpha, CASE WHEN k > 1 AND lim > 0 THEN (1 - mean) * size ELSE {quality.PRIOR[1]} END AS beta FROM size)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND (SELECT (h.failed + alpha) / (h.n + alpha + beta) FROM prior) <= 0.8 AS kept
 FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source
