@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,27 @@ SHARD_IDS = 3_000_000
 #: Terms of the seed that are asked for: those of the highest weight.
 TERMS = 12
 K1, B = 1.2, 0.75
-#: Words of an encoder's memory.
-KNOWN = 300_000
+#: Words of an encoder's memory, about 250 bytes each.
+KNOWN = 600_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: itself where printable, else the next one beyond Latin-1."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Ids of texts, as bytes of little-endian 16-bit numbers, for a vocabulary that never joins words across white space.
 
-    Each word between ASCII white space is encoded by the tokenizer once and remembered: the
-    tokenizer's own result for the text, as it splits at white space before merging.
+    Each word between ASCII white space is encoded once and remembered. The result is the tokenizer's own for the text, as
+    it splits there before merging; it also splits between letters and marks, so that a word is its letters and
+    the ASCII marks behind them. Latin letters go to the merges directly, everything else through the whole tokenizer.
     """
 
+    MARKS = b".,!?;:#$%&*|-"
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -48,50 +59,61 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > KNOWN:
+        self.letters = byte_letters()
+
+    def whole(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint16).tobytes()
+
+    def letters_of(self, word: bytes) -> bytes:
+        """Ids of a word that holds no mark behind its letters."""
+        text = word.decode()
+        low = text.lower()
+        if not low.isalpha() or max(low) >= "\u0250":
+            return self.whole(word)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(low.encode().decode("latin-1").translate(self.letters))], np.uint16).tobytes()
+
+    def learn(self, word: bytes) -> bytes:
+        """Encode a word and remember it."""
+        if len(self.known) >= KNOWN:
             self.known.clear()
-        some = list(words)
-        for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint16).tobytes()
+        core = word.rstrip(self.MARKS)
+        if core and core != word and core[-1:].isalnum():
+            out = b"".join(self.known.get(x) or self.learn_part(x) for x in (core, word[len(core) :]))
+        else:
+            out = self.learn_part(word)
+        self.known[word] = out
+        return out
+
+    def learn_part(self, word: bytes) -> bytes:
+        out = self.known[word] = self.letters_of(word)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
+        out = []
         for t in texts:
             raw = (t or "").encode()
-            split.append(raw.split() if b"<|" in raw else raw.lower().split())
-        out: list[bytes] = []
-        start = 0
-        while start < len(split):
-            stop, missing = start, set()
-            while stop < len(split) and len(missing) < KNOWN // 4:
-                missing.update(w for w in split[stop] if w not in self.known)
-                stop += 1
-            before = self.known
-            if missing:
-                self.learn(missing)
-            get = self.known.__getitem__
-            for words in split[start:stop]:
-                try:
-                    out.append(b"".join(map(get, words)))
-                except KeyError:  # the memory was emptied: these words were in it
-                    self.learn({w for w in words if w not in before or w not in self.known})
-                    out.append(b"".join(map(self.known.__getitem__, words)))
-            start = stop
+            words = raw.split() if b"<|" in raw else raw.lower().split()  # names of special tokens have a case
+            get, learn = self.known.get, self.learn
+            out.append(b"".join([get(w) or learn(w) for w in words]))
         return out
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process: what its tasks have learned is kept, up to KNOWN words."""
+    return Encoder(path)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): ids with the end id, as bytes of 16-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         end = np.array([END], np.uint16).tobytes()
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
+                ids = [x + end for x in encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
