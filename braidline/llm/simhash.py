@@ -211,12 +211,15 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Min-hash values to a band and bands: at similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** 4) ** 14 = 0.9994.
 BAND, BANDS = 4, 14
-#: Members of a key whose pairs are all compared; of larger ones each member is compared with HUBS of them.
-SMALL, HUBS = 24, 2
+#: Members of a key whose pairs are all verified; of larger ones, each member is verified against the centres of its neighbourhood.
+SMALL = 24
+#: Min-hash values that two members must share for their pair to be verified: a pair of similarity 0.8 shares
+#: fewer than this share of BAND * BANDS values with a probability of 0.002.
+ALIKE = 0.64
 
 
-def _bands(h: np.ndarray) -> list[int]:
-    """A key for each band of min-hash values of the distinct shingle hashes h."""
+def _bands(h: np.ndarray) -> tuple[list[int], bytes]:
+    """Of the distinct shingle hashes h: a key for each band of min-hash values, and a byte of each value."""
     rng = np.random.default_rng(SEED)
     mul = rng.integers(1, 1 << 63, BAND * BANDS, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 1 << 63, BAND * BANDS, dtype=np.uint64)
@@ -225,7 +228,32 @@ def _bands(h: np.ndarray) -> list[int]:
         if len(part):
             x = part[:, None] * mul[None, :] + add[None, :]
             low = np.minimum(low, (x ^ (x >> np.uint64(32))).min(0))
-    return [_signed(xxhash.xxh64_intdigest(low[i * BAND : (i + 1) * BAND].tobytes(), seed=i)) for i in range(BANDS)]
+    keys = [_signed(xxhash.xxh64_intdigest(low[i * BAND : (i + 1) * BAND].tobytes(), seed=i)) for i in range(BANDS)]
+    return keys, (low & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def stars(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (centre, member) to verify among many members of one key, from their min-hash bytes.
+
+    A group of edited copies has its original in its middle: the centre is the member closest to the most frequent
+    values. Whoever is alike to it is paired with it and leaves; the rest goes on with a centre of its own. Those who
+    leave are also paired with the next centre where they are alike to it, so that neighbourhoods meet.
+    """
+    left, a, b = np.arange(len(sigs)), [], []
+    need = int(ALIKE * sigs.shape[1])
+    while len(left) > 1:
+        here = sigs[left]
+        counts = np.zeros((sigs.shape[1], 256), np.int64)
+        for i in range(sigs.shape[1]):
+            counts[i] = np.bincount(here[:, i], minlength=256)
+        centre = left[(here == counts.argmax(1)[None, :]).sum(1).argmax()]
+        alike = (sigs == sigs[centre]).sum(1) >= need
+        alike[centre] = False
+        members = np.flatnonzero(alike)
+        a.append(np.full(len(members), centre))
+        b.append(members)
+        left = left[~alike[left] & (left != centre)]
+    return np.concatenate(a) if a else np.array([], np.int64), np.concatenate(b) if b else np.array([], np.int64)
 
 
 def _set_similarity(a: bytes, b: bytes) -> float:
@@ -244,24 +272,28 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sets, fps, bands = [], [], [], []
+            ids, sets, fps, bands, sigs = [], [], [], [], []
             for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 h = hashes(x.as_py(), k)
                 s = np.unique(h)
                 ids.append(i)
                 fps.append(_signed(fingerprint(h)))
                 sets.append(s.tobytes())
-                bands.append(_bands(s) if len(s) else [0])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "fp", "shingles", "bands"])
+                keys, sig = _bands(s)
+                bands.append(keys if len(s) else [0])
+                sigs.append(sig)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "fp", "shingles", "bands", "sig"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    made = slim.mapInArrow(run, f"doc_id {kind}, fp bigint, shingles binary, bands array<bigint>")
+    made = slim.mapInArrow(run, f"doc_id {kind}, fp bigint, shingles binary, bands array<bigint>, sig binary")
     rows = save(made.withColumn("node", F.xxhash64("shingles")), "shingle-rows")
     # Equal sets are one node, whatever the number of their documents.
-    nodes = save(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "shingle-nodes")
+    nodes = save(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "shingle-nodes")
     keyed = nodes.select(F.explode("bands").alias("key"), "node", "fp")
-    pairs = save(_band_pairs(keyed, r).distinct(), "shingle-pairs")
+    found = save(_band_pairs(keyed, r), "shingle-pairs")
+    large = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("node")).join(nodes.select("node", "fp", "sig"), "node")
+    pairs = save(found.where("not large").select("a", "b").union(_star_pairs(large, r)).distinct(), "shingle-pairs")
     one = rows.groupBy("node").agg(F.first("shingles").alias("s"))
     ends = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(one, "node"), "shingle-ends")
 
@@ -277,30 +309,56 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.select("doc_id", "node").join(named.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
+def _grouped(keyed: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """run over the rows of keyed (key, node, ...), sorted by key and node within tasks."""
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+
+
+def _bounds(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last-plus-one places of the runs of two or more equal keys."""
+    edge = np.flatnonzero(np.diff(key)) + 1
+    start, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
+    yield from zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True)
+
+
 def _band_pairs(keyed: DataFrame, r: int) -> DataFrame:
-    """(a, b): nodes to verify among the members of each key."""
+    """(a, b, large): nodes to verify among the members of small keys; of large ones, a is the key and b each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, fp in _members(batches):
-            fps = fp.view(np.uint64)
-            edge = np.flatnonzero(np.diff(key)) + 1
-            start, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
-            left, right = [], []
-            for s, e in zip(start[end - start > 1], end[end - start > 1], strict=True):
-                n = e - s
-                if n <= SMALL:
-                    i, j = np.triu_indices(n, 1)
+            fps, i, j, big = fp.view(np.uint64), [], [], []
+            for s, e in _bounds(key):
+                if e - s <= SMALL:
+                    x, y = np.triu_indices(e - s, 1)
+                    i.append(s + x)
+                    j.append(s + y)
                 else:
-                    hubs = np.arange(HUBS)
-                    i, j = np.repeat(hubs, n), np.tile(np.arange(n), HUBS)
-                    i, j = i[i < j], j[i < j]
-                left.append(s + i)
-                right.append(s + j)
-            if left:
-                i, j = np.concatenate(left), np.concatenate(right)
-                stay = near(spread(fps), fps, i, j, r)
-                yield pa.RecordBatch.from_arrays([pa.array(node[i[stay]], pa.int64()), pa.array(node[j[stay]], pa.int64())], names=["a", "b"])
+                    big.append(np.arange(s, e))
+            for x, y, large in ((i, j, False), (big, big, True)):
+                if x:
+                    x, y = np.concatenate(x), np.concatenate(y)
+                    if not large:
+                        stay = near(spread(fps), fps, x, y, r)
+                        x, y = x[stay], y[stay]
+                    yield pa.RecordBatch.from_arrays([pa.array((key if large else node)[x], pa.int64()), pa.array(node[y], pa.int64()), pa.array(np.full(len(x), large))], names=["a", "b", "large"])
 
-    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(parts, "key").sortWithinPartitions("key", "node")
-    return dealt.select("key", "node", "fp").mapInArrow(run, "a bigint, b bigint")
+    return _grouped(keyed.select("key", "node", "fp"), run, "a bigint, b bigint, large boolean")
+
+
+def _star_pairs(keyed: DataFrame, r: int) -> DataFrame:
+    """(a, b): nodes to verify among the members (key, node, fp, sig) of large keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, fp, sig in _members(batches):
+            fps, i, j = fp.view(np.uint64), [], []
+            for s, e in _bounds(key):
+                x, y = stars(np.frombuffer(b"".join(sig[s:e]), np.uint8).reshape(e - s, -1))
+                i.append(s + x)
+                j.append(s + y)
+            if i:
+                x, y = np.concatenate(i), np.concatenate(j)
+                stay = near(spread(fps), fps, x, y, r)
+                yield pa.RecordBatch.from_arrays([pa.array(node[x[stay]], pa.int64()), pa.array(node[y[stay]], pa.int64())], names=["a", "b"])
+
+    return _grouped(keyed.select("key", "node", "fp", "sig"), run, "a bigint, b bigint")

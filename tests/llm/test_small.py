@@ -247,6 +247,23 @@ def test_near_documents(spark, empty, sf_dir):
     assert simhash.near_documents(empty).count() == 0
 
 
+def test_many_edited_copies_of_one_document(spark):
+    """Copies that are alike to their original, hardly to each other, in keys of many members."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(500, " ".join(base))]
+    for d in range(400):
+        w = list(base)
+        for i in rng.choice(300, 5, replace=False):
+            w[i] = f"e{d}x{i}"
+        rows.append((d, " ".join(w)))
+    rows += [(1000 + d, " ".join(f"o{d}y{i}" for i in range(100))) for d in range(50)]
+    near = {d for d, t in rows if len(shingle_set(t) & shingle_set(rows[0][1])) >= 0.8 * len(shingle_set(t) | shingle_set(rows[0][1]))}
+    got = {r.doc_id: r.component_id for r in simhash.near_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(near) > 300 and sum(got[d] == got[500] for d in near) >= 0.99 * len(near)
+    assert all(got[d] == d for d in range(1000, 1050))
+
+
 def test_quality(docs, empty):
     assert quality.quality_rules(empty).count() == 0
     out = quality.quality_rules(docs.withColumn("kept", F.lit(1)).withColumn("host__x", F.lit(1)), keep=["doc_id", "text"]).collect()
