@@ -1,6 +1,6 @@
 """All queries of the library by name."""
 
-from braidline.plans import contexts, decisions, exchanges, statistics
+from braidline.plans import contexts, decisions, exchanges, statistics, traces
 
-QUERIES = {**contexts.R.queries, **exchanges.R.queries, **decisions.R.queries, **statistics.R.queries}
-ORACLES = {**contexts.R.oracles, **exchanges.R.oracles, **decisions.R.oracles, **statistics.R.oracles}
+QUERIES = {**contexts.R.queries, **exchanges.R.queries, **decisions.R.queries, **statistics.R.queries, **traces.R.queries}
+ORACLES = {**contexts.R.oracles, **exchanges.R.oracles, **decisions.R.oracles, **statistics.R.oracles, **traces.R.oracles}
