@@ -114,12 +114,11 @@ def spread(fps: np.ndarray) -> np.ndarray:
 
 def near(table: np.ndarray, fps: np.ndarray, i: np.ndarray, j: np.ndarray, r: int) -> np.ndarray:
     """Which pairs (i, j) are within r bits: pivots discard, the fingerprints verify."""
-    stay = np.ones(len(i), bool)
     at = np.arange(len(i))
     for p in range(table.shape[1]):
         at = at[np.abs(table[i[at], p] - table[j[at], p]) <= r]
-    stay[:] = False
     at = at[np.bitwise_count(fps[i[at]] ^ fps[j[at]]) <= r]
+    stay = np.zeros(len(i), bool)
     stay[at] = True
     return stay
 
@@ -173,7 +172,8 @@ def link_members(keyed: DataFrame, r: int, linker: Callable[[np.ndarray, int], l
             a, b = [], []
             two = start[size == 2]  # most keys by far
             if len(two):
-                hit = near(spread(fps), fps, two, two + 1, r) if len(two) > len(fps) // 8 else np.bitwise_count(fps[two] ^ fps[two + 1]) <= r
+                both, n = fps[np.concatenate([two, two + 1])], len(two)
+                hit = near(spread(both), both, np.arange(n), np.arange(n, 2 * n), r)
                 a.append(fp[two[hit]])
                 b.append(fp[two[hit] + 1])
             for s, e in zip(start[size > 2], end[size > 2], strict=True):
