@@ -270,39 +270,43 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     than 20 with a probability of 0.0007.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sets, fps, bands, sigs = [], [], [], [], []
-            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            nodes, fps, bands, sigs = [], [], [], []
+            for x in b.column(2):
                 h = hashes(x.as_py(), k)
                 s = np.unique(h)
-                ids.append(i)
-                fps.append(_signed(fingerprint(h)))
-                sets.append(s.tobytes())
                 keys, sig = _bands(s)
+                nodes.append(_signed(xxhash.xxh64_intdigest(s.tobytes())))
+                fps.append(_signed(fingerprint(h)))
                 bands.append(keys if len(s) else [0])
                 sigs.append(sig)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "fp", "shingles", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "text_hash", "node", "fp", "bands", "sig"])
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(hashes(x.as_py(), k)).tobytes() for x in b.column(1)], pa.binary())], names=["node", "s"])
+
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    made = slim.mapInArrow(run, f"doc_id {kind}, fp bigint, shingles binary, bands array<bigint>, sig binary")
-    rows = save(made.withColumn("node", F.xxhash64("shingles")), "shingle-rows")
+    rows = save(slim.mapInArrow(sketch, f"doc_id {kind}, text_hash bigint, node bigint, fp bigint, bands array<bigint>, sig binary"), "shingle-rows")
     # Equal sets are one node, whatever the number of their documents.
-    nodes = save(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "shingle-nodes")
+    nodes = save(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "shingle-nodes")
     keyed = nodes.select(F.explode("bands").alias("key"), "node", "fp")
     found = save(_band_pairs(keyed, r), "shingle-pairs")
     large = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("node")).join(nodes.select("node", "fp", "sig"), "node")
     pairs = save(found.where("not large").select("a", "b").union(_star_pairs(large, r)).distinct(), "shingle-pairs")
-    one = rows.groupBy("node").agg(F.first("shingles").alias("s"))
-    ends = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(one, "node"), "shingle-ends")
+    # Shingle sets only of what is verified, made again from one text of each node.
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
+    texts = slim.select("text_hash", "text").join(ends, "text_hash").groupBy("node").agg(F.first("text").alias("text"))
+    ends = save(texts.select("node", "text").mapInArrow(sets_of, "node bigint, s binary"), "shingle-ends")
 
     @F.udf("double", useArrow=True)
     def alike(a: bytes, b: bytes) -> float:
         return _set_similarity(a, b)
 
-    sets = pairs.join(ends.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(ends.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    links = save(sets.where(alike("sa", "sb") >= similarity).select("a", "b"), "shingle-links")
+    both = pairs.join(ends.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(ends.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    links = save(both.where(alike("sa", "sb") >= similarity).select("a", "b"), "shingle-links")
     roots = components(links, "shingle-components")
     named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
