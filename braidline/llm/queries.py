@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidline.llm import decontaminate, hmm, html_text, language, licenses, line_dedup, packing, quality, simhash
+from braidline.llm import decontaminate, hmm, html_text, language, licenses, line_dedup, packing, quality, simhash, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op4_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -53,7 +57,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_hmm_scores, op2_decontamination, op3_retrieval_packing, op5_license_scan, op6_language_id, op7_simhash_dedup, op8_host_quality, op9_line_dedup, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_hmm_scores, op2_decontamination, op3_retrieval_packing, op4_token_attribution, op5_license_scan, op6_language_id, op7_simhash_dedup, op8_host_quality, op9_line_dedup, op10_main_text)}
 
 # SQL for DuckDB.
 

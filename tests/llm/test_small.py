@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from braidline.llm import decontaminate, hmm, html_text, language, licenses, line_dedup, packing, quality, simhash
+from braidline.llm import decontaminate, hmm, html_text, language, licenses, line_dedup, packing, quality, simhash, token_counts
 from braidline.llm.common import byte_text, components, words_of
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -408,6 +408,37 @@ def test_bm25_against_brute_force(monkeypatch):
         assert np.allclose([score[i] for i in got], best, rtol=1e-3)
 
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts(spark, docs, empty, rule):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    reference.encode_special_tokens = True
+    more = spark.createDataFrame([(900 + i, t, "en", "s", 1) for i, t in enumerate(["a\n\n\n  b\n", "\n\n", "x \n \n y<|endoftext|>", "日本\n語 😀\n\n😀"])], DOCS)
+    rows = docs.union(more)
+    want = []
+    for r in rows.collect():
+        text = r.text or ""
+        lines = text.split("\n")
+        starts = [sum(len(x) + 1 for x in lines[:i]) for i in range(len(lines))] if len(lines) < 50 else None
+        owner = [i for i, x in enumerate(lines) for _ in range(len(x) + (i < len(lines) - 1))]
+        tokens, crossing = Counter(), Counter()
+        offsets = reference.encode(text, add_special_tokens=False).offsets
+        for a, b in offsets:
+            held = Counter(owner[a : max(b, a + 1)])
+            to = {"first": min(held), "last": max(held), "largest": min(held, key=lambda s: (-held[s], s))}[rule]
+            tokens[to] += 1
+            crossing[to] += len(held) > 1
+        want += [str((r.doc_id, i, starts[i], tokens[i], crossing[i], len(offsets))) for i in range(len(lines))]
+    out = token_counts.count_tokens(rows.withColumn("section", F.lit(1)), RANKS, public_tokenizers.PATTERN, rule=rule).collect()
+    assert sorted(want) == sorted(str((r.doc_id, r.section, r.start, r.n_tokens, r.n_crossing, r.doc_tokens)) for r in out)
+    assert sum(r.n_crossing for r in out) > 0
+    assert token_counts.count_tokens(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">A</a></li></ul></nav><div class="ad">Buy now</div>
 <article><h1>Head &amp; Title</h1><p><b>First<br>line<br><p>One   two&nbsp;three.</p><ul><li>x<li>y</ul><p>Last</article>
