@@ -61,6 +61,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most `rows` rows, those of the smallest hashes of the columns key.
+
+    A sort with a limit would send that many rows of every task to the driver. So only the lowest share of the
+    hashes, that four times as many rows may be expected in, is sorted at all.
+    """
+    h = F.xxhash64(*key)
+    share = 4 * rows / max(1, df.count())
+    some = df.where(h < F.lit(int(share * 2**64) - 2**63)) if share < 1 else df
+    return some.orderBy(h, *key).limit(rows)
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 40) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the component's smallest node.
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidline.llm.common import hash_sample
+
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea title select datalist audio video".split())
@@ -346,8 +348,8 @@ def train(sample: list[str], seed: int = 11) -> Labeller:
 
 def sample_of(pages: DataFrame, id_col: str, html_col: str, rows: int = SAMPLE, longest: int = 200_000) -> list[str]:
     """At most `rows` pages of at most `longest` characters, by the smallest hash of id and html."""
-    some = pages.select(F.col(html_col).alias("html"), F.xxhash64(id_col, html_col).alias("h")).where(F.length("html").between(1, longest))
-    return [r.html for r in some.orderBy("h").limit(rows).select("html").collect()]
+    some = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.length("html").between(1, longest))
+    return [r.html for r in hash_sample(some, rows, "id", "html").select("html").collect()]
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
