@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidline.llm.common import components, save
@@ -211,11 +211,15 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Min-hash values to a band and bands: at similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** 4) ** 14 = 0.9994.
 BAND, BANDS = 4, 14
-#: Members of a key whose pairs are all verified; of larger ones, each member is verified against the centres of its neighbourhood.
+#: Members of a key whose pairs are all verified at once; of larger ones, each member is first verified against the
+#: centres of its neighbourhood, then against all members that it is not connected with.
 SMALL = 24
-#: Min-hash values that two members must share for their pair to be verified: a pair of similarity 0.8 shares
-#: fewer than this share of BAND * BANDS values with a probability of 0.002.
+#: Share of min-hash values that a member must have in common with a centre to be verified against it.
 ALIKE = 0.64
+#: Members and shingles of a block of a large key: a task compares two blocks at a time.
+CUT, CUT_SHINGLES = 512, 1 << 20
+#: Shingles whose occurrences are multiplied at a time.
+COLUMNS = 4096
 
 
 def _bands(h: np.ndarray) -> tuple[list[int], bytes]:
@@ -272,7 +276,7 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, fps, bands, sigs = [], [], [], []
+            nodes, fps, bands, sigs, sizes = [], [], [], [], []
             for x in b.column(2):
                 h = hashes(x.as_py(), k)
                 s = np.unique(h)
@@ -281,7 +285,8 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 fps.append(_signed(fingerprint(h)))
                 bands.append(keys if len(s) else [0])
                 sigs.append(sig)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "text_hash", "node", "fp", "bands", "sig"])
+                sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "node", "fp", "bands", "sig", "size"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -289,17 +294,21 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    rows = save(slim.mapInArrow(sketch, f"doc_id {kind}, text_hash bigint, node bigint, fp bigint, bands array<bigint>, sig binary"), "shingle-rows")
+    rows = save(slim.mapInArrow(sketch, f"doc_id {kind}, text_hash bigint, node bigint, fp bigint, bands array<bigint>, sig binary, size bigint"), "shingle-rows")
     # Equal sets are one node, whatever the number of their documents.
-    nodes = save(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "shingle-nodes")
+    nodes = save(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("size").alias("size")), "shingle-nodes")
     keyed = nodes.select(F.explode("bands").alias("key"), "node", "fp")
     found = save(_band_pairs(keyed, r), "shingle-pairs")
     large = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("node")).join(nodes.select("node", "fp", "sig"), "node")
     pairs = save(found.where("not large").select("a", "b").union(_star_pairs(large, r)).distinct(), "shingle-pairs")
-    # Shingle sets only of what is verified, made again from one text of each node.
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
-    texts = slim.select("text_hash", "text").join(ends, "text_hash").groupBy("node").agg(F.first("text").alias("text"))
-    ends = save(texts.select("node", "text").mapInArrow(sets_of, "node bigint, s binary"), "shingle-ends")
+
+    def sets(of: DataFrame) -> DataFrame:
+        """(node, s): shingle sets only of what is verified, made again from one text of each node."""
+        ends = of.distinct().join(nodes.select("node", "text_hash"), "node")
+        texts = slim.select("text_hash", "text").join(ends, "text_hash").groupBy("node").agg(F.first("text").alias("text"))
+        return save(texts.select("node", "text").mapInArrow(sets_of, "node bigint, s binary"), "shingle-ends")
+
+    ends = sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
     @F.udf("double", useArrow=True)
     def alike(a: bytes, b: bytes) -> float:
@@ -307,8 +316,14 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     both = pairs.join(ends.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(ends.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     links = save(both.where(alike("sa", "sb") >= similarity).select("a", "b"), "shingle-links")
-    roots = components(links, "shingle-components")
-    named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    roots = save(nodes.join(components(links, "shingle-components"), "node", "left").select("node", "first", "size", F.coalesce("root", "node").alias("root")), "shingle-roots")
+    # Members of large keys that are still apart: all their pairs, in blocks.
+    apart = save(_block_pairs(found.where("large").select(F.col("a").alias("key"), F.col("b").alias("node")).join(roots.drop("first"), "node"), similarity), "shingle-blocks")
+    named = roots
+    if not apart.isEmpty():
+        more = save(_block_links(apart.join(sets(apart.select("node")), "node"), similarity), "shingle-links")
+        joined = components(more, "shingle-components").select(F.col("node").alias("root"), F.col("root").alias("joined"))
+        named = roots.join(joined, "root", "left").select("node", "first", F.coalesce("joined", "root").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.select("doc_id", "node").join(named.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
@@ -366,3 +381,61 @@ def _star_pairs(keyed: DataFrame, r: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node[x[stay]], pa.int64()), pa.array(node[y[stay]], pa.int64())], names=["a", "b"])
 
     return _grouped(keyed.select("key", "node", "fp", "sig"), run, "a bigint, b bigint")
+
+
+def _block_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(key, i, j, block, node, root, size): the members (key, node, size, root) of large keys, once for each pair of blocks
+    (i, j) of their key that is to be compared.
+
+    Left out are only pairs of blocks of one root, and those whose sizes are too unlike for the similarity, which is at
+    most the ratio of the sizes. Large groups of one root get blocks of their own; the rest is cut by size.
+    """
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    counted = members.join(mixed, "key").withColumn("own", F.count("*").over(Window.partitionBy("key", "root")) >= CUT // 2)
+    order = Window.partitionBy("key").orderBy(F.desc("own"), F.when(F.col("own"), F.col("root")), "size", "node")
+    place, before = F.row_number().over(order) - 1, F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = save(counted.withColumn("block", F.floor(place / CUT) + F.floor(before / CUT_SHINGLES)).drop("own"), "shingle-placed")
+    blocks = placed.groupBy("key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"))
+    x, y = (blocks.select("key", *[F.col(c).alias(f"{c}_{n}") for c in blocks.columns[1:]]) for n in "ij")
+    fits = (F.col("most_i") >= similarity * F.col("least_j")) & (F.col("most_j") >= similarity * F.col("least_i"))
+    apart = F.least("low_i", "low_j") < F.greatest("high_i", "high_j")
+    both = x.join(y, "key").where((F.col("block_i") <= F.col("block_j")) & fits & apart).select("key", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+    return placed.join(both.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), ["key", "block"])
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Common values of each set of x with each of y."""
+    values, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row, cut = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)]), sum(len(s) for s in x)
+    here = np.bincount(at[:cut], minlength=len(values)).astype(bool) & np.bincount(at[cut:], minlength=len(values)).astype(bool)
+    column = (np.cumsum(here) - 1)[at]
+    row, column = row[here[at]], column[here[at]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    out = np.zeros((len(x), len(y)))
+    for start in range(0, int(here.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        some = np.zeros((len(x) + len(y), COLUMNS), np.float32)
+        some[row[a:b], column[a:b] - start] = 1
+        out += some[: len(x)] @ some[len(x) :].T
+    return out
+
+
+def _block_links(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the roots that members (key, i, j, block, node, root, size, s) of each two blocks link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, root, size = (table[c].to_numpy() for c in ("block", "root", "size"))
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["s"]]
+        x, y = np.flatnonzero(block == table["i"][0].as_py()), np.flatnonzero(block == table["j"][0].as_py())
+        asked = (root[x][:, None] != root[y][None, :]) & (np.minimum.outer(size[x], size[y]) >= similarity * np.maximum.outer(size[x], size[y]))
+        rows, columns = asked.any(1), asked.any(0)
+        x, y, asked = x[rows], y[columns], asked[rows][:, columns]
+        links = np.zeros((0, 2), np.int64)
+        if len(x):
+            both = _common([sets[i] for i in x], [sets[i] for i in y])
+            i, j = np.nonzero(asked & (both / np.maximum(1, np.add.outer(size[x], size[y]) - both) >= similarity))
+            links = np.unique(np.sort(np.stack([root[x[i]], root[y[j]]], 1), 1), axis=0)
+        return pa.table({"a": links[:, 0], "b": links[:, 1]})
+
+    return members.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()

@@ -247,6 +247,48 @@ def test_near_documents(spark, empty, sf_dir):
     assert simhash.near_documents(empty).count() == 0
 
 
+def band_classes(rows):
+    """The smallest doc_id of each row's class, by comparing every pair that shares a min-hash band."""
+    sets = [np.unique(simhash.hashes(t, 5)) for _, t in rows]
+    bands = [simhash._bands(s)[0] if len(s) else [0] for s in sets]
+    keys = {}
+    for i, b in enumerate(bands):
+        for k in b:
+            keys.setdefault(k, []).append(i)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in {(i, j) for m in keys.values() for n, j in enumerate(m) for i in m[:n]}:
+        if find(i) != find(j):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= 0.8 * max(1, len(sets[i]) + len(sets[j]) - both):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    first = {}
+    for i, (d, _) in enumerate(rows):
+        first[find(i)] = min(d, first.get(find(i), d))
+    return {d: first[find(i)] for i, (d, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("edits, back", [(4, 1), (6, 600)])
+def test_chains_and_trees_of_copies(spark, monkeypatch, edits, back):
+    """Each copy is edited from one of the `back` before it: few are alike to a common centre, and no link is lost."""
+    monkeypatch.setattr(simhash, "CUT", 64)
+    rng = np.random.default_rng(edits)
+    texts = [[f"w{i}" for i in range(300)]]
+    for d in range(1, 600):
+        w = list(texts[rng.integers(max(0, d - back), d)])
+        for i in rng.choice(300, edits, replace=False):
+            w[i] = f"e{d}x{i}"
+        texts.append(w)
+    rows = [(d, " ".join(w)) for d, w in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.near_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == band_classes(rows)
+
+
 def test_many_edited_copies_of_one_document(spark):
     """Copies that are alike to their original, hardly to each other, in keys of many members."""
     rng = np.random.default_rng(8)
