@@ -10,8 +10,8 @@ again, so that a key emits a spanning forest of its members' links, and dense gr
 near copies cost about their size. Components over the links of all keys give the classes.
 
 near_documents() serves documents by the similarity of their shingle sets instead, which few bits cannot
-reach: there, min-hash bands are the keys, the pivot tables and the fingerprints' distance discard pairs, and the
-shingle sets verify them.
+reach: there, min-hash bands are the keys, the sizes of the sets discard pairs that cannot be alike, and the
+shingle sets verify all others.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; fewer words than a
 shingle has are one shingle; rows with equal ids stay rows of their own; null ids are never the
@@ -266,27 +266,20 @@ def _set_similarity(a: bytes, b: bytes) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, r: int = 20) -> DataFrame:
-    """(doc_id, component_id): classes of documents linked by shingle sets of at least that similarity.
-
-    r: bits in which fingerprints of such documents may differ; pairs beyond are discarded. Two
-    sets of similarity 0.8 have a cosine of 0.89 and differ in 9.7 of 64 bits on average, in more
-    than 20 with a probability of 0.0007.
-    """
+def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): classes of documents linked by shingle sets of at least that similarity."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, fps, bands, sigs, sizes = [], [], [], [], []
+            nodes, bands, sigs, sizes = [], [], [], []
             for x in b.column(2):
-                h = hashes(x.as_py(), k)
-                s = np.unique(h)
+                s = np.unique(hashes(x.as_py(), k))
                 keys, sig = _bands(s)
                 nodes.append(_signed(xxhash.xxh64_intdigest(s.tobytes())))
-                fps.append(_signed(fingerprint(h)))
                 bands.append(keys if len(s) else [0])
                 sigs.append(sig)
                 sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "node", "fp", "bands", "sig", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "node", "bands", "sig", "size"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,13 +287,13 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    rows = save(slim.mapInArrow(sketch, f"doc_id {kind}, text_hash bigint, node bigint, fp bigint, bands array<bigint>, sig binary, size bigint"), "shingle-rows")
+    rows = save(slim.mapInArrow(sketch, f"doc_id {kind}, text_hash bigint, node bigint, bands array<bigint>, sig binary, size bigint"), "shingle-rows")
     # Equal sets are one node, whatever the number of their documents.
-    nodes = save(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("size").alias("size")), "shingle-nodes")
-    keyed = nodes.select(F.explode("bands").alias("key"), "node", "fp")
-    found = save(_band_pairs(keyed, r), "shingle-pairs")
-    large = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("node")).join(nodes.select("node", "fp", "sig"), "node")
-    pairs = save(found.where("not large").select("a", "b").union(_star_pairs(large, r)).distinct(), "shingle-pairs")
+    nodes = save(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("size").alias("size")), "shingle-nodes")
+    keyed = nodes.select(F.explode("bands").alias("key"), "node", "size")
+    found = save(_band_pairs(keyed, similarity), "shingle-pairs")
+    large = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("node")).join(nodes.select("node", "size", "sig"), "node")
+    pairs = save(found.where("not large").select("a", "b").union(_star_pairs(large, similarity)).distinct(), "shingle-pairs")
 
     def sets(of: DataFrame) -> DataFrame:
         """(node, s): shingle sets only of what is verified, made again from one text of each node."""
@@ -341,12 +334,17 @@ def _bounds(key: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True)
 
 
-def _band_pairs(keyed: DataFrame, r: int) -> DataFrame:
+def _fit(size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (i, j) can be that similar: two sets are at most as similar as the ratio of their sizes."""
+    return np.minimum(size[i], size[j]) / np.maximum(1, np.maximum(size[i], size[j])) >= similarity
+
+
+def _band_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
     """(a, b, large): nodes to verify among the members of small keys; of large ones, a is the key and b each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, fp in _members(batches):
-            fps, i, j, big = fp.view(np.uint64), [], [], []
+        for key, node, size in _members(batches):
+            i, j, big = [], [], []
             for s, e in _bounds(key):
                 if e - s <= SMALL:
                     x, y = np.triu_indices(e - s, 1)
@@ -358,29 +356,29 @@ def _band_pairs(keyed: DataFrame, r: int) -> DataFrame:
                 if x:
                     x, y = np.concatenate(x), np.concatenate(y)
                     if not large:
-                        stay = near(spread(fps), fps, x, y, r)
+                        stay = _fit(size, x, y, similarity)
                         x, y = x[stay], y[stay]
                     yield pa.RecordBatch.from_arrays([pa.array((key if large else node)[x], pa.int64()), pa.array(node[y], pa.int64()), pa.array(np.full(len(x), large))], names=["a", "b", "large"])
 
-    return _grouped(keyed.select("key", "node", "fp"), run, "a bigint, b bigint, large boolean")
+    return _grouped(keyed.select("key", "node", "size"), run, "a bigint, b bigint, large boolean")
 
 
-def _star_pairs(keyed: DataFrame, r: int) -> DataFrame:
-    """(a, b): nodes to verify among the members (key, node, fp, sig) of large keys."""
+def _star_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): nodes to verify among the members (key, node, size, sig) of large keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, fp, sig in _members(batches):
-            fps, i, j = fp.view(np.uint64), [], []
+        for key, node, size, sig in _members(batches):
+            i, j = [], []
             for s, e in _bounds(key):
                 x, y = stars(np.frombuffer(b"".join(sig[s:e]), np.uint8).reshape(e - s, -1))
                 i.append(s + x)
                 j.append(s + y)
             if i:
                 x, y = np.concatenate(i), np.concatenate(j)
-                stay = near(spread(fps), fps, x, y, r)
+                stay = _fit(size, x, y, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(node[x[stay]], pa.int64()), pa.array(node[y[stay]], pa.int64())], names=["a", "b"])
 
-    return _grouped(keyed.select("key", "node", "fp", "sig"), run, "a bigint, b bigint")
+    return _grouped(keyed.select("key", "node", "size", "sig"), run, "a bigint, b bigint")
 
 
 def _block_pairs(members: DataFrame, similarity: float) -> DataFrame:
@@ -397,7 +395,7 @@ def _block_pairs(members: DataFrame, similarity: float) -> DataFrame:
     placed = save(counted.withColumn("block", F.floor(place / CUT) + F.floor(before / CUT_SHINGLES)).drop("own"), "shingle-placed")
     blocks = placed.groupBy("key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"))
     x, y = (blocks.select("key", *[F.col(c).alias(f"{c}_{n}") for c in blocks.columns[1:]]) for n in "ij")
-    fits = (F.col("most_i") >= similarity * F.col("least_j")) & (F.col("most_j") >= similarity * F.col("least_i"))
+    fits = (F.col("most_i") / F.greatest(F.lit(1), "least_j") >= similarity) & (F.col("most_j") / F.greatest(F.lit(1), "least_i") >= similarity)
     apart = F.least("low_i", "low_j") < F.greatest("high_i", "high_j")
     both = x.join(y, "key").where((F.col("block_i") <= F.col("block_j")) & fits & apart).select("key", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
     return placed.join(both.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), ["key", "block"])
@@ -428,7 +426,7 @@ def _block_links(members: DataFrame, similarity: float) -> DataFrame:
         block, root, size = (table[c].to_numpy() for c in ("block", "root", "size"))
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["s"]]
         x, y = np.flatnonzero(block == table["i"][0].as_py()), np.flatnonzero(block == table["j"][0].as_py())
-        asked = (root[x][:, None] != root[y][None, :]) & (np.minimum.outer(size[x], size[y]) >= similarity * np.maximum.outer(size[x], size[y]))
+        asked = (root[x][:, None] != root[y][None, :]) & _fit(size, x[:, None], y[None, :], similarity)
         rows, columns = asked.any(1), asked.any(0)
         x, y, asked = x[rows], y[columns], asked[rows][:, columns]
         links = np.zeros((0, 2), np.int64)

@@ -247,6 +247,18 @@ def test_near_documents(spark, empty, sf_dir):
     assert simhash.near_documents(empty).count() == 0
 
 
+def test_repeated_phrases_do_not_part_copies(spark):
+    """Shingles that are repeated inside a text count once: all pairs of a band are verified but those whose sizes are too unlike."""
+    base, rows = [f"w{i}" for i in range(800)], []
+    for d in range(6):
+        phrase = " ".join([" ".join(f"r{d}x{i}" for i in range(5))] * 40)
+        rows.append((d, " ".join(base) + (" " + phrase if d else "")))
+    sets = [shingle_set(t) for _, t in rows]
+    assert all(len(a & b) >= 0.95 * len(a | b) for a in sets for b in sets)
+    got = {r.doc_id: r.component_id for r in simhash.near_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(got.values()) == {0}
+
+
 def band_classes(rows):
     """The smallest doc_id of each row's class, by comparing every pair that shares a min-hash band."""
     sets = [np.unique(simhash.hashes(t, 5)) for _, t in rows]
