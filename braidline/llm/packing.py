@@ -2,8 +2,8 @@
 
 Texts are encoded once. Documents are dealt to shards by a hash; each shard holds an inverted index
 over its documents' token ids with BM25 weights from the corpus's document frequencies and mean length. Window by
-window, a seed document asks the index for unused neighbours, best first, which fill the window
-greedily; the one that does not fit is cut, and its rest is the next seed. Where no neighbour
+window, a seed document asks the index with all its terms for unused neighbours, best first, until they
+have filled the window greedily; the one that does not fit is cut, and its rest is the next seed. Where no neighbour
 shares a term, the next unused document follows. Only a shard's last window can need padding.
 
 Defined results: a null or empty text is its end id alone; every document has at least that; rows with equal ids are
@@ -27,8 +27,10 @@ from braidline.llm.common import save
 WINDOW, END = 2048, 1
 #: Ids in a shard, about: the unit of one index in memory (40 bytes an id).
 SHARD_IDS = 3_000_000
-#: Terms of the seed that are asked for: those of the highest weight.
-TERMS = 12
+#: Terms of the seed that are asked for, at most: all of any vocabulary.
+TERMS = 1 << 16
+#: Share of a shard's documents from which on a term's weights are kept as a dense row.
+DENSE = 1 / 8
 K1, B = 1.2, 0.75
 #: Words of an encoder's memory, about 250 bytes each.
 KNOWN = 600_000
@@ -152,6 +154,11 @@ class Index:
         bound = np.searchsorted(self.doc[by_doc], np.arange(len(docs) + 1))
         self.terms_of = lambda i: by_doc[bound[i] : bound[i + 1]]
         self.size = len(docs)
+        self.dense = {}
+        for t in np.flatnonzero(np.diff(self.start) > DENSE * self.size):
+            a, b = self.start[t], self.start[t + 1]
+            self.dense[t] = np.zeros(self.size, np.float32)
+            self.dense[t][self.doc[a:b]] = self.weight[a:b]
 
     def neighbours(self, seed: int, unused: np.ndarray, most: int = 32) -> np.ndarray:
         """Unused documents by descending score, ties by place; none without a common term."""
@@ -159,7 +166,10 @@ class Index:
         if len(mine) > TERMS:
             mine = mine[np.argpartition(-self.weight[mine], TERMS)[:TERMS]]
         score = np.zeros(self.size, np.float32)
-        for t in self.term[mine]:
+        for t in self.term[mine].tolist():
+            if t in self.dense:
+                score += self.dense[t]
+                continue
             a, b = self.start[t], self.start[t + 1]
             score[self.doc[a:b]] += self.weight[a:b]
         score *= unused
@@ -196,15 +206,18 @@ def pack_shard(docs: list[np.ndarray], df: np.ndarray, count: int, mean: float,
             return pieces
         seed = after
         put(seed)
+        most = 32
         while filled:  # the seed of a window is the document that began it
-            for i in index.neighbours(seed, unused):
+            found = index.neighbours(seed, unused, most)
+            if not len(found):
+                break
+            most *= 2
+            for i in found:
                 before = sequence
                 put(int(i))
                 if sequence != before:
-                    seed = int(i)
+                    seed, most = int(i), 32
                     break
-            else:
-                break
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

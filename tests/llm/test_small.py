@@ -462,6 +462,22 @@ def test_bm25_against_brute_force(monkeypatch):
         assert np.allclose([score[i] for i in got], best, rtol=1e-3)
 
 
+def test_windows_take_all_neighbours_by_all_terms():
+    """Neighbours fill a window however short they are, and any common term makes one."""
+    rng = np.random.default_rng(6)
+    docs = [(rng.integers(0, 40, 10) + 100 * (i % 2) + 10).astype(np.uint16) for i in range(200)]
+    docs += [np.arange(1000, 1040).astype(np.uint16), np.array([1039, *[2000] * 30], np.uint16)]
+    df = np.zeros(1 << 16, np.int64)
+    for d in docs:
+        df[np.unique(d)] += 1
+    df[1039] = 150  # the seed's lightest term
+    mean = sum(map(len, docs)) / len(docs)
+    assert packing.Index(docs, df, len(docs), mean).neighbours(200, np.arange(202) != 200).tolist() == [201]
+    pieces = packing.pack_shard(docs[:200], df, 200, 10.0, 500)
+    topics = [{d % 2 for d, _, _, s, _ in pieces if s == n} for n in range(4)]
+    assert sorted(map(list, topics)) == [[0], [0], [1], [1]]
+
+
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
