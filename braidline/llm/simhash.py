@@ -268,6 +268,11 @@ def _set_similarity(a: bytes, b: bytes) -> float:
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): classes of documents linked by shingle sets of at least that similarity."""
+    return near_classes(docs, id_col, text_col, k, similarity).select("doc_id", "component_id")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text_hash, root, component_id) for each row: root names its class, also where no row of it has an id."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,7 +323,7 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         joined = components(more, "shingle-components").select(F.col("node").alias("root"), F.col("root").alias("joined"))
         named = roots.join(joined, "root", "left").select("node", "first", F.coalesce("joined", "root").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "node").join(named.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return rows.select("doc_id", "text_hash", "node").join(named.join(smallest, "root").select("node", "root", "component_id"), "node").select("doc_id", "text_hash", "root", "component_id")
 
 
 def _grouped(keyed: DataFrame, run: Callable, schema: str) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from braidline.llm import decontaminate, hmm, html_text, language, licenses, line_dedup, packing, quality, simhash, token_counts
 from braidline.llm.common import byte_text, components, words_of
 
@@ -259,6 +260,18 @@ def test_repeated_phrases_do_not_part_copies(spark):
     assert set(got.values()) == {0}
 
 
+def test_drop_copies_keeps_one_row_of_each_class(spark, empty):
+    """Repeated rows, copies under one id, classes without any id."""
+    texts = [" ".join(f"t{n}x{i}" for i in range(200)) for n in range(5)]
+    near = texts[0].replace("t0x7 ", "edited ")
+    rows = [(1, texts[0], "en", "b", 1), (1, texts[0], "en", "a", 1), (1, near, "en", "a", 1), (2, texts[0], "en", "a", 1), (1, texts[1], "en", "a", 1)]
+    rows += [(None, texts[2], "en", "a", 1), (None, texts[2], "en", "a", 1), (None, texts[3], "en", "a", 1), (None, texts[4], "en", "a", 1), (7, texts[4], "en", "a", 1)]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()]
+    of = {texts[0]: 0, near: 0} | {t: n for n, t in enumerate(texts) if n}
+    assert sorted(((of[t], d) for d, t in got), key=str) == [(0, 1), (1, 1), (2, None), (3, None), (4, 7)]
+    assert corpus_pipeline.drop_copies(spark, empty, "").count() == 0
+
+
 def band_classes(rows):
     """The smallest doc_id of each row's class, by comparing every pair that shares a min-hash band."""
     sets = [np.unique(simhash.hashes(t, 5)) for _, t in rows]
