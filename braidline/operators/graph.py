@@ -7,12 +7,16 @@ tables of the shared folder, so plans stay short and a lost executor costs one r
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidline.schema import EDGE_SIGNATURES, FORWARD_EDGES, LEGACY_EDGES
 
+#: Rounds after which what is reached is written as one table.
+MERGE = 10
+
 
 def _table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
@@ -51,21 +55,23 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("session_id", kind.alias("kind"), subject.alias("subject")).where("kind is not null").union(raw)
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 200) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(session_id, start, node, depth): the nodes that lie on a path from each start (session_id, start), at their least depth.
 
-    Cycles end, as nodes already reached are no frontier.
+    Cycles end, as nodes already reached are no frontier. What is reached becomes one table every MERGE rounds, so plans
+    stay short on paths of any length.
     """
     links = edges.select("session_id", F.col("source").alias("node"), F.col("target").alias("next")).distinct()
     frontier = starts.select("session_id", "start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
     seen = frontier
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         step = frontier.join(links, ["session_id", "node"]).select("session_id", "start", F.col("next").alias("node"), F.lit(depth).alias("depth")).distinct()
         frontier = _table(step.join(seen, ["session_id", "start", "node"], "left_anti"), "frontier")
         if frontier.isEmpty():
             return seen
         seen = seen.union(frontier)
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        if depth % MERGE == 0:
+            seen = _table(seen.repartition("session_id", "start", "node"), "seen")
 
 
 def protocol_closure(messages: DataFrame, chosen: DataFrame, max_rounds: int = 50) -> DataFrame:

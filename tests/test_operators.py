@@ -97,6 +97,12 @@ def test_card_expires_after_its_time(spark):
     assert failures.failure_cards(ex).first().expiry_trigger == "ttl_expired"
 
 
+def test_reachability_has_no_greatest_depth(spark):
+    e = spark.range(205).select(F.lit(1).alias("session_id"), F.col("id").alias("source"), (F.col("id") + 1).alias("target"), F.lit("e").alias("edge_type"))
+    starts = spark.createDataFrame([(1, 0)], "session_id int, start bigint")
+    assert graph.reachable(e, starts).agg(F.count("*"), F.max("depth")).first() == (206, 205)
+
+
 def test_reachability_ends_in_cycles(spark):
     e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "d", "a"), (2, "a", "z")], "session_id bigint, source string, target string")
     starts = spark.createDataFrame([(1, "a")], "session_id bigint, start string")
