@@ -72,7 +72,7 @@ def paired_deltas(t):
 @R.add("paired_bootstrap")
 def paired_bootstrap(t):
     """By domain, with the Mersenne Twister that stored reports use; SQL has none."""
-    return stats.paired_bootstrap(_pairs(t).where("a is not null and b is not null").select("domain", (F.col("b") - F.col("a")).alias("delta")), "domain", "delta", samples=2000)
+    return stats.paired_bootstrap(_pairs(t).where("a is not null and b is not null").select("domain", (F.col("b") - F.col("a")).alias("delta")), "domain", "delta")
 
 
 DISCORDANT = f"""{PAIRS}, di AS (SELECT domain, count(*) FILTER (a > b) AS only_a, count(*) FILTER (b > a) AS only_b FROM pr GROUP BY domain),

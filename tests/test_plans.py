@@ -2,7 +2,8 @@
 
 import pytest
 
-from braidline.plans import ORACLES, QUERIES
+from braidline.operators import stats
+from braidline.plans import ORACLES, QUERIES, statistics
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -15,6 +16,12 @@ def test_queries_without_sql_give_rows(spark, sf_dir):
         assert QUERIES[name](spark, sf_dir).count() > 0, name
 
 
+def test_paired_bootstrap_takes_all_samples(spark, sf_dir):
+    pairs = statistics._pairs(lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")).where("a is not null and b is not null")
+    want = stats.paired_bootstrap(pairs.selectExpr("domain", "b - a AS delta"), "domain", "delta", samples=10_000)
+    assert sorted(QUERIES["paired_bootstrap"](spark, sf_dir).collect()) == sorted(want.collect())
+
+
 def test_entry(spark):
     import __spark_entry__
 
