@@ -131,7 +131,7 @@ def ece_brier(t):
 def omission_risk(t):
     """Weights of a logistic model of failure by gradient descent; the optimizer has no SQL."""
     rows = _risk(t)
-    w = stats.logistic(rows.withColumns({"step": F.col("ordinal").cast("double"), "key": F.col("k").cast("double")}), ["p", "step", "key"], "err", rounds=25)
+    w = stats.logistic(rows.withColumns({"step": F.col("ordinal").cast("double"), "key": F.col("k").cast("double")}), ["p", "step", "key"], "err")
     return rows.sparkSession.createDataFrame([(k, float(v)) for k, v in w.items()], "feature string, weight double")
 
 

@@ -22,6 +22,13 @@ def test_paired_bootstrap_takes_all_samples(spark, sf_dir):
     assert sorted(QUERIES["paired_bootstrap"](spark, sf_dir).collect()) == sorted(want.collect())
 
 
+def test_omission_risk_takes_the_rounds_of_the_operator(spark, sf_dir, monkeypatch):
+    asked, fit = [], stats.logistic
+    monkeypatch.setattr(stats, "logistic", lambda *a, **b: asked.append((len(a), b)) or fit(*a, rounds=1))
+    assert QUERIES["omission_risk"](spark, sf_dir).count() == 4
+    assert asked == [(3, {})]
+
+
 def test_entry(spark):
     import __spark_entry__
 
