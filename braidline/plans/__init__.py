@@ -1,6 +1,7 @@
 """All queries of the library by name."""
 
-from braidline.plans import contexts, decisions, exchanges, statistics, traces
+from braidline.plans import contexts, decisions, exchanges, states, statistics, stories, traces
 
-QUERIES = {**contexts.R.queries, **exchanges.R.queries, **decisions.R.queries, **statistics.R.queries, **traces.R.queries}
-ORACLES = {**contexts.R.oracles, **exchanges.R.oracles, **decisions.R.oracles, **statistics.R.oracles, **traces.R.oracles}
+_PARTS = (contexts, exchanges, stories, states, decisions, statistics, traces)
+QUERIES = {name: q for part in _PARTS for name, q in part.R.queries.items()}
+ORACLES = {name: q for part in _PARTS for name, q in part.R.oracles.items()}

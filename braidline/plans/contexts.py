@@ -90,7 +90,7 @@ _policy("policy_score_rank", "llm_only_pruning", f"{SCORED}, {fold('s', 'score D
 MUST = "node_type IN ('goal', 'constraint') OR node_type = 'subgoal' AND ordinal = max(CASE WHEN node_type = 'subgoal' THEN ordinal END) OVER (PARTITION BY session_id)"
 _policy("policy_full_ours", "full_ours", f"h AS (SELECT *, coalesce({MUST}, false) AS hard FROM n), {fold('h', 'ordinal DESC', 'token_count', BUDGET, 'hard')}")
 _policy("policy_without_constraints", "ours_without_constraint_retention", f"h AS (SELECT *, coalesce({MUST.replace(chr(39) + 'goal' + chr(39) + ', ' + chr(39) + 'constraint' + chr(39), chr(39) + 'goal' + chr(39))}, false) AS hard FROM n), {fold('h', 'ordinal DESC', 'token_count', BUDGET, 'hard')}")
-_policy("policy_raw_hard", "raw_hard_failure_retention", f"h AS (SELECT *, node_type IN ('goal', 'subgoal', 'constraint') AS hard FROM n), {fold('h', 'ordinal DESC', 'token_count', BUDGET, 'hard')}")
+_policy("policy_raw_hard", "raw_hard_failure_retention", f"h AS (SELECT *, node_type IN ('goal', 'subgoal', 'constraint') OR final AS hard FROM n), {fold('h', 'ordinal DESC', 'token_count', BUDGET, 'hard')}")
 
 
 @R.add(

@@ -39,10 +39,30 @@ def test_greedy_skips_and_goes_on(spark, parts):
 
 def test_greedy_mandatory_may_exceed(spark):
     rows = [(1, 1, 1, "a", "goal", "g", 90, False), (1, 2, 2, "b", "constraint", "c", 30, False), (1, 3, 3, "c", "decision", "d", 1, False)]
-    kept = {r.node_id: r.kept for r in context.hard_retention(nodes(spark, rows), 100).collect()}
+    few = nodes(spark, rows)
+    kept = {r.node_id: r.kept for r in context.POLICIES["full_ours"](few, 100).collect()}
     assert kept == {"a": True, "b": True, "c": False}
 
 
+def test_greedy_is_the_loop_that_it_says(spark):
+    """Runs of the fold join seamlessly: sessions of any length, with what is mandatory and what is already spent."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(s, i, i, f"{i:04}", "decision", "x", rng.randrange(1, 30), False) for s, n in ((1, 1), (2, 2), (3, 17), (4, 400)) for i in range(n)]
+    must = {(s, i) for s, i, *_ in rows if rng.random() < 0.05}
+    marked = nodes(spark, rows).withColumn("m", F.concat_ws("-", "session_id", "ordinal").isin([f"{s}-{i}" for s, i in must] or [""]))
+    got = {(r.session_id, r.ordinal): r.kept for r in context.greedy(marked, [F.col("step_id").desc()], F.col("token_count"), 300, mandatory=F.col("m"), spent=F.lit(20)).collect()}
+    for s in (1, 2, 3, 4):
+        mine = sorted((r for r in rows if r[0] == s), key=lambda r: -r[2])
+        total = 20 + sum(r[6] for r in mine if (s, r[1]) in must)
+        for r in mine:
+            keep = (s, r[1]) in must
+            if not keep and total + r[6] <= 300:
+                total, keep = total + r[6], True
+            assert got[s, r[1]] == keep
+
+
 def test_policies_on_empty_nodes(spark):
     empty = nodes(spark, [])
     for name, policy in context.POLICIES.items():
@@ -100,13 +120,21 @@ def test_card_expires_after_its_time(spark):
 def test_reachability_has_no_greatest_depth(spark):
     e = spark.range(205).select(F.lit(1).alias("session_id"), F.col("id").alias("source"), (F.col("id") + 1).alias("target"), F.lit("e").alias("edge_type"))
     starts = spark.createDataFrame([(1, 0)], "session_id int, start bigint")
-    assert graph.reachable(e, starts).agg(F.count("*"), F.max("depth")).first() == (206, 205)
+    for whole in (graph.WHOLE, 0):
+        assert graph.reachable(e, starts, whole=whole).agg(F.count("*"), F.max("depth")).first() == (206, 205)
 
 
 def test_reachability_ends_in_cycles(spark):
     e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "d", "a"), (2, "a", "z")], "session_id bigint, source string, target string")
     starts = spark.createDataFrame([(1, "a")], "session_id bigint, start string")
-    assert {(r.node, r.depth) for r in graph.reachable(e, starts).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    for whole in (graph.WHOLE, 0):
+        assert {(r.node, r.depth) for r in graph.reachable(e, starts, whole=whole).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    typed = e.withColumn("edge_type", F.when(F.col("target") == "c", "no").otherwise("yes"))
+    assert {r.node for r in graph.reachable(typed, starts, ("yes",)).collect()} == {"a", "b"}
+    pairs = spark.createDataFrame([(1, "a", "c"), (1, "a", "d")], "session_id bigint, start string, target string")
+    assert {(r.target, r.found) for r in graph.has_path(typed, pairs).collect()} == {("c", True), ("d", False)}
+    out = spark.createDataFrame([(1, "b")], "session_id bigint, node string")
+    assert {(r.target, r.found) for r in graph.has_path(typed, pairs, excluded=out).collect()} == {("c", False), ("d", False)}
 
 
 MESSAGES = "session_id bigint, ordinal bigint, role string, call_ids array<string>, result_id string"
