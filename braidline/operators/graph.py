@@ -6,24 +6,20 @@ tables of the shared folder, so plans stay short and a lost executor costs one r
 
 from __future__ import annotations
 
-import uuid
+from collections import deque
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidline.schema import EDGE_SIGNATURES, FORWARD_EDGES, LEGACY_EDGES
+from braidline.scratch import table
 
 #: Rounds after which what is reached is written as one table.
 MERGE = 10
-
-
-def _table(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Edges of the largest session that is searched by one call (about 200 bytes each).
+WHOLE = 1_000_000
 
 
 def normalize_legacy(edges: DataFrame) -> DataFrame:
@@ -55,23 +51,71 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("session_id", kind.alias("kind"), subject.alias("subject")).where("kind is not null").union(raw)
 
 
-def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, edge_types: tuple[str, ...] | None = None, excluded: DataFrame | None = None, whole: int = WHOLE) -> DataFrame:
     """(session_id, start, node, depth): the nodes that lie on a path from each start (session_id, start), at their least depth.
 
-    Cycles end, as nodes already reached are no frontier. What is reached becomes one table every MERGE rounds, so plans
-    stay short on paths of any length.
+    edge_types: the only edges to follow; excluded: (session_id, node) that no path may enter. No edge leaves its session, so sessions are
+    searched whole, each in one call, while none has more than `whole` edges; beyond that, frontiers are joined to the edges.
     """
-    links = edges.select("session_id", F.col("source").alias("node"), F.col("target").alias("next")).distinct()
-    frontier = starts.select("session_id", "start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
+    links = edges if edge_types is None else edges.where(F.col("edge_type").isin(*edge_types))
+    links = links.select("session_id", F.col("source").alias("node"), F.col("target").alias("next")).distinct()
+    if excluded is not None:
+        links = links.join(excluded.select("session_id", F.col("node").alias("next")), ["session_id", "next"], "left_anti")
+    links = table(links.select("session_id", "node", "next"), "links")
+    largest = links.groupBy("session_id").count().agg(F.max("count").alias("n")).first().n or 0
+    starts = starts.select("session_id", "start").distinct()
+    return _searched(links, starts) if largest <= whole else _joined(links, starts)
+
+
+def _searched(links: DataFrame, starts: DataFrame) -> DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        after: dict[str, list[str]] = {}
+        for node, then in zip(left["node"].to_pylist(), left["next"].to_pylist(), strict=True):
+            after.setdefault(node, []).append(then)
+        rows: dict[str, list] = {"start": [], "node": [], "depth": []}
+        for start in right["start"].to_pylist():
+            seen, todo = {start: 0}, deque([start])
+            while todo:
+                node = todo.popleft()
+                for then in after.get(node, ()):
+                    if then not in seen:
+                        seen[then] = seen[node] + 1
+                        todo.append(then)
+            rows["start"] += [start] * len(seen)
+            rows["node"] += seen
+            rows["depth"] += seen.values()
+        session = pa.array([right["session_id"][0].as_py()] * len(rows["node"]), right["session_id"].type) if right.num_rows else pa.array([], right["session_id"].type)
+        node = right["start"].type
+        return pa.table({"session_id": session, "start": pa.array(rows["start"], node), "node": pa.array(rows["node"], node), "depth": pa.array(rows["depth"], pa.int32())})
+
+    kind, node = (starts.schema[c].dataType.simpleString() for c in ("session_id", "start"))
+    return links.groupBy("session_id").cogroup(starts.groupBy("session_id")).applyInArrow(run, f"session_id {kind}, start {node}, node {node}, depth int")
+
+
+def _joined(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """By frontiers: cycles end, as nodes already reached are no frontier; what is reached becomes one table every MERGE rounds."""
+    frontier = starts.select("session_id", "start", F.col("start").alias("node"), F.lit(0).alias("depth"))
     seen = frontier
     for depth in count(1):
         step = frontier.join(links, ["session_id", "node"]).select("session_id", "start", F.col("next").alias("node"), F.lit(depth).alias("depth")).distinct()
-        frontier = _table(step.join(seen, ["session_id", "start", "node"], "left_anti"), "frontier")
+        frontier = table(step.join(seen, ["session_id", "start", "node"], "left_anti"), "frontier")
         if frontier.isEmpty():
             return seen
         seen = seen.union(frontier)
         if depth % MERGE == 0:
-            seen = _table(seen.repartition("session_id", "start", "node"), "seen")
+            seen = table(seen.repartition("session_id", "start", "node"), "seen")
+
+
+def has_path(edges: DataFrame, pairs: DataFrame, edge_types: tuple[str, ...] | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """pairs (session_id, start, target) with found."""
+    reached = reachable(edges, pairs.select("session_id", "start"), edge_types, excluded).select("session_id", "start", F.col("node").alias("target"), F.lit(True).alias("found"))
+    return pairs.join(reached, ["session_id", "start", "target"], "left").fillna(False, ["found"])
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(session_id, node_id, other, edge_type, direction): the incoming and outgoing edges of each node."""
+    ends = F.array(*[F.struct(F.col(a).alias("node_id"), F.col(b).alias("other"), F.lit(d).alias("direction")) for a, b, d in (("source", "target", "out"), ("target", "source", "in"))])
+    return edges.select("session_id", "edge_type", F.explode(ends).alias("e")).select("session_id", "e.node_id", "e.other", "edge_type", "e.direction")
 
 
 def protocol_closure(messages: DataFrame, chosen: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -89,7 +133,7 @@ def protocol_closure(messages: DataFrame, chosen: DataFrame, max_rounds: int = 5
     frontier = closed
     for _ in range(max_rounds):
         step = frontier.drop("reason").join(links, ["session_id", "ordinal"]).groupBy("session_id", F.col("to").alias("ordinal")).agg(F.min("reason").alias("reason"))
-        frontier = _table(step.join(closed, ["session_id", "ordinal"], "left_anti"), "closure")
+        frontier = table(step.join(closed, ["session_id", "ordinal"], "left_anti"), "closure")
         if frontier.isEmpty():
             break
         closed = closed.unionByName(frontier)
