@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidline.functions.text import semantic_outcome
 from braidline.operators.trace_fold import EDGE_FIELDS, NODE_FIELDS, TraceFold
 
 MESSAGES = "session_id string, task_id string, trial bigint, reward double, ordinal bigint, role string, message string"
@@ -66,13 +67,23 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 def fold_rows(fold: TraceFold, messages: pd.DataFrame) -> list[tuple]:
     """The TRACE rows of a session's further messages, in order of ordinal."""
     rows = []
-    for ordinal, text in messages.sort_values("ordinal")[["ordinal", "message"]].itertuples(index=False):
-        nodes, edges = fold.feed(int(ordinal), json.loads(text))
+    for ordinal, text, failed, meaning in messages.sort_values("ordinal")[["ordinal", "message", "failed", "meaning"]].itertuples(index=False):
+        nodes, edges = fold.feed(int(ordinal), json.loads(text), bool(failed), meaning)
         rows += [(fold.session, "node", *n, *[None] * len(EDGE_FIELDS)) for n in nodes]
         rows += [(fold.session, "edge", *[None] * len(NODE_FIELDS), *e) for e in edges]
     return rows
 
 
+def judged(messages: DataFrame) -> DataFrame:
+    """messages with failed and meaning of results: by their flag, by a text that begins with error, or by an error in their JSON."""
+    content, flag = F.get_json_object("message", "$.content"), F.get_json_object("message", "$.error")
+    truthy = lambda x: F.coalesce(~x.isin("false", "0", "0.0", "", "[]", "{}", "null"), F.lit(False))
+    inner = F.when(content.startswith("{"), F.get_json_object(content, "$.error"))
+    says = F.coalesce(F.lower(F.ltrim(content)).rlike("^error[: ]"), F.lit(False))
+    failed = truthy(flag) | says | truthy(inner)
+    return messages.withColumn("failed", failed).withColumn("meaning", semantic_outcome(F.coalesce(content, F.lit("")), F.col("failed")))
+
+
 COLUMNS = ["session_id", "kind", *NODE_FIELDS, *EDGE_FIELDS]
 
 
@@ -82,7 +93,7 @@ def traces(messages: DataFrame) -> DataFrame:
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(fold_rows(TraceFold(key[0]), part), columns=COLUMNS)
 
-    return messages.select("session_id", "ordinal", "message").groupBy("session_id").applyInPandas(run, TRACE)
+    return judged(messages).select("session_id", "ordinal", "message", "failed", "meaning").groupBy("session_id").applyInPandas(run, TRACE)
 
 
 def nodes_of(trace: DataFrame) -> DataFrame:

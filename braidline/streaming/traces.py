@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from braidline.operators.trace_fold import TraceFold
-from braidline.sources.trajectories import COLUMNS, TRACE, fold_rows
+from braidline.sources.trajectories import COLUMNS, TRACE, fold_rows, judged
 
 
 def stream_traces(messages: DataFrame) -> DataFrame:
     """TRACE rows of a stream (session_id, ordinal, message) whose sessions' messages arrive in order; each is emitted once, in append mode.
 
-    State is bounded by a session's open calls and failures. It never times out, as an end of a session is not an event.
+    State is bounded by a session's open calls and failures, its operations and the last answered calls. It never times out, as an
+    end of a session is not an event.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -24,7 +25,7 @@ def stream_traces(messages: DataFrame) -> DataFrame:
         state.update((fold.state(),))
         yield pd.DataFrame(rows, columns=COLUMNS)
 
-    return messages.select("session_id", "ordinal", "message").groupBy("session_id").applyInPandasWithState(run, TRACE, "state string", "append", GroupStateTimeout.NoTimeout)
+    return judged(messages).select("session_id", "ordinal", "message", "failed", "meaning").groupBy("session_id").applyInPandasWithState(run, TRACE, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_failures(events: DataFrame, every: str = "1 hour", late: str = "30 minutes") -> DataFrame:

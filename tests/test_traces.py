@@ -20,15 +20,15 @@ def result(i, content, error=False):
 
 
 STORY = [
-    {"role": "system", "content": "Ask before cancelling."},
-    {"role": "user", "content": "Cancel order 7"},
-    call("a", "cancel_order", id=7),
-    result("a", "confirmation required", True),
-    {"role": "assistant", "content": "Shall I?"},
-    {"role": "user", "content": "Yes"},
-    call("b", "cancel_order", id=7),
-    result("b", '{"status": "cancelled"}'),
-    {"role": "assistant", "content": "Done."},
+    {"role": "system", "content": "Lend nothing to strangers."},
+    {"role": "user", "content": "Send the ladder back to the depot"},
+    call("a", "send_parcel", number=31),
+    result("a", "the van has timed out", True),
+    {"role": "assistant", "content": "Another van?"},
+    {"role": "user", "content": "Please"},
+    call("b", "send_parcel", number=31),
+    result("b", '{"state": "completed"}'),
+    {"role": "assistant", "content": "It is on its way."},
 ]
 
 
@@ -51,7 +51,7 @@ def test_story(spark, saved):
     assert len([r for r in edges if r.edge_type == "resolved_by"]) == 1
     assert {r.edge_type for r in edges if r.confidence == 0.5} == {"blocks", "supports"}
     nodes = trajectories.nodes_of(trace)
-    assert nodes.where("session_id = 's1' and final").first().content == "Done."
+    assert nodes.where("session_id = 's1' and final").first().content == "It is on its way."
     assert nodes.where("session_id = 's2' and node_type = 'tool_call'").first().tool_name == "unknown_tool"
     labels = {r.node_id: r.lifecycle for r in failures.lifecycle(nodes, trajectories.edges_of(trace)).collect()}
     assert labels["s1:4:error:0"] == "resolved_failure"
@@ -59,13 +59,56 @@ def test_story(spark, saved):
 
 def test_argument_completion():
     fold, edges = TraceFold("s"), []
-    for i, m in enumerate([call("a", "lookup", user_ref="u-1", record=""), result("a", '{"error": "missing required parameter: record"}', True), call("b", "lookup", user_ref="u-1", record="r-1"), result("b", "ok")], 1):
-        edges += fold.feed(i, m)[1]
+    for i, (m, failed, meaning) in enumerate([(call("a", "find_parcel", depot="north", shelf=""), False, ""), (result("a", "shelf is empty", True), True, "negative"), (call("b", "find_parcel", depot="north", shelf="C4"), False, ""), (result("b", "ok"), False, "positive")], 1):
+        edges += fold.feed(i, m, failed, meaning)[1]
     assert [e[4] for e in edges if e[2] == "retried_by"] == ["argument_completion"]
+    assert not completes({"a": 1, "b": ""}, {"a": 1}) and not completes({"a": 1, "b": "x"}, {"a": 1, "b": "y", "c": 2})
     assert completes({"a": 1, "b": ""}, {"a": 1, "b": 2}) and not completes({"b": ""}, {"b": 2}) and not completes({"a": 1, "b": 0}, {"a": 1, "b": 2})
     assert operation_key("T", {"id": 1, "confirm": True}) == operation_key("t", {"id": 1})
 
 
+def test_state_of_a_fold_is_bounded():
+    """Answered calls go, whatever their number; what is open stays."""
+    fold, sizes = TraceFold("s"), []
+    for i in range(400):
+        m, r = call(f"c{i}", "look", page=i, text="x" * 200), result(f"c{i}", "ok")
+        fold.feed(2 * i + 1, m)
+        fold.feed(2 * i + 2, r, i % 7 == 0, "negative" if i % 7 == 0 else "positive")
+        sizes.append(len(fold.state()))
+    assert len(fold.s["calls"]) <= 65 and len(fold.s["failed"]) <= 65 + len(fold.s["open"])
+    assert max(sizes[200:]) < 1.5 * sizes[150]
+
+
+def test_outcomes(spark):
+    from braidline.functions.text import semantic_outcome, stop_intent
+
+    want = {
+        '{"status":"weird","state":"denied"}': "negative",
+        '{"status":"pending","state":"completed"}': "positive",
+        '{"success":"false"}': "inconclusive",
+        '{"success":false}': "negative",
+        '{"error":0.0}': "inconclusive",
+        '{"error":[]}': "inconclusive",
+        '{"error":{}}': "negative",
+        '{"error":"","ok":true}': "positive",
+        '{"error":null,"outcome":"Not Found"}': "negative",
+        "all tests failed": "test_failed",
+        "Permission   DENIED": "policy_denied",
+        "Completed": "positive",
+        "12": "inconclusive",
+        "[1]": "inconclusive",
+        "": "inconclusive",
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "p string")
+    got = {r.p: r.o for r in rows.select("p", semantic_outcome(F.col("p"), F.lit(False)).alias("o")).collect()}
+    assert got == want
+    both = rows.limit(1).select(semantic_outcome(F.col("p"), F.lit(True)).alias("f"), semantic_outcome(F.col("p"), F.lit(False), F.lit(True)).alias("h")).first()
+    assert tuple(both) == ("negative", "inconclusive")
+    said = {"I don't  need anything else": True, "That's all for today.": True, "Is that all?": False, "Do you need more help": False, "ok. i am all set": True, "Nothing else\nfor now": False, "###STOP###": True, None: False}
+    talk = spark.createDataFrame([(k,) for k in said], "t string").select("t", stop_intent(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in talk} == said
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(s, i, json.dumps(m)) for s in ("p", "q") for i, m in enumerate(STORY, 1)]
     schema = "session_id string, ordinal bigint, message string"
@@ -90,7 +133,7 @@ def test_windowed_failures(spark, tmp_path, sf_dir):
 
 def test_archive(spark, tmp_path):
     path = str(tmp_path / "store")
-    rows = spark.createDataFrame([('{"value":"证据","count":2}',), ('{"count": 2, "value": "证据"}',), ("broken",)], "payload string")
+    rows = spark.createDataFrame([('{"köl":[1,2],"b":null}',), ('{ "b" : null, "köl":[1, 2] }',), ("not JSON",)], "payload string")
     archive.put(rows, path)
     archive.put(rows, path)
     held = spark.read.parquet(path)
