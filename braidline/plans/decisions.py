@@ -6,10 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from braidline.functions.text import estimate_tokens, truncated
-from braidline.operators import decisions, failures, graph
+from braidline.operators import decisions, failures, graph, lifecycle
+from braidline.operators.ranges import numbered
 from braidline.plans.contexts import NODES
 from braidline.plans.exchanges import EX, GRAPH
 from braidline.plans.registry import Registry
+from braidline.plans.stories import PROFILES
+from braidline.plans.stories import graph as graph_of
 from braidline.sources.adapters import conversation_nodes, event_exchanges, exchange_edges, exchange_nodes
 
 R = Registry()
@@ -20,14 +23,19 @@ def _labelled(t):
     return failures.lifecycle(exchange_nodes(ex), exchange_edges(ex))
 
 
+_LARGE = "node_type IN ('observation', 'summary', 'archive_handle') AND (token_count * 8 >= 128 OR node_type IN ('summary', 'archive_handle'))"
+
+
 @R.add(
     "candidate_objects",
-    f"""WITH {GRAPH}, c AS (SELECT *, CASE WHEN node_type = 'error' OR validity = 'negative_unresolved' THEN 'failure_negative_guard' WHEN validity = 'superseded' OR lifecycle = 'superseded' THEN 'superseded_conflicting_expired_state' ELSE 'entity_state_slot' END AS object_class FROM life)
-SELECT object_class, validity, count(*) AS n, CASE WHEN object_class = 'failure_negative_guard' THEN CASE WHEN validity = 'valid' THEN 'raw_message,verified_summary,negative_guard,omit' ELSE 'raw_message,omit' END WHEN validity = 'valid' THEN 'raw_message,structured_state_delta,verified_summary,omit' ELSE 'raw_message,structured_state_delta,omit' END AS forms FROM c GROUP BY object_class, validity""",
+    f"""WITH {PROFILES}, c AS (SELECT *, CASE WHEN node_type = 'error' OR validity = 'negative_unresolved' THEN 'failure_negative_guard' WHEN validity = 'superseded' OR lifecycle = 'superseded' THEN 'superseded_conflicting_expired_state' WHEN node_type = 'constraint' OR regexp_matches(lower(content), 'confirm|explicit user consent') THEN 'policy_constraint_confirmation' WHEN node_type IN ('goal', 'subgoal') THEN 'goal_subgoal' WHEN {_LARGE} THEN 'evidence_large_observation' ELSE 'entity_state_slot' END AS object_class FROM pf)
+SELECT object_class, validity, count(*) AS n, concat_ws(',', 'raw_message', CASE WHEN object_class IN ('entity_state_slot', 'evidence_large_observation', 'superseded_conflicting_expired_state') THEN 'structured_state_delta' END, CASE WHEN validity = 'valid' THEN 'verified_summary' END, CASE WHEN object_class = 'failure_negative_guard' AND validity = 'valid' THEN 'negative_guard' END, 'omit') AS forms FROM c GROUP BY object_class, validity""",
 )
 def candidate_objects(t):
-    kind = decisions.object_class(F.col("node_type"), F.col("validity"), F.col("lifecycle"), F.lit(1), F.lit(""))
-    rows = _labelled(t).withColumn("object_class", kind)
+    """Over complete stories, with the tokens and texts of their nodes."""
+    rows = lifecycle.infer_profiles(*graph_of(t))
+    kind = decisions.object_class(F.col("node_type"), F.col("validity"), F.col("lifecycle"), F.col("token_count") * 8, F.col("content"))
+    rows = rows.withColumn("object_class", kind)
     forms = F.array_join(decisions.representations(F.col("object_class"), F.col("validity") == "valid", F.lit(False)), ",")
     return rows.groupBy("object_class", "validity").agg(F.count("*").alias("n")).withColumn("forms", forms)
 
@@ -155,12 +163,16 @@ def eligibility(t):
 
 @R.add("positional_zip", "WITH a AS (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place, lang FROM documents), b AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END AS lang, row_number() OVER (PARTITION BY page_id % 4 ORDER BY page_id) AS place FROM pages) SELECT lang, place, doc_id, page_id FROM a JOIN b USING (lang, place)")
 def positional_zip(t):
-    """The i-th document with the i-th page of the same language."""
+    """The i-th document with the i-th page of the same language: places are global, less what comes before a language."""
     turn = F.col("page_id") % 4
-    a = t("documents").select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("bigint").alias("place"))
-    b = t("pages").select("page_id", F.when(turn == 0, "en").when(turn == 1, "de").when(turn == 2, "fr").otherwise("es").alias("lang"))
-    b = b.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("page_id")).cast("bigint"))
-    return a.join(b, ["lang", "place"])
+    pages = t("pages").select("page_id", F.when(turn == 0, "en").when(turn == 1, "de").when(turn == 2, "fr").otherwise("es").alias("lang"))
+
+    def placed(rows, key):
+        rows = numbered(rows, "lang", key)
+        first = rows.groupBy("lang").agg(F.min("place").alias("first"))
+        return rows.join(F.broadcast(first), "lang").withColumn("place", F.col("place") - F.col("first") + 1).drop("first")  # some languages
+
+    return placed(t("documents").select("lang", "doc_id"), "doc_id").join(placed(pages, "page_id"), ["lang", "place"])
 
 
 @R.add("fork_plan", "WITH p AS (SELECT DISTINCT conv_id FROM conversations), q AS (SELECT conv_id, row_number() OVER (ORDER BY sha256(concat('plan', chr(0), conv_id)), conv_id) AS place FROM p), x AS (SELECT conv_id, place FROM q WHERE place <= 10) SELECT conv_id, t.treatment, r.replicate, concat('fork_', substr(sha256(concat_ws(chr(31), conv_id, t.treatment, r.replicate)), 1, 24)) AS fork_id FROM x, (SELECT unnest(['raw_message', 'compiled', 'drop']) AS treatment) t, (SELECT unnest([1, 2]) AS replicate) r")

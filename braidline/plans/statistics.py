@@ -69,6 +69,27 @@ def paired_deltas(t):
     return _pairs(t).select("domain", "task", F.round(b - a, 9).alias("delta"), F.when(b > a, "better").when(b < a, "worse").when(b == a, "same").otherwise("unpaired").alias("direction"))
 
 
+_DRAW = "CAST(concat('0x', substr(sha256(concat_ws(':', 'seed', s, task)), 1, 4)) AS BIGINT)"
+
+
+@R.add(
+    "hash_bootstrap",
+    f"""WITH {PAIRS}, dl AS (SELECT domain, task, b - a AS d FROM pr WHERE b - a IS NOT NULL), dw AS (SELECT domain, s, d, {" + ".join(f"CASE WHEN {_DRAW} >= {x} THEN 1 ELSE 0 END" for x in stats.POISSON)} AS w FROM dl, unnest(range(0, 400)) AS t(s)),
+mm AS (SELECT domain, s, sum(d * w) / nullif(sum(w), 0) AS m FROM dw GROUP BY domain, s), bo AS (SELECT domain, quantile_disc(m, 0.025) AS lo, quantile_disc(m, 0.975) AS hi FROM mm GROUP BY domain)
+SELECT domain, count(*) AS n, round(avg(d), 9) AS mean_delta, round(any_value(lo), 9) AS ci95_low, round(any_value(hi), 9) AS ci95_high FROM dl JOIN bo USING (domain) GROUP BY domain""",
+)
+def hash_bootstrap(t):
+    """Four hundred samples that any engine draws alike."""
+    pairs = _pairs(t).select("domain", "task", (F.col("b") - F.col("a")).alias("delta"))
+    return stats.hash_bootstrap(pairs, "domain", "task", "delta", 400, "seed").withColumns({c: F.round(c, 9) for c in ("mean_delta", "ci95_low", "ci95_high")})
+
+
+@R.add("variant_bootstrap")
+def variant_bootstrap(t):
+    """By domain, as matrix reports resample; SQL has no such generator."""
+    return stats.variant_bootstrap(_pairs(t).where("a is not null and b is not null").select("domain", (F.col("b") - F.col("a")).alias("delta")), "domain", "delta")
+
+
 @R.add("paired_bootstrap")
 def paired_bootstrap(t):
     """By domain, with the Mersenne Twister that stored reports use; SQL has none."""
@@ -107,6 +128,22 @@ def kappa_ac1(t):
     return stats.agreement(t("labels"), "quality", "toxic").withColumns({c: F.round(c, 9) for c in ("observed", "kappa", "ac1")})
 
 
+@R.add(
+    "kappa_rules",
+    """WITH l AS (SELECT quality AS a, toxic AS b FROM labels), t AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (a = b) AS same, count(*) FILTER (a = 1) AS a1, count(*) FILTER (b = 1) AS b1 FROM l),
+s AS (SELECT n, same / n AS o, a1 / n * (b1 / n) AS e, ((a1 + b1) / (2 * n)) * (1 - (a1 + b1) / (2 * n)) / 2 AS ac FROM t)
+SELECT r.rule, CAST(n AS BIGINT) AS n, round(o, 9) AS observed, round((o - e) / (1 - e), 9) AS kappa, round((o - ac) / (1 - ac), 9) AS ac1 FROM s, (SELECT unnest(['only_one', 'undefined']) AS rule) r
+UNION ALL SELECT 'one_kind', count(*), 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE FROM labels""",
+)
+def kappa_rules(t):
+    """Agreement over a fixed list of categories, of which the raters use some, and of raters who say one thing only."""
+    k = t("labels")
+    fixed = stats.agreement(k, "quality", "toxic", categories=(1, 2, 3)).withColumn("rule", F.lit("only_one"))
+    loose = stats.agreement(k, "quality", "toxic", "undefined", categories=(1, 2, 3)).withColumn("rule", F.lit("undefined"))
+    same = stats.agreement(k.select(F.lit(1).alias("a"), F.lit(1).alias("b")), "a", "b", "undefined").withColumn("rule", F.lit("one_kind"))
+    return fixed.union(loose).union(same).withColumns({c: F.round(c, 9) for c in ("observed", "kappa", "ac1")})
+
+
 @R.add("confusion", "WITH k AS (SELECT quality AS a, toxic AS p FROM labels), l AS (SELECT unnest([0, 1]) AS label) SELECT label, count(*) FILTER (a = label AND p = label) AS tp, count(*) FILTER (a <> label AND p = label) AS fp, count(*) FILTER (a = label AND p <> label) AS fn, round(count(*) FILTER (a = label AND p = label) / nullif(count(*) FILTER (p = label), 0)::DOUBLE, 9) AS precision, round(count(*) FILTER (a = label AND p = label) / nullif(count(*) FILTER (a = label), 0)::DOUBLE, 9) AS recall FROM k, l GROUP BY label")
 def confusion(t):
     return stats.confusion(t("labels"), "quality", "toxic").withColumns({"precision": F.round("precision", 9), "recall": F.round("recall", 9)})
@@ -122,15 +159,15 @@ def _risk(t):
     return ex.select("err", "ordinal", "k", F.coalesce(F.avg(F.col("err").cast("double")).over(before), F.lit(0.2)).alias("p"))
 
 
-@R.add("ece_brier", f"WITH {RISK}, b AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, sum(p) AS sp, sum(CASE WHEN err THEN 1.0::DOUBLE ELSE 0 END) AS sy, sum(pow(p - CASE WHEN err THEN 1.0::DOUBLE ELSE 0 END, 2)) AS sq FROM rk GROUP BY 1), s AS (SELECT sum(n)::DOUBLE AS n, sum(sq) AS sq, sum(sy) AS sy, sum(abs(sp - sy)) AS gap FROM b) SELECT CAST(n AS BIGINT) AS n, round(sq / n, 6) AS brier, round(sy / n * (1 - sy / n), 6) AS constant_brier, round(gap / n, 6) AS ece FROM s")
+@R.add("ece_brier", f"WITH {RISK}, b AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, sum(p) AS sp, sum(CASE WHEN err THEN 1.0::DOUBLE ELSE 0 END) AS sy, sum(pow(p - CASE WHEN err THEN 1.0::DOUBLE ELSE 0 END, 2)) AS sq, sum(CASE WHEN err AND p >= 0.25 THEN 1.0::DOUBLE ELSE 0 END) AS hit FROM rk GROUP BY 1), s AS (SELECT sum(n)::DOUBLE AS n, sum(hit) AS hit, sum(sq) AS sq, sum(sy) AS sy, sum(abs(sp - sy)) AS gap FROM b) SELECT CAST(n AS BIGINT) AS n, round(sq / n, 6) AS brier, round(sy / n * (1 - sy / n), 6) AS constant_brier, round(gap / n, 6) AS ece, round(hit / nullif(sy, 0), 6) AS recall FROM s")
 def ece_brier(t):
-    return stats.calibration(_risk(t), "p", "err").withColumns({c: F.round(c, 6) for c in ("brier", "constant_brier", "ece")})
+    return stats.calibration(_risk(t), "p", "err", threshold=0.25).withColumns({c: F.round(c, 6) for c in ("brier", "constant_brier", "ece", "recall")})
 
 
 @R.add("omission_risk")
 def omission_risk(t):
-    """Weights of a logistic model of failure by gradient descent; the optimizer has no SQL."""
-    rows = _risk(t)
+    """Weights of a logistic model of failure, from the tasks of the training split; the optimizer has no SQL."""
+    rows = _risk(t).withColumn("split", split_name(hash_share(F.col("k") % 4, F.col("k")))).where("split = 'train'")
     w = stats.logistic(rows.withColumns({"step": F.col("ordinal").cast("double"), "key": F.col("k").cast("double")}), ["p", "step", "key"], "err")
     return rows.sparkSession.createDataFrame([(k, float(v)) for k, v in w.items()], "feature string, weight double")
 

@@ -22,11 +22,22 @@ def test_paired_bootstrap_takes_all_samples(spark, sf_dir):
     assert sorted(QUERIES["paired_bootstrap"](spark, sf_dir).collect()) == sorted(want.collect())
 
 
-def test_omission_risk_takes_the_rounds_of_the_operator(spark, sf_dir, monkeypatch):
-    asked, fit = [], stats.logistic
-    monkeypatch.setattr(stats, "logistic", lambda *a, **b: asked.append((len(a), b)) or fit(*a, rounds=1))
-    assert QUERIES["omission_risk"](spark, sf_dir).count() == 4
-    assert asked == [(3, {})]
+def test_logistic_is_the_limit_of_descent(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 2)) * [1, 40] + [3, 7]
+    y = rng.random(300) < 1 / (1 + np.exp(-(x[:, 0] - 3 + 0.02 * x[:, 1])))
+    rows = spark.createDataFrame([(float(a), float(b), bool(v)) for (a, b), v in zip(x, y, strict=True)], "a double, b double, y boolean")
+    got = stats.logistic(rows, ["a", "b"], "y")
+    z = (x - x.mean(0)) / x.std(0)
+    w, c = np.zeros(2), float(np.log(y.mean() / (1 - y.mean())))
+    for _ in range(20_000):
+        off = 1 / (1 + np.exp(-(z @ w + c))) - y
+        c -= 0.05 * off.mean()
+        w -= 0.05 * ((off[:, None] * z).mean(0) + 0.01 * w)
+    assert np.allclose([got["bias"], got["a"], got["b"]], [c, *w], atol=1e-6)
+    assert set(stats.logistic(rows.where("false"), ["a"], "y")) == {"bias", "a"}
 
 
 def test_entry(spark):
