@@ -17,9 +17,18 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share; a local default only where the session names none (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return root or "/tmp/checkpoints"
+    """This application's folder in the one that all executors share. Only a local session may leave that unset: elsewhere
+    driver and executors would write to different disks."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root or '/tmp/checkpoints'}/{context.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that save() made in this application, once no plan reads them."""
+    _delete(spark, scratch_root(spark))
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -34,10 +43,22 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by save() that no later plan reads."""
-    path = df._scratch_path
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(df.sparkSession, df._scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def column(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept_columns(df: DataFrame, *made: str) -> list[str]:
+    """The columns of df but those that an operator makes or consumes; names are compared as Spark does, without case."""
+    return [c for c in df.columns if c.lower() not in {m.lower() for m in made}]
 
 
 def byte_text(text: Column) -> Column:
