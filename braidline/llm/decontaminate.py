@@ -10,7 +10,8 @@ the hash of all their words, for each such length that the benchmark has.
 
 Defined results: null and empty texts have no words; items without a word have no window; equal
 windows of several items count for each; rows that share a doc_id are judged one by one; null ids pass
-through; an empty benchmark contaminates nothing; extra columns pass through.
+through; an empty benchmark contaminates nothing; extra columns pass through, whatever their names, but for n_words, n_hit
+and items, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidline.llm.common import broadcast_if_small, save, words_of
+from braidline.llm.common import broadcast_if_small, column, kept_columns, save, words_of
 
 #: Words of 64 bits in the largest bitmap, as a power of two; beyond that it lets more through and the join decides.
 MAP_BITS = 14
+MADE = ("n_words", "n_hit", "items")
 #: Rows of the benchmark's fingerprints or windows that are broadcast at most (about 100 bytes each).
 BROADCAST_ROWS = 50_000
 
@@ -61,16 +63,23 @@ def _short(words: Column, n: int, table: tuple[Column, int]) -> Column:
     return F.transform(found, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.lit(None).cast("bigint").alias("h"), F.slice(words, i + 1, n).alias("near")))
 
 
-def scan(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", span: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The saved (row, columns of docs but the text, n_words, marks) and the spans found: (row, start, n, items)."""
-    windows = save(windows_of(bench, item_col, bench_text, span), "bench-windows")
+def item_sets(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(window, n, set) and (set, items): windows that the same items hold share a set, so that a hit is one row, not one for each item."""
+    grouped = save(windows.groupBy("window", "n").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items")).withColumn("set", F.sha2(F.to_json("items"), 256)), "bench-sets")
+    return grouped.select("window", "n", "set"), grouped.select("set", "items").dropDuplicates(["set"])
+
+
+def scan(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", span: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The saved (row, columns of docs but the text as k0, k1, ..., n_words, marks), the spans found (row, start, n, set) and the sets (set, items)."""
+    held, sets = item_sets(windows_of(bench, item_col, bench_text, span))
+    windows = held
     lengths = sorted(r.n for r in windows.where(F.col("n") < span).select("n").distinct().collect())
     full = windows.where(F.col("n") == span).select("window").distinct().withColumn("w", F.split("window", " "))
     width = span - k + 1
     prints = save(full.select(F.array_min(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: gram(F.col("w"), i, k))).alias("h")).distinct(), "bench-prints")
 
     words, g = F.col("w"), F.col("g")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), *[c for c in docs.columns if c not in (text_col, "row", "n_words")], words_of(F.col(text_col)).alias("w"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *[column(c).alias(f"k{i}") for i, c in enumerate(kept_columns(docs, text_col, *MADE))], words_of(column(text_col)).alias("w"))
     rows = rows.withColumn("g", F.when(F.size("w") >= span, F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: gram(words, i, k))).otherwise(F.array().cast("array<bigint>")))
 
     def smallest(i: Column) -> Column:
@@ -102,15 +111,17 @@ def scan(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col:
     around = F.transform(F.sequence(F.lit(0), F.size("near") - span), lambda j: F.struct((F.col("at") + j).alias("start"), F.col("n").alias("n"), F.array_join(F.slice("near", j + 1, span), " ").alias("window")))
     tries = long.where(F.size("near") >= span).select("row", F.explode(around).alias("t")).select("row", "t.*")
     tries = tries.union(hits.where(F.col("h").isNull()).select("row", F.col("at").alias("start"), "n", F.array_join("near", " ").alias("window"))).distinct()
-    return rows, tries.join(broadcast_if_small(windows, BROADCAST_ROWS), ["window", "n"]).select("row", "start", "n", "item")
+    return rows, tries.join(broadcast_if_small(windows, BROADCAST_ROWS), ["window", "n"]).select("row", "start", "n", "set"), sets
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs without their text, with n_words, n_hit (words inside a benchmark window) and items (sorted as strings)."""
-    rows, spans = scan(docs, bench, **options)
+    rows, spans, sets = scan(docs, bench, text_col=text_col, **options)
     spans = save(spans, "spans")
     ends = spans.select("row", "start", "n").distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("s"))
     covered = F.aggregate("s", F.struct(F.lit(0).alias("end"), F.lit(0).alias("total")), lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["total"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("total")), lambda a: a["total"])
-    items = spans.select("row", F.col("item").cast("string").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    items = spans.select("row", "set").distinct().join(sets, "set").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     found = ends.select("row", covered.cast("long").alias("n_hit")).join(items, "row")
-    return rows.drop("marks").join(found, "row", "left").drop("row").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    judged = rows.drop("marks").join(found, "row", "left")
+    kept = [F.col(f"k{i}").alias(c) for i, c in enumerate(kept_columns(docs, text_col, *MADE))]
+    return judged.select(*kept, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
