@@ -8,7 +8,8 @@ priority (a smaller number) contains it, the earlier rule standing for equal int
 detections of base phrases always stay.
 
 Defined results: null texts are empty; no detection gives an empty label list and score 0; a rule sees
-HORIZON words from its keyword on, more than the longest rule spans; extra columns pass through.
+HORIZON words from its keyword on, more than the longest rule spans; extra columns pass through, whatever their
+names, but for those that scan_licenses() makes, which are replaced.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidline.llm.common import byte_text, save, words_of
+from braidline.llm.common import byte_text, column, kept_columns, save, words_of
 
+MADE = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 #: Words that a rule sees from its keyword on.
 HORIZON = 24
 #: Between words, after A-Z are lower-cased.
@@ -157,10 +159,13 @@ def detections(docs: DataFrame, text_col: str = "text", row_col: str = "row") ->
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without their text, with n_words, n_base, first_word, last_word, base_labels, labels, score (the surest detection's)."""
-    rest = [c for c in docs.columns if c != text_col]
-    rows = save(docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`") for c in rest if c != "row"], F.regexp_count(F.coalesce(byte_text(F.col(text_col)), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), F.when(byte_text(F.col(text_col)).rlike(GATE), F.col(text_col)).alias("gated")), "license-rows")
+    rest = kept_columns(docs, text_col, *MADE)
+    text = column(text_col)
+    count = F.regexp_count(F.coalesce(byte_text(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")
+    rows = save(docs.select(F.monotonically_increasing_id().alias("row"), *[column(c).alias(f"k{i}") for i, c in enumerate(rest)], count.alias("n_words"), F.when(byte_text(text).rlike(GATE), text).alias("gated")), "license-rows")
     hits = detections(rows.where("gated is not null"), "gated")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     base = F.when(F.col("base"), F.col("start"))
     per = hits.groupBy("row").agg(F.count(base).alias("n_base"), F.min(base).cast("long").alias("first_word"), F.max(base).cast("long").alias("last_word"), joined(F.when(F.col("base"), F.col("label"))).alias("base_labels"), joined("label").alias("labels"), (F.max("sure") / F.lit(100.0)).alias("score"))
-    return rows.drop("gated").join(per, "row", "left").drop("row").fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0})
+    found = rows.drop("gated").join(per, "row", "left").fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0})
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(rest)], *MADE)
