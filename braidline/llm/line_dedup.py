@@ -5,9 +5,12 @@ all other documents lose their lines with that key. Keys are kept in runs: table
 (hash, owner) sorted by hash. Documents come in batches of ascending doc_id. A batch is merged
 against the runs before it (a left anti sort-merge join on the hash) and adds what is new as a run of
 level 0; as soon as a level holds fan_in runs, they are merged into one sorted run of the next level.
+Keys of more than a thousandth of all lines, fewer than a thousand by that, meet their owners in a broadcast join, so
+that a line which fills much of the corpus lands in no single task.
 
 Defined results: a null or empty text is one empty line; null doc_ids come after all others and
-never own a line that a document with an id holds; rows that share a doc_id are one document;
+never own a line that a document with an id holds; rows that share a doc_id are one document; ids are of any type that
+has an order;
 extra columns pass through unless they are named n_lines, n_dropped, which are replaced;
 an empty table gives an empty table.
 """
@@ -17,14 +20,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidline.llm.common import WHITE, byte_text, discard, save
+from braidline.llm.common import WHITE, byte_text, column, discard, hash_sample, kept_columns, save
 
 KEY = ["h1", "h2"]
+#: A key is heavy if it has more than this share of all lines.
+HEAVY = 1 / 1000
+#: Ids whose order gives the bounds of batches. They only say which batch a document is in; results do not depend on them.
+BOUND_ROWS = 1000
 
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """(doc_id, row, pos, h1, h2) of every line whose key has min_chars code points or more; row hashes the text."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("pos", "line"))
+    lines = docs.select(column(id_col).alias("doc_id"), F.xxhash64(column(text_col)).alias("row"), F.posexplode(F.split(F.coalesce(column(text_col), F.lit("")), "\n", -1)).alias("pos", "line"))
     lines = lines.select("doc_id", "row", "pos", F.btrim("line", F.lit(WHITE)).alias("line")).where(F.char_length("line") >= min_chars)
     key = lines.select("doc_id", "row", "pos", byte_text(F.col("line")).alias("key"))
     return key.select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
@@ -67,10 +74,29 @@ def _union(runs: list[DataFrame]) -> DataFrame:
     return out
 
 
+def batch_bounds(docs: DataFrame, id_col: str, batches: int) -> list:
+    """Ids, ascending, that cut the documents into about equal batches."""
+    ids = docs.select(F.col(id_col).alias("id")).where("id is not null")
+    some = [r.id for r in hash_sample(ids, BOUND_ROWS, "id").orderBy("id").collect()]
+    return list(dict.fromkeys(some[len(some) * i // batches] for i in range(1, batches))) if some else []
+
+
+def owned(keys: DataFrame, owners: DataFrame) -> DataFrame:
+    """keys with the owner of each."""
+    least = max(1, int(keys.count() * HEAVY))
+    heavy = save(keys.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") > least).select(*KEY), "heavy-keys")
+    if heavy.isEmpty():
+        return keys.join(owners, KEY)
+    few = F.broadcast(heavy)  # under 1 / HEAVY keys
+    columns = [*keys.columns, "owner"]
+    many = keys.join(few, KEY, "left_semi").join(F.broadcast(owners.join(few, KEY, "left_semi")), KEY)
+    return many.select(*columns).union(keys.join(few, KEY, "left_anti").join(owners, KEY).select(*columns))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 3) -> DataFrame:
     """docs with the text of the lines that stay, and n_lines, n_dropped. batches: how many runs the corpus is added in."""
     keys = save(line_keys(docs, id_col, text_col, min_chars), "line-keys")
-    bounds = sorted(set(keys.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
+    bounds = batch_bounds(docs, id_col, batches)
     edges = [None, *bounds, None]
     runs = LineRuns()
     for low, high in zip(edges, edges[1:], strict=False):
@@ -80,12 +106,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
         runs.add(part)
-    gone = keys.join(runs.owners(), KEY).where(F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("doc_id")))
+    gone = owned(keys, runs.owners()).where(F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("doc_id")))
     gone = gone.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
-    text = F.coalesce(F.col(f"d.{text_col}"), F.lit(""))
-    here = docs.drop("n_lines", "n_dropped").alias("d").join(gone.alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64(f"d.{text_col}") == F.col("g.row")), "left")
-    lines = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g.gone"))
-    left = F.when(F.col("g.gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", text_col)]
-    return here.select(*[F.col(f"d.`{c}`") for c in kept], left.alias(text_col), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("g.gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    kept = kept_columns(docs, text_col, "n_lines", "n_dropped")
+    here = docs.select(*[column(c).alias(f"k{i}") for i, c in enumerate(kept)], column(id_col).alias("id"), column(text_col).alias("text"))
+    text, lines = F.coalesce("text", F.lit("")), F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    here = here.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("row")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    return here.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], left.alias(text_col), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
