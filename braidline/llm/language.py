@@ -1,8 +1,9 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-One table of SLOTS positions serves all languages: position p holds a mask whose bit l says
-whether p is set in language l's Bloom filter. The bitwise and of an n-gram's HASHES positions is the set of
-all languages that contain it. Per-language popcounts over a text's n-grams, each corrected for what the
+One table of positions serves all languages: position p holds a mask whose bit l says
+whether p is set in language l's Bloom filter. The bitwise and of an n-gram's hashed positions is the set of
+all languages that contain it. The table has ROOM positions, at least, for each n-gram of the largest language,
+up to LARGEST; beyond that fewer hashes keep it from filling up. Per-language popcounts over a text's n-grams, each corrected for what the
 filter lets through by chance, decide. An n-gram belongs to a language if its rate there, over
 all rows learned from, is at least SHARE of its highest rate in any language and it occurs twice or more.
 
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 from braidline.llm.common import save
 
 GRAM = 3
-SLOTS, HASHES = 1 << 20, 4
+#: Positions for each n-gram of the largest language; the smallest and the largest table (8 bytes a position for 64 languages).
+ROOM, SMALLEST, LARGEST = 16, 1 << 16, 1 << 23
+#: Hashes of an n-gram at most.
+HASHES = 4
 SHARE = 0.34
 #: Characters of text that are hashed at a time.
 CHUNK = 1 << 22
@@ -33,7 +37,7 @@ UNKNOWN = "und"
 
 @cache
 def letters() -> np.ndarray:
-    """By code point: its lower case if it is a letter, else a space; combining marks keep their place."""
+    """By code point: its lower case if it is a letter, else a space, as are combining marks."""
     out = np.full(0x110000, 32, np.int64)
     for i in range(0x110000):
         c = chr(i)
@@ -82,14 +86,22 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield start, some
 
 
-def slots(key: np.ndarray) -> Iterator[np.ndarray]:
-    """The positions of grams, one array for each hash."""
+def shape_of(members: int) -> tuple[int, int]:
+    """(positions, hashes) of a table for languages of at most so many n-grams."""
+    size = SMALLEST
+    while size < min(LARGEST, ROOM * members):
+        size *= 2
+    return size, max(1, min(HASHES, round(size / max(1, members) * 0.69)))
+
+
+def slots(key: np.ndarray, size: int, hashes: int) -> Iterator[np.ndarray]:
+    """The positions of grams in a table of that size, one array for each hash."""
     x = key.astype(np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(HASHES):
+        for i in range(hashes):
             h = (x + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
             h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            yield (h >> np.uint64(44)).astype(np.int64) % SLOTS
+            yield (h >> np.uint64(32)).astype(np.int64) % size
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -109,16 +121,16 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 class Filters:
-    """langs: names in order; table (SLOTS, words of 64 languages): the masks; fill: the share of positions set by language."""
+    """langs: names in order; table (positions, words of 64 languages): the masks; fill: the share of positions set by language."""
 
-    def __init__(self, langs: list[str], table: np.ndarray) -> None:
-        self.langs, self.table = langs, table
+    def __init__(self, langs: list[str], table: np.ndarray, hashes: int = HASHES) -> None:
+        self.langs, self.table, self.hashes = langs, table, hashes
         self.fill = np.array([((table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
 
     def masks(self, key: np.ndarray) -> np.ndarray:
         """All languages that contain each gram, as words of 64 bits."""
         out = None
-        for at in slots(key):
+        for at in slots(key, len(self.table), self.hashes):
             out = self.table[at] if out is None else out & self.table[at]
         return out
 
@@ -129,7 +141,7 @@ class Filters:
         distinct, inverse = np.unique(key, return_inverse=True)
         mask = self.masks(distinct)
         hits = np.stack([np.bincount(owner, ((mask[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(float)[inverse], len(texts)) for i in range(len(self.langs))], 1)
-        chance = self.fill**HASHES
+        chance = np.minimum(self.fill**self.hashes, 1 - 1e-9)  # a filter that is full says nothing
         true = np.clip((hits - n[:, None] * chance) / (1 - chance), 0, None)
         best = true.argmax(1)
         total = true.sum(1)
@@ -146,18 +158,19 @@ def fit_filters(docs: DataFrame) -> Filters | None:
     of = docs.sparkSession.createDataFrame([(x, i, float(sizes[x])) for i, x in enumerate(langs)], "lang string, at int, n double")
     rated = counts.where("c > 1").join(F.broadcast(of), "lang").withColumn("rate", F.col("c") / F.col("n"))
     top = rated.groupBy("gram").agg(F.max("rate").alias("top"))
-    member = rated.join(top, "gram").where(F.col("rate") >= SHARE * F.col("top"))
+    member = save(rated.join(top, "gram").where(F.col("rate") >= SHARE * F.col("top")).select("at", "gram"), "gram-members")
+    size, hashes = shape_of(max([r.n for r in member.groupBy("at").agg(F.count("*").alias("n")).collect()], default=0))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, key = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for s in slots(key):
+            for s in slots(key, size, hashes):
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array((at // 64).astype(np.int32)), pa.array((np.uint64(1) << (at % 64).astype(np.uint64)).view(np.int64))], names=["slot", "word", "mask"])
 
     made = member.select("at", "gram").mapInArrow(place, "slot bigint, word int, mask bigint").groupBy("slot", "word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
-    table = np.zeros((SLOTS, (len(langs) + 63) // 64), np.uint64)  # at most SLOTS rows by language word came back
+    table = np.zeros((size, (len(langs) + 63) // 64), np.uint64)  # at most LARGEST rows by language word came back
     table[made["slot"].to_numpy(), made["word"].to_numpy()] = made["mask"].to_numpy().view(np.uint64)
-    return Filters(langs, table)
+    return Filters(langs, table, hashes)
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
