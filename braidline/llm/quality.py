@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidline.llm.common import save
+from braidline.llm.common import column, kept_columns, save
 
 SYMBOLS = "#*$%&|<>"
 #: Words in a window whose repetition counts.
@@ -100,11 +100,11 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     rule_failed, the failure that hosts are judged by: base_failed, or more than max_symbols symbols a word,
     or more than max_dup_lines of the lines repeated.
     """
-    made = {*MEASURES, "base_failed", "rule_failed", "host_rate", "kept"}
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    columns = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    made = kept_columns(docs, *MEASURES, "base_failed", "rule_failed", "host_rate", "kept")
+    keep = [c for c in (docs.columns if keep is None else keep) if c in made]
+    columns = [column(c).alias(f"k{i}") for i, c in enumerate(keep)]
     keep_text = text_col in keep
-    slim = docs.select(*columns, F.col(f"`{host_col}`").alias("host__"), *([] if keep_text else [F.col(f"`{text_col}`").alias("text__")]))
+    slim = docs.select(*columns, column(host_col).alias("host__"), *([] if keep_text else [column(text_col).alias("text__")]))
     at = keep.index(text_col) if keep_text else len(slim.columns) - 1
     kinds = [f for i, f in enumerate(slim.schema.fields) if keep_text or i != at]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + [f"{m} bigint" for m in MEASURES])
