@@ -7,7 +7,8 @@ follows the number of nodes, so that a key has few members by chance. Within a k
 distances to PIVOTS reference fingerprints are at hand for every node; a pair whose distances to some
 pivot differ by more than r is discarded, survivors are verified. A member that is linked is not compared
 again, so that a key emits a spanning forest of its members' links, and dense groups of
-near copies cost about their size. Components over the links of all keys give the classes.
+near copies cost about their size. A key of more than HOT members is compared in blocks, each two of which are a key of
+their own, so that no task holds more than two blocks. Components over the links of all keys give the classes.
 
 near_documents() serves documents by the similarity of their shingle sets instead, which few bits cannot
 reach: there, min-hash bands are the keys, the sizes of the sets discard pairs that cannot be alike, and the
@@ -27,16 +28,20 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidline.llm.common import components, save
+from braidline.llm.common import broadcast_if_small, components, save
 
 #: Reference fingerprints: the hashes of these many numbers.
 PIVOTS = 24
 SEED = 42
 #: Rows that a task compares at a time, and the largest block of distances.
 BLOCK = 1 << 18
+#: Members of a key that are compared by one task, at most.
+HOT = 1 << 12
+#: Rows of keys with many members that are broadcast, at most (16 bytes each).
+BROADCAST_ROWS = 200_000
 
 
 def pivots() -> np.ndarray:
@@ -190,9 +195,20 @@ def link_members(keyed: DataFrame, r: int, linker: Callable[[np.ndarray, int], l
     return dealt.select("key", "fp").mapInArrow(run, "a bigint, b bigint")
 
 
-def link_fingerprints(nodes: DataFrame, r: int = 4) -> DataFrame:
+def split_hot(keyed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(key, fp) of keys with up to `most` members, and of the others once for each two of their blocks, under a key of those."""
+    hot = save(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most), "hot-keys")
+    few = broadcast_if_small(hot, BROADCAST_ROWS)
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    dealt = keyed.join(few, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return keyed.join(few, "key", "left_anti"), dealt.select(pair.alias("key"), "fp")
+
+
+def link_fingerprints(nodes: DataFrame, r: int = 4, most: int = HOT) -> DataFrame:
     """(a, b) over the distinct fingerprints (column fp): links of at most r bits that connect all that is connected."""
-    return link_members(block_keys(nodes, r, blocks_for(nodes.count(), r)), r).distinct()
+    light, hot = split_hot(block_keys(nodes, r, blocks_for(nodes.count(), r)), most)
+    return link_members(light.union(hot), r).distinct()
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, r: int = 4) -> DataFrame:
@@ -217,7 +233,7 @@ SMALL = 24
 #: Share of min-hash values that a member must have in common with a centre to be verified against it.
 ALIKE = 0.64
 #: Members and shingles of a block of a large key: a task compares two blocks at a time.
-CUT, CUT_SHINGLES = 512, 1 << 20
+CUT, CUT_SHINGLES = 256, 1 << 19
 #: Shingles whose occurrences are multiplied at a time.
 COLUMNS = 4096
 
@@ -236,16 +252,16 @@ def _bands(h: np.ndarray) -> tuple[list[int], bytes]:
     return keys, (low & np.uint64(255)).astype(np.uint8).tobytes()
 
 
-def stars(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (centre, member) to verify among many members of one key, from their min-hash bytes.
+def stars(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (centre, member) to verify among many members of one key, from their min-hash bytes, and all centres.
 
     A group of edited copies has its original in its middle: the centre is the member closest to the most frequent
     values. Whoever is alike to it is paired with it and leaves; the rest goes on with a centre of its own. Those who
     leave are also paired with the next centre where they are alike to it, so that neighbourhoods meet.
     """
-    left, a, b = np.arange(len(sigs)), [], []
+    left, a, b, centres = np.arange(len(sigs)), [], [], []
     need = int(ALIKE * sigs.shape[1])
-    while len(left) > 1:
+    while len(left):
         here = sigs[left]
         counts = np.zeros((sigs.shape[1], 256), np.int64)
         for i in range(sigs.shape[1]):
@@ -253,11 +269,12 @@ def stars(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         centre = left[(here == counts.argmax(1)[None, :]).sum(1).argmax()]
         alike = (sigs == sigs[centre]).sum(1) >= need
         alike[centre] = False
+        centres.append(centre)
         members = np.flatnonzero(alike)
         a.append(np.full(len(members), centre))
         b.append(members)
         left = left[~alike[left] & (left != centre)]
-    return np.concatenate(a) if a else np.array([], np.int64), np.concatenate(b) if b else np.array([], np.int64)
+    return np.concatenate(a), np.concatenate(b), np.array(centres)
 
 
 def _set_similarity(a: bytes, b: bytes) -> float:
@@ -296,9 +313,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Equal sets are one node, whatever the number of their documents.
     nodes = save(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("size").alias("size")), "shingle-nodes")
     keyed = nodes.select(F.explode("bands").alias("key"), "node", "size")
-    found = save(_band_pairs(keyed, similarity), "shingle-pairs")
-    large = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("node")).join(nodes.select("node", "size", "sig"), "node")
-    pairs = save(found.where("not large").select("a", "b").union(_star_pairs(large, similarity)).distinct(), "shingle-pairs")
+    hot = save(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CUT), "hot-bands")
+    few = broadcast_if_small(hot.select("key"), BROADCAST_ROWS)
+    found = save(_band_pairs(keyed.join(few, "key", "left_anti"), similarity), "shingle-pairs")
+    crowd = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("node")).union(keyed.join(few, "key", "left_semi").select("key", "node"))
+    crowd = save(crowd, "shingle-crowds")
+    pairs = save(found.where("not large").select("a", "b").union(_star_pairs(crowd, nodes.select("node", "size", "sig"), similarity)).distinct(), "shingle-pairs")
 
     def sets(of: DataFrame) -> DataFrame:
         """(node, s): shingle sets only of what is verified, made again from one text of each node."""
@@ -316,7 +336,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = save(both.where(alike("sa", "sb") >= similarity).select("a", "b"), "shingle-links")
     roots = save(nodes.join(components(links, "shingle-components"), "node", "left").select("node", "first", "size", F.coalesce("root", "node").alias("root")), "shingle-roots")
     # Members of large keys that are still apart: all their pairs, in blocks.
-    apart = save(_block_pairs(found.where("large").select(F.col("a").alias("key"), F.col("b").alias("node")).join(roots.drop("first"), "node"), similarity), "shingle-blocks")
+    apart = save(_block_pairs(crowd.join(roots.drop("first"), "node"), similarity), "shingle-blocks")
     named = roots
     if not apart.isEmpty():
         more = save(_block_links(apart.join(sets(apart.select("node")), "node"), similarity), "shingle-links")
@@ -368,42 +388,72 @@ def _band_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
     return _grouped(keyed.select("key", "node", "size"), run, "a bigint, b bigint, large boolean")
 
 
-def _star_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): nodes to verify among the members (key, node, size, sig) of large keys."""
+def _star_pairs(crowd: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): nodes to verify among the members (key, node) of large keys; nodes has each one's (node, size, sig).
+
+    Members are dealt to blocks of CUT. The centres of a key's blocks are members of the next level, until each key has one
+    block or most members are centres; whatever is apart then is compared in full by blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, size, sig in _members(batches):
-            i, j = [], []
-            for s, e in _bounds(key):
-                x, y = stars(np.frombuffer(b"".join(sig[s:e]), np.uint8).reshape(e - s, -1))
+        for block, key, node, size, sig in _members(batches):
+            i, j, kept = [], [], []
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                x, y, centres = stars(np.frombuffer(b"".join(sig[s:e]), np.uint8).reshape(e - s, -1))
                 i.append(s + x)
                 j.append(s + y)
-            if i:
-                x, y = np.concatenate(i), np.concatenate(j)
-                stay = _fit(size, x, y, similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(node[x[stay]], pa.int64()), pa.array(node[y[stay]], pa.int64())], names=["a", "b"])
-
-    return _grouped(keyed.select("key", "node", "size", "sig"), run, "a bigint, b bigint")
+                kept.append(s + centres)
+            x, y, kept = np.concatenate(i), np.concatenate(j), np.concatenate(kept)
+            stay = _fit(size, x, y, similarity)
+            x, y = np.concatenate([x[stay], kept]), np.concatenate([y[stay], kept])  # a centre is its own pair
+            yield pa.RecordBatch.from_arrays([pa.array(key[x], pa.int64()), pa.array(node[x], pa.int64()), pa.array(node[y], pa.int64())], names=["key", "a", "b"])
+
+    parts = int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs, members = None, crowd
+    while True:
+        many = save(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CUT), "star-keys")
+        blocks = F.ceil(F.coalesce("n", F.lit(1)) / CUT)
+        dealt = members.join(broadcast_if_small(many, BROADCAST_ROWS), "key", "left").withColumn("block", F.xxhash64("key", F.pmod(F.xxhash64("node"), blocks)))
+        dealt = dealt.join(nodes, "node").select("block", "key", "node", "size", "sig")
+        made = save(dealt.repartition(parts, "block").sortWithinPartitions("block", "node").mapInArrow(run, "key bigint, a bigint, b bigint"), "star-pairs")
+        links = made.where("a <> b").select("a", "b")
+        pairs = links if pairs is None else pairs.union(links)
+        if many.isEmpty():
+            return pairs
+        centres = save(made.where("a = b").select("key", F.col("a").alias("node")).join(broadcast_if_small(many.select("key"), BROADCAST_ROWS), "key", "left_semi"), "star-centres")
+        if 2 * centres.count() > members.count():
+            return pairs
+        members = centres
 
 
 def _block_pairs(members: DataFrame, similarity: float) -> DataFrame:
     """(key, i, j, block, node, root, size): the members (key, node, size, root) of large keys, once for each pair of blocks
     (i, j) of their key that is to be compared.
 
-    Left out are only pairs of blocks of one root, and those whose sizes are too unlike for the similarity, which is at
-    most the ratio of the sizes. Large groups of one root get blocks of their own; the rest is cut by size.
+    A member's group is its band of sizes, so wide that sets beyond the next band cannot be that similar, and its root if that
+    has many members in the key. Groups are dealt to blocks by hash. Left out are only pairs of blocks of one root, and
+    those of bands or sizes too far apart.
     """
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    counted = members.join(mixed, "key").withColumn("own", F.count("*").over(Window.partitionBy("key", "root")) >= CUT // 2)
-    order = Window.partitionBy("key").orderBy(F.desc("own"), F.when(F.col("own"), F.col("root")), "size", "node")
-    place, before = F.row_number().over(order) - 1, F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = save(counted.withColumn("block", F.floor(place / CUT) + F.floor(before / CUT_SHINGLES)).drop("own"), "shingle-placed")
-    blocks = placed.groupBy("key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"))
-    x, y = (blocks.select("key", *[F.col(c).alias(f"{c}_{n}") for c in blocks.columns[1:]]) for n in "ij")
+    mine = members.join(mixed, "key")
+    owners = save(mine.groupBy("key", "root").agg(F.count("*").alias("n")).where(F.col("n") >= CUT // 2).select("key", "root"), "shingle-owners")
+    mine = mine.join(broadcast_if_small(owners.withColumn("own", F.col("root")), BROADCAST_ROWS), ["key", "root"], "left")
+    mine = mine.withColumn("band", F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(1 / similarity) + 1e-9))
+    group = ["key", "band", "own"]
+    sums = mine.groupBy(*group).agg(F.ceil(F.greatest(F.count("*") / CUT, F.sum("size") / CUT_SHINGLES)).alias("blocks")).where("blocks > 1")
+    many = broadcast_if_small(save(sums.select(F.xxhash64(*group, F.col("own").isNull()).alias("group"), "blocks"), "shingle-groups"), BROADCAST_ROWS)
+    mine = mine.withColumn("group", F.xxhash64(*group, F.col("own").isNull())).join(many, "group", "left")
+    block = F.xxhash64("group", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))))
+    placed = save(mine.select("key", "node", "root", "size", "band", block.alias("block")), "shingle-placed")
+    blocks = placed.groupBy("key", "band", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"))
+    x = blocks.select("key", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("from"), *[F.col(c).alias(f"{c}_i") for c in ("block", "low", "high", "least", "most")])
+    y = blocks.select("key", "band", *[F.col(c).alias(f"{c}_j") for c in ("block", "low", "high", "least", "most")])
     fits = (F.col("most_i") / F.greatest(F.lit(1), "least_j") >= similarity) & (F.col("most_j") / F.greatest(F.lit(1), "least_i") >= similarity)
     apart = F.least("low_i", "low_j") < F.greatest("high_i", "high_j")
-    both = x.join(y, "key").where((F.col("block_i") <= F.col("block_j")) & fits & apart).select("key", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
-    return placed.join(both.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), ["key", "block"])
+    once = (F.col("band") > F.col("from")) | (F.col("block_i") <= F.col("block_j"))
+    both = x.join(y, ["key", "band"]).where(once & fits & apart).select("key", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+    return placed.drop("band").join(both.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), ["key", "block"])
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
