@@ -10,6 +10,14 @@ PROTECTED = ("goal", "subgoal", "constraint", "receipt", "failure")
 BEAM, RISK_WEIGHT = 16, 512.0
 
 
+def find_nodes(nodes: DataFrame, types: tuple[str, ...] | None = None, lifecycle: tuple[str, ...] | None = None, active: bool | None = None) -> DataFrame:
+    """Nodes that meet every condition that is given."""
+    for column, values in (("node_type", types), ("lifecycle", lifecycle)):
+        if values is not None:
+            nodes = nodes.where(F.col(column).isin(*values))
+    return nodes if active is None else nodes.where(F.col("active") == active)
+
+
 def object_class(node_type: Column, validity: Column, lifecycle: Column, tokens: Column, content: Column) -> Column:
     """One of six classes of what a context may hold; the first that fits."""
     confirms = F.lower(F.coalesce(content, F.lit(""))).rlike("confirm|explicit user consent")

@@ -1,7 +1,7 @@
 """All queries of the library by name."""
 
-from braidline.plans import contexts, decisions, exchanges, runs, states, statistics, stories, traces
+from braidline.plans import contexts, decisions, exchanges, protocols, runs, states, statistics, stories, traces
 
-_PARTS = (contexts, exchanges, stories, states, runs, decisions, statistics, traces)
+_PARTS = (contexts, exchanges, stories, states, runs, protocols, decisions, statistics, traces)
 QUERIES = {name: q for part in _PARTS for name, q in part.R.queries.items()}
 ORACLES = {name: q for part in _PARTS for name, q in part.R.oracles.items()}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from braidline.functions.text import semantic_outcome
 from braidline.operators.trace_fold import EDGE_FIELDS, NODE_FIELDS, TraceFold
+from braidline.scratch import table
 
 MESSAGES = "session_id string, task_id string, trial bigint, reward double, ordinal bigint, role string, message string"
 TRACE = "session_id string, kind string, node_id string, node_type string, content string, step_id bigint, ordinal bigint, token_count bigint, tool_name string, operation_key string, call_id string, semantic_outcome string, side_effect boolean, source string, target string, edge_type string, confidence double, match_type string"
@@ -41,27 +42,42 @@ def flat_messages(simulation: dict[str, Any]) -> list[dict[str, Any]]:
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each message of every JSON file under path; files that don't parse are left out.
+    """One row for each message of every simulation under path, with the instruction of its task.
 
-    A file is parsed whole by one task, as a JSON document must be; corpora are many files.
+    Layouts: a folder with results.json, which names tasks and domain and holds the simulations, or has them in simulations/*.json beside it; a
+    container; a list; a single simulation. A file that is no JSON, or none of these, is an error, as is a path without a simulation. A file is parsed whole by
+    one task, as a JSON document must be; corpora are many files.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for text in part["value"]:
+            for file, text in zip(part["file"], part["value"], strict=True):
                 try:
                     payload = json.loads(text)
-                except ValueError:
-                    continue
-                for sim in simulations(payload):
+                except ValueError as e:
+                    raise ValueError(f"{file} is no JSON: {e}") from e
+                found = simulations(payload)
+                known = payload.get("tasks") if isinstance(payload, dict) else None
+                if not found and not isinstance(known, list) and not (isinstance(payload, dict) and payload.get("simulations") == []):
+                    raise ValueError(f"{file} holds no simulations")
+                base = file.rsplit("/", 2 if "/simulations/" in file else 1)[0]
+                for task in known or []:
+                    if isinstance(task, dict) and task.get("id") is not None:
+                        rows.append((base, "task", None, str(task["id"]), None, None, None, "", next((x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for k in ("instruction", "user_scenario", "description") if (x := task.get(k)) is not None), None)))
+                for sim in found:
                     reward = (sim.get("reward_info") or {}).get("reward")
                     for i, m in enumerate(flat_messages(sim), 1):
-                        rows.append((str(sim.get("id")), None if sim.get("task_id") is None else str(sim["task_id"]), sim.get("trial"), reward, i, str(m.get("role") or m.get("speaker") or "").lower(), json.dumps(m, ensure_ascii=False)))
-            yield pd.DataFrame(rows, columns=["session_id", "task_id", "trial", "reward", "ordinal", "role", "message"])
-
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    return files.mapInPandas(run, MESSAGES)
+                        rows.append((base, "message", str(sim.get("id")), None if sim.get("task_id") is None else str(sim["task_id"]), sim.get("trial"), reward, i, str(m.get("role") or m.get("speaker") or "").lower(), json.dumps(m, ensure_ascii=False)))
+            yield pd.DataFrame(rows, columns=["base", "kind", "session_id", "task_id", "trial", "reward", "ordinal", "role", "message"])
+
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = table(files.mapInPandas(run, f"base string, kind string, {MESSAGES}"), "trajectories")
+    found = rows.where("kind = 'message'").drop("kind")
+    if found.isEmpty():
+        raise ValueError(f"no simulations in {path}")
+    tasks = rows.where("kind = 'task'").select("base", "task_id", F.col("message").alias("instruction")).dropDuplicates(["base", "task_id"])
+    return found.join(tasks, ["base", "task_id"], "left").select(*[c.split()[0] for c in MESSAGES.split(", ")], "instruction")
 
 
 def fold_rows(fold: TraceFold, messages: pd.DataFrame) -> list[tuple]:

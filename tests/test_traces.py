@@ -35,15 +35,30 @@ STORY = [
 @pytest.fixture
 def saved(tmp_path):
     (tmp_path / "one").mkdir()
-    (tmp_path / "one" / "results.json").write_text(json.dumps({"tasks": [], "simulations": [{"id": "s1", "task_id": 1, "trial": 0, "reward_info": {"reward": 1.0}, "messages": STORY}]}))
+    (tmp_path / "one" / "results.json").write_text(json.dumps({"tasks": [{"id": 1, "instruction": "send it back"}], "simulations": [{"id": "s1", "task_id": 1, "trial": 0, "reward_info": {"reward": 1.0}, "messages": STORY}]}))
     (tmp_path / "two.json").write_text(json.dumps([{"id": "s2", "traj": [STORY[1], {"tool_messages": [result("x", "late")]}]}]))
-    (tmp_path / "bad.json").write_text("{")
     return str(tmp_path)
 
 
+@pytest.mark.parametrize("text", ["{", "3", '{"a": 1}'])
+def test_files_that_are_no_trajectories_are_errors(spark, saved, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(Exception, match="bad.json"):
+        trajectories.read_messages(spark, saved).count()
+
+
+def test_simulations_beside_their_tasks(spark, tmp_path):
+    (tmp_path / "run" / "simulations").mkdir(parents=True)
+    (tmp_path / "run" / "results.json").write_text(json.dumps({"tasks": [{"id": "t", "user_scenario": {"a": 1}}], "simulations": []}))
+    (tmp_path / "run" / "simulations" / "x.json").write_text(json.dumps({"id": "s", "task_id": "t", "messages": STORY}))
+    rows = trajectories.read_messages(spark, str(tmp_path)).collect()
+    assert len(rows) == 9 and {r.instruction for r in rows} == {'{"a": 1}'}
+
+
 def test_story(spark, saved):
     messages = trajectories.read_messages(spark, saved)
     assert {(r.session_id, r["count"]) for r in messages.groupBy("session_id").count().collect()} == {("s1", 9), ("s2", 2)}
+    assert {(r.session_id, r.instruction) for r in messages.collect()} == {("s1", "send it back"), ("s2", None)}
     trace = trajectories.traces(messages).cache()
     edges = [r for r in trajectories.edges_of(trace).collect() if r.session_id == "s1"]
     retried = [r for r in edges if r.edge_type == "retried_by"]
