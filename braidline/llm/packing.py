@@ -1,6 +1,8 @@
 """Lexical retrieval packing: windows filled with BM25 neighbours of their seed document.
 
-Texts are encoded once. Documents are dealt to shards by a hash; each shard holds an inverted index
+Texts are encoded once. Documents are dealt to shards of about SHARD_IDS ids by what they are about: their two terms of the
+most weight give a cell, cells in order fill the shards, and a cell that is larger than a shard is dealt to several
+by row, so that no shard grows with a term, a text or a row that is repeated. Each shard holds an inverted index
 over its documents' token ids with BM25 weights from the corpus's document frequencies and mean length. Window by
 window, a seed document asks the index with all its terms for unused neighbours, best first, until they
 have filled the window greedily; the one that does not fit is cut, and its rest is the next seed. Where no neighbour
@@ -19,6 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +30,15 @@ from braidline.llm.common import save
 WINDOW, END = 2048, 1
 #: Ids in a shard, about: the unit of one index in memory (40 bytes an id).
 SHARD_IDS = 3_000_000
-#: Terms of the seed that are asked for, at most: all of any vocabulary.
-TERMS = 1 << 16
+#: Cells that a document's heaviest term is divided into, by its second one; with 16-bit ids, cells are 2 ** 20 at most.
+SECOND = 16
 #: Share of a shard's documents from which on a term's weights are kept as a dense row.
-DENSE = 1 / 8
+DENSE = 1 / 16
 K1, B = 1.2, 0.75
-#: Words of an encoder's memory, about 250 bytes each.
-KNOWN = 600_000
+#: Words of one of the two generations of an encoder's memory, about 250 bytes each.
+KNOWN = 250_000
+#: Bytes of texts whose words are told apart together.
+TOGETHER = 1 << 23
 
 
 def byte_letters() -> dict[int, str]:
@@ -51,7 +56,8 @@ class Encoder:
     the ASCII marks behind them. Latin letters go to the merges directly, everything else through the whole tokenizer.
     """
 
-    MARKS = b".,!?;:#$%&*|-"
+    #: A word and the marks behind it.
+    PARTS = r"(?s)^(?P<core>.*[0-9A-Za-z])(?P<rest>[.,!?;:#$%&*|-]+)$"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -60,44 +66,63 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
-        self.known: dict[bytes, bytes] = {}
+        self.merges = self.tokenizer.model.tokenize
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.letters = byte_letters()
+        self.bytes_of = [i.to_bytes(2, "little") for i in range(1 << 16)]
 
-    def whole(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint16).tobytes()
-
-    def letters_of(self, word: bytes) -> bytes:
+    def made(self, word: str) -> bytes:
         """Ids of a word that holds no mark behind its letters."""
-        text = word.decode()
-        low = text.lower()
+        low = word.lower()
         if not low.isalpha() or max(low) >= "\u0250":
-            return self.whole(word)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(low.encode().decode("latin-1").translate(self.letters))], np.uint16).tobytes()
-
-    def learn(self, word: bytes) -> bytes:
-        """Encode a word and remember it."""
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(self.letters)
+        two = self.bytes_of
+        return b"".join([two[t.id] for t in self.merges(low)])
+
+    def learn(self, word: str) -> bytes:
+        """Encode a word and remember it. What is not asked for while a generation fills up is forgotten."""
+        out = self.older.get(word)
+        if out is None:
+            out = self.made(word)
         if len(self.known) >= KNOWN:
+            self.older = dict(self.known)
             self.known.clear()
-        core = word.rstrip(self.MARKS)
-        if core and core != word and core[-1:].isalnum():
-            out = b"".join(self.known.get(x) or self.learn_part(x) for x in (core, word[len(core) :]))
-        else:
-            out = self.learn_part(word)
         self.known[word] = out
         return out
 
-    def learn_part(self, word: bytes) -> bytes:
-        out = self.known[word] = self.letters_of(word)
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Words of some texts at a time are told apart first, so that each is looked up once and the ids are gathered."""
+        out: list[np.ndarray] = []
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(texts):
+            end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + TOGETHER, "right")))
+            out += self._together(texts.slice(start, end - start))
+            start = end
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for t in texts:
-            raw = (t or "").encode()
-            words = raw.split() if b"<|" in raw else raw.lower().split()  # names of special tokens have a case
-            get, learn = self.known.get, self.learn
-            out.append(b"".join([get(w) or learn(w) for w in words]))
-        return out
+    def _together(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, "<|")  # names of special tokens have a case
+        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        words = lists.flatten().dictionary_encode()
+        parts = pc.extract_regex(words.dictionary, self.PARTS)
+        core = pc.coalesce(pc.struct_field(parts, "core"), words.dictionary).dictionary_encode()
+        rest = pc.fill_null(pc.struct_field(parts, "rest"), "").dictionary_encode()
+        get, learn = self.known.get, self.learn
+        ids = [get(w) or learn(w) if w else b"" for d in (core, rest) for w in d.dictionary.to_pylist()]
+        flat = np.frombuffer(b"".join(ids), np.uint16)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        # Each word is its core and what is behind it; of every part, where its ids end in flat.
+        part = np.stack([core.indices.to_numpy(), rest.indices.to_numpy() + len(core.dictionary)], 1)[words.indices.to_numpy()].ravel()
+        n = length[part]
+        ends = np.cumsum(n)
+        gathered = flat[np.repeat(np.cumsum(length)[part] - ends, n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[2 * (lists.offsets.to_numpy() - lists.offsets[0].as_py())]
+        return np.split(gathered, bounds[1:-1])
 
 
 @cache
@@ -106,39 +131,78 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def cell_of(ids: np.ndarray, counts: np.ndarray) -> int:
+    """The cell of a document with these distinct ids: its two ids of the most weight, root of the count times logarithm of the id.
+
+    Byte-pair vocabularies number their ids by falling frequency, so that an id tells how rare it is before any document
+    has been counted. The end id says nothing.
+    """
+    weight = np.sqrt(counts) * np.log(ids + 2.0)
+    weight[ids == END] = 0
+    if len(ids) < 3:
+        return int(ids[weight.argmax()]) * SECOND
+    two = np.argpartition(-weight, 1)[:2]
+    first, second = ids[two[np.lexsort((ids[two], -weight[two]))]].tolist()
+    return first * SECOND + zlib.crc32(second.to_bytes(2, "little")) % SECOND
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): ids with the end id, as bytes of 16-bit numbers."""
+    """(row, doc_id, cell, n, ids, df): n ids with the end id, as bytes of 16-bit numbers, and one further row a task, without
+    ids, whose df holds the task's documents with each id, as bytes of 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        end = np.array([END], np.uint16).tobytes()
+        end = np.array([END], np.uint16)
+        df = np.zeros(1 << 16, np.int64)
+        names = ["row", "doc_id", "cell", "n", "ids", "df"]
+        kind = None
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                ids = [x + end for x in encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids binary")
+            kind = b.schema.field(1).type
+            for i in range(0, b.num_rows, 2000):
+                part = b.slice(i, 2000)
+                cells, ids = [], []
+                for x in encode(part.column(2)):
+                    x = np.concatenate([x, end])
+                    used, counts = np.unique(x, return_counts=True)
+                    df[used] += 1
+                    cells.append(cell_of(used, counts))
+                    ids.append(x.tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells, pa.int32()), pa.array([len(x) // 2 for x in ids], pa.int32()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary())], names=names)
+
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, f"row bigint, doc_id {slim.schema['doc_id'].dataType.simpleString()}, cell int, n int, ids binary, df binary")
 
 
 def document_frequencies(encoded: DataFrame) -> np.ndarray:
-    """Documents with each id, over all rows: a vector as long as the vocabulary."""
+    """Documents with each id, over all rows: a vector as long as the vocabulary, from the tasks' vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
             for x in b.column(0):
-                total[np.unique(np.frombuffer(x.as_py(), np.uint16))] += 1
+                total += np.frombuffer(x.as_py(), np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["id", "n"])
 
-    table = encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    table = encoded.select("df").where("df is not null").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << 16, np.int64)
     out[table["id"].to_numpy()] = table["n"].to_numpy()
     return out
 
 
+def deal(encoded: DataFrame, shard_ids: int = SHARD_IDS) -> DataFrame:
+    """The documents of encoded with their shard: cells lie one behind the other, and a document lies in its cell by the hash of its row."""
+    held = encoded.where("n is not null")
+    cells = held.groupBy("cell").agg(F.sum("n").alias("size")).toArrow().sort_by("cell")  # 2 ** 20 rows at most
+    size = cells["size"].to_numpy()
+    places = pa.table({"cell": cells["cell"], "before": np.cumsum(size) - size, "size": size})
+    spread = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    placed = held.join(F.broadcast(held.sparkSession.createDataFrame(places)), "cell")
+    return placed.select("row", "doc_id", "ids", F.floor((F.col("before") + spread * F.col("size")) / shard_ids).cast("bigint").alias("shard"))
+
+
 class Index:
     """BM25 over one shard."""
 
@@ -152,33 +216,40 @@ class Index:
         self.start = np.searchsorted(self.term, np.arange((1 << 16) + 1))
         by_doc = np.argsort(self.doc, kind="stable")
         bound = np.searchsorted(self.doc[by_doc], np.arange(len(docs) + 1))
-        self.terms_of = lambda i: by_doc[bound[i] : bound[i + 1]]
+        self.terms_of = lambda i: self.term[by_doc[bound[i] : bound[i + 1]]]
         self.size = len(docs)
-        self.dense = {}
-        for t in np.flatnonzero(np.diff(self.start) > DENSE * self.size):
+        common = np.flatnonzero(np.diff(self.start) > max(DENSE * self.size, 1))
+        self.place = np.full(1 << 16, -1)
+        self.place[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.size), np.float32)
+        for i, t in enumerate(common):
             a, b = self.start[t], self.start[t + 1]
-            self.dense[t] = np.zeros(self.size, np.float32)
-            self.dense[t][self.doc[a:b]] = self.weight[a:b]
-
-    def neighbours(self, seed: int, unused: np.ndarray, most: int = 32) -> np.ndarray:
-        """Unused documents by descending score, ties by place; none without a common term."""
-        mine = self.terms_of(seed)
-        if len(mine) > TERMS:
-            mine = mine[np.argpartition(-self.weight[mine], TERMS)[:TERMS]]
-        score = np.zeros(self.size, np.float32)
-        for t in self.term[mine].tolist():
-            if t in self.dense:
-                score += self.dense[t]
-                continue
-            a, b = self.start[t], self.start[t + 1]
-            score[self.doc[a:b]] += self.weight[a:b]
-        score *= unused
-        if most < self.size:
-            top = np.argpartition(-score, most)[:most]
-        else:
-            top = np.arange(self.size)
-        top = top[score[top] > 0]
-        return top[np.lexsort((top, -score[top]))]
+            self.dense[i, self.doc[a:b]] = self.weight[a:b]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for all terms of the seed."""
+        terms = self.terms_of(seed)
+        place = self.place[terms]
+        rare = terms[place < 0]
+        start, length = self.start[rare], self.start[rare + 1] - self.start[rare]
+        at = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+        common = np.add.reduce(self.dense[place[place >= 0]], 0)  # no product of matrices: that would start threads of its own
+        return common + np.bincount(self.doc[at], self.weight[at], self.size).astype(np.float32)
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents by descending score, ties by place, to the last one with a common term."""
+        score = self.scores(seed) * unused
+        most, done = 64, 0
+        while done < self.size:
+            if most < self.size:  # a window seldom needs more than a few
+                least = np.partition(score, self.size - most)[self.size - most]
+                top = np.flatnonzero(score >= max(least, 1e-30))
+            else:
+                top = np.flatnonzero(score > 0)
+            yield from top[np.argsort(-score[top], kind="stable")][done:].tolist()
+            if most >= self.size or len(top) < most:
+                return
+            done, most = len(top), 8 * most
 
 
 def pack_shard(docs: list[np.ndarray], df: np.ndarray, count: int, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -206,49 +277,48 @@ def pack_shard(docs: list[np.ndarray], df: np.ndarray, count: int, mean: float,
             return pieces
         seed = after
         put(seed)
-        most = 32
         while filled:  # the seed of a window is the document that began it
-            found = index.neighbours(seed, unused, most)
-            if not len(found):
-                break
-            most *= 2
-            for i in found:
+            for i in index.neighbours(seed, unused):
                 before = sequence
-                put(int(i))
+                put(i)
                 if sequence != before:
-                    seed, most = int(i), 32
+                    seed = i
                     break
+            else:
+                break
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids): one row for each piece; ids is an array."""
     encoded = save(encode_documents(docs, path, id_col, text_col), "packing-ids")
-    total = encoded.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("bytes")).first()
-    shards = max(1, -(-total["bytes"] // 2 // SHARD_IDS))
-    sent = docs.sparkSession.sparkContext.broadcast((document_frequencies(encoded), total.n, total["bytes"] / 2 / max(1, total.n)))
+    total = encoded.agg(F.count("n").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids")).first()
+    sent = docs.sparkSession.sparkContext.broadcast((document_frequencies(encoded), total.n, total.ids / max(1, total.n)))
     kind = encoded.schema["doc_id"].dataType
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         df, count, mean = sent.value
-        order = np.lexsort((np.array([str(x) for x in table["doc_id"].to_pylist()]), [zlib.crc32(x) for x in table["ids"].to_pylist()]))
-        table = table.take(pa.array(order))
+        table = table.take(pa.array(np.lexsort((table["row"].to_numpy(), [zlib.crc32(x) for x in table["ids"].to_pylist()]))))
         ids = [np.frombuffer(x, np.uint16) for x in table["ids"].to_pylist()]
         pieces = pack_shard(ids, df, count, mean, window)
         doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-        parts = [ids[d][s : s + n].astype("<u4") for d, s, n in zip(doc, start, length, strict=True)]
+        laid = np.concatenate([ids[d][s : s + n] for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]).astype("<u4")
+        ends = np.concatenate([[0], np.cumsum(length)])
+        raw = memoryview(laid).cast("B")
         return pa.table(
             {
                 "doc_id": table["doc_id"].combine_chunks().take(pa.array(doc)),
                 "start": start,
                 "length": length,
-                "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in parts], pa.int64()),
-                "doc_tokens": np.array([len(ids[d]) for d in doc], np.int64),
+                "ids_crc32": pa.array([zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64()),
+                "doc_tokens": np.array([len(x) for x in ids], np.int64)[doc],
                 "sequence_id": (key[0].as_py() << 32) + sequence,
                 "offset": offset,
-                "ids": pa.array([x.astype(np.int32) for x in parts], pa.list_(pa.int32())),
+                "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(laid.view(np.int32))),
             }
         )
 
-    dealt = encoded.withColumn("shard", F.pmod(F.xxhash64("ids", "doc_id"), F.lit(shards)))
+    # A shard is one task's work at a time: as many partitions as shards, where those are more.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total.ids // SHARD_IDS + 1)
+    dealt = deal(encoded).repartition(parts, "shard")
     schema = f"doc_id {kind.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids array<int>"
     return dealt.groupBy("shard").applyInArrow(run, schema)
