@@ -6,9 +6,13 @@ whole page as context. The labeller is trained on the driver, on a bounded sampl
 themselves: containers and boilerplate that pages name in their markup teach it (teach()), on the pages as they are and
 on variants with other containers and further boilerplate put in (variant()).
 
-Defined results: null and empty html gives an empty text; markup that isn't closed is closed where HTML closes it;
-blocks without text are none; repeated rows are extracted each; without a page to learn from there is
-nothing to label; extra columns are left out.
+A page is read in one pass, whose time and memory are in proportion to its length, however deep its elements
+are nested and whatever is left unclosed.
+
+Defined results: null and empty html gives an empty text; markup that isn't closed is closed where HTML closes it; a tag
+that never ends is text; a quote that is never closed ends nowhere, so its tag ends at the next >; of a
+block's path the innermost DEPTH elements count; blocks without text are none; repeated rows are extracted each; if no page
+of the sample has a block, there is no labeller and every block stays; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -43,8 +47,18 @@ SAMPLE, VARIANTS, EPOCHS = 240, 4, 8
 PATHS, WORDS = 1 << 11, 1 << 11
 PATH_DIM, WORD_DIM, HIDDEN = 20, 6, 16
 BATCH = 64
-
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: Elements of a block's path that are seen, from the inside.
+DEPTH = 48
+#: Characters of a page that the labeller learns from, at most; pages are labelled whole.
+LONGEST = 200_000
+#: Elements at which an opening tag's search for what it ends stops.
+BARRIERS = frozenset(("ul", "ol", "table", "dl", "div", "article", "section"))
+
+# A tag whose quoted values hold no angle bracket; whatever fails has been read up to the next bracket only.
+_tag = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+_name = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_stop = re.compile(r"[>\"']")
+_numbers = re.compile(r"&#[xX]?[0-9a-fA-F]{9,};?")
 _named = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _split = re.compile(r"[\s_-]+")
 
@@ -64,71 +78,154 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(x for m in _named.finditer(attributes) for x in [" ".join(g for g in m.groups()[1:] if g).lower()] if x)
 
 
+class _Open:
+    """The open elements, with the places of each tag, so that nothing is searched for."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.barriers: list[int] = []
+
+    def has(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        at = len(self.stack)
+        self.places.setdefault(tag, []).append(at)
+        if tag in BARRIERS:
+            self.barriers.append(at)
+        self.stack.append((tag, names))
+
+    def cut(self, at: int) -> None:
+        """Close everything from place at on."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop()[0]].pop()
+        while self.barriers and self.barriers[-1] >= at:
+            self.barriers.pop()
+
+    def close(self, tag: str) -> None:
+        if self.has(tag):
+            self.cut(self.places[tag][-1])
+
+    def end(self, tags: tuple[str, ...]) -> None:
+        """Close from the outermost element of these tags on that lies inside the innermost barrier."""
+        low = self.barriers[-1] if self.barriers else -1
+        for tag in tags:
+            while self.has(tag) and self.places[tag][-1] > low:
+                self.cut(self.places[tag][-1])
+
+    def path(self) -> tuple:
+        return tuple(self.stack[-DEPTH:])
+
+
+class _Tags:
+    """Reads the markup of one page; what has been found not to close is not looked for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quoted = page, page.rfind(">"), True
+
+    def read(self, at: int) -> tuple[str, str, str, int] | None:
+        """(slash, name, attributes, place behind) of the tag at a place, or None if there is none."""
+        m = _tag.match(self.page, at)
+        if m:
+            return m.group(1), m.group(2), m.group(3), m.end()
+        m = _name.match(self.page, at)
+        if not m or at > self.last:
+            return None
+        i = m.end()
+        while self.quoted:
+            stop = _stop.search(self.page, i)
+            if stop is None:
+                self.quoted = False  # quotes run to the end of the page: from here on they are mere characters
+            elif stop.group() == ">":
+                return m.group(1), m.group(2), self.page[m.end() : stop.start()], stop.end()
+            else:
+                close = self.page.find(stop.group(), stop.end())
+                if close < 0:
+                    self.quoted = False
+                i = close + 1
+        end = self.page.find(">", m.end())
+        return m.group(1), m.group(2), self.page[m.end() : end], end + 1
+
+    def skip(self, at: int) -> int:
+        """The place behind a comment, a declaration or an instruction at a place, or that place."""
+        page = self.page
+        for start, close in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if page.startswith(start, at):
+                end = page.find(close, at + len(start))
+                return len(page) if end < 0 else end + len(close)
+        if page.startswith(("<!", "<?"), at) and at < self.last:
+            return page.find(">", at) + 1
+        return at
+
+
+def _unescaped(text: str) -> str:
+    if "&" not in text:
+        return text
+    return entities.unescape(_numbers.sub("\ufffd", text))  # beyond any code point, and digits without end
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    page = page or ""
+    tags, open_ = _Tags(page), _Open()
     text: list[str] = []
     path: tuple = ()
-    linked = 0
+    linked, seen, at = 0, False, 0
 
     def flush() -> None:
-        nonlocal linked
-        words = " ".join("".join(text).split())
-        if words:
-            out.append(Block(words, path, linked))
+        nonlocal linked, seen
+        if seen:
+            out.append(Block(" ".join("".join(text).split()), path, linked))
         text.clear()
-        linked = 0
+        linked, seen = 0, False
 
-    page = page or ""
-    at = 0
     while at < len(page):
-        m = _token.match(page, at)
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            piece = m.group()
-            if piece[0] == "<" and len(piece) > 1:
-                continue
-            if any(t == "head" for t, _ in stack):
+        behind = page.find("<", at)
+        if behind != at:
+            behind = len(page) if behind < 0 else behind
+            piece, at = page[at:behind], behind
+            tag = None
+        elif (behind := tags.skip(at)) != at:
+            at = behind
+            continue
+        elif (tag := tags.read(at)) is None:
+            piece, at = "<", at + 1
+        if tag is None:
+            if open_.has("head"):
                 continue
-            piece = entities.unescape(piece)
+            piece = _unescaped(piece)
             if piece.strip():
-                if not text or not "".join(text).strip():
-                    path = tuple(stack)
-                if any(t == "a" for t, _ in stack):
+                if not seen:
+                    path, seen = open_.path(), True
+                if open_.has("a"):
                     linked += len(piece.split())
             text.append(piece)
             continue
+        slash, name, attributes, at = tag
         name = name.lower()
         if name == "br":
             text.append(" ")
             continue
         if name not in INLINE:
             flush()
-        if m.group(1):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+        if slash:
+            open_.close(name)
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+            at = page.find(">", end.end()) + 1 if end and end.end() <= tags.last else len(page)
             continue
-        if name in VOID or m.group(3).endswith("/") and name not in ("p", "div", "li", "a"):
+        if name in VOID or attributes.endswith("/") and name not in ("p", "div", "li", "a"):
             continue
-        if name == "body":
-            stack = [x for x in stack if x[0] != "head"]
+        if name == "body" and open_.has("head"):
+            open_.cut(open_.places["head"][0])
         closes = ENDS.get(name, ())
-        if name not in INLINE and any(t == "p" for t, _ in stack):
+        if name not in INLINE and open_.has("p"):
             closes = (*closes, "p")
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in closes:
-                del stack[i:]
-            elif stack[i][0] in ("ul", "ol", "table", "dl", "div", "article", "section"):
-                break
-        stack.append((name, _names(m.group(3))))
+        open_.end(closes)
+        open_.push(name, _names(attributes))
     flush()
     return out
 
@@ -246,7 +343,8 @@ class Labeller:
             flat[:, PATH_DIM + k] = np.bincount(wc, self.p["word"][ws, k] * weight, steps * n)
         return x, mask, (ps, pc, ws, wc, weight)
 
-    def run(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
+    def run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool = True) -> tuple[np.ndarray, list]:
+        """Hidden values (time, page, HIDDEN), and what back() needs of every step if that is to be kept."""
         w, c = self.p[f"w{side}"], self.p[f"c{side}"]
         steps, n, _ = x.shape
         h, s = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
@@ -261,7 +359,8 @@ class Labeller:
             s_new = np.where(m, f * s + i * u, s)
             th = np.tanh(s_new)
             h_new = np.where(m, o * th, h)
-            kept.append((t, z, f, i, o, u, s, th, m))
+            if keep:
+                kept.append((t, z, f, i, o, u, s, th, m))
             h, s = h_new, s_new
             out[t] = h
         return out, kept
@@ -273,6 +372,15 @@ class Labeller:
         z = np.concatenate([f, b, x], 2)
         return 1 / (1 + np.exp(-(z @ self.p["out"] + self.p["bias"][0]))), z, x, mask, tables, kept_f, kept_b
 
+    def scores(self, pages: list) -> np.ndarray:
+        """The probability (time, page) of every block, without what only training needs."""
+        x, mask, _ = self.inputs(pages)
+        w = self.p["out"]
+        sums = x @ w[2 * HIDDEN :] + self.p["bias"][0]
+        sums += self.run(x, mask, "f", False)[0] @ w[:HIDDEN]
+        sums += self.run(x, mask, "b", False)[0] @ w[HIDDEN : 2 * HIDDEN]
+        return 1 / (1 + np.exp(-sums))
+
     def back(self, kept: list, grad: np.ndarray, side: str, dx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = self.p[f"w{side}"]
         dw, dc = np.zeros_like(w), np.zeros(4 * HIDDEN)
@@ -331,24 +439,25 @@ class Labeller:
         while order:
             n = max(1, min(BATCH, len(order), 20_000 // len(pages[order[-1]])))
             some, order = order[-n:], order[:-n]
-            y = self.forward([pages[i] for i in some])[0]
+            y = self.scores([pages[i] for i in some])
             for j, i in enumerate(some):
                 out[i] = y[: len(pages[i]), j] > 0.5
         return out
 
 
-def train(sample: list[str], seed: int = 11) -> Labeller:
+def train(sample: list[str], seed: int = 11) -> Labeller | None:
+    """A labeller of the pages and their variants; none if they have no block."""
     rng = random.Random(seed)
     texts = [b.text for p in sample[:50] for b in blocks(p)] or ["x"]
     pages = [blocks(p) for p in [*sample, *(variant(p, texts, rng) for p in sample for _ in range(VARIANTS))]]
     pages = [p for p in pages if p]
     memory: dict = {}
-    return Labeller().fit([features(p, memory) for p in pages], [teach(p) for p in pages]) if pages else Labeller()
+    return Labeller().fit([features(p, memory) for p in pages], [teach(p) for p in pages]) if pages else None
 
 
-def sample_of(pages: DataFrame, id_col: str, html_col: str, rows: int = SAMPLE, longest: int = 200_000) -> list[str]:
-    """At most `rows` pages of at most `longest` characters, by the smallest hash of id and html."""
-    some = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.length("html").between(1, longest))
+def sample_of(pages: DataFrame, id_col: str, html_col: str, rows: int = SAMPLE, longest: int = LONGEST) -> list[str]:
+    """At most `rows` pages, by the smallest hash of id and html, and of each at most the first `longest` characters."""
+    some = pages.select(F.col(id_col).alias("id"), F.substring(F.col(html_col), 1, longest).alias("html")).where(F.length("html") > 0)
     return [r.html for r in hash_sample(some, rows, "id", "html").select("html").collect()]
 
 
@@ -362,7 +471,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 parsed = [blocks(x.as_py()) for x in b.column(2)]
-                marks = model.label([features(p, memory) for p in parsed])
+                marks = model.label([features(p, memory) for p in parsed]) if model else [np.ones(len(p), bool) for p in parsed]
                 texts = ["\n\n".join(x.text for x, m in zip(p, mark, strict=True) if m) for p, mark in zip(parsed, marks, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(p) for p in parsed], pa.int64()), pa.array([int(m.sum()) for m in marks], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_blocks", "n_main"])
 
