@@ -68,6 +68,24 @@ def greedy(nodes: DataFrame, order: list[Column], cost: Column, budget: int | Co
     return costed.join(flagged, group).withColumn("kept", F.substring(F.col("flags"), F.col("place"), F.lit(1)) == "1").drop("place", "flags", "must", "limit_", "spent_")
 
 
+def greedy_many(nodes: DataFrame, order: list[Column], cost: Column, plans: dict[str, tuple[int, Column | None]]) -> DataFrame:
+    """nodes with place, cost and, for each plan (budget, what is mandatory), kept_<name>: one sort, one fold a plan over the same sorted costs, one join."""
+    group = ["session_id"]
+    musts = {f"must_{n}": F.lit(False) if m is None else m for n, (_, m) in plans.items()}
+    costed = nodes.withColumns({"cost": cost, "place": F.row_number().over(Window.partitionBy(*group).orderBy(*order))} | musts)
+    steps = F.array_sort(F.collect_list(F.struct("place", "cost", *musts)))
+    base = [F.sum(F.when(F.col(f"must_{n}"), F.col("cost")).otherwise(0)).cast("bigint").alias(f"base_{n}") for n in plans]
+    held = costed.groupBy(*group).agg(steps.alias("steps"), *base)
+
+    def flags(name: str, budget: int) -> Column:
+        fits = lambda a, x: ~x[f"must_{name}"] & (a["total"] + x["cost"] <= budget)
+        return fold_flags(F.col("steps"), F.struct(F.col(f"base_{name}").alias("total")), lambda a, x: F.struct((a["total"] + F.when(fits(a, x), x["cost"]).otherwise(F.lit(0))).cast("bigint").alias("total")), lambda a, x: F.when(x[f"must_{name}"] | fits(a, x), "1").otherwise("0"))
+
+    flagged = held.select(*group, *[flags(n, b).alias(f"flags_{n}") for n, (b, _) in plans.items()])
+    joined = costed.join(flagged, group)
+    return joined.withColumns({f"kept_{n}": F.substring(F.col(f"flags_{n}"), F.col("place"), F.lit(1)) == "1" for n in plans}).drop(*musts, *[f"flags_{n}" for n in plans])
+
+
 def _view(chosen: DataFrame, stands: Column | None = None) -> DataFrame:
     return chosen.withColumn("stands", F.col("kept") & (F.lit(True) if stands is None else stands))
 
@@ -318,6 +336,22 @@ def evaluate_view(view: DataFrame, edges: DataFrame, items: DataFrame | None = N
     )
 
 
+def profiled_view(view: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """What a policy that reads no relations chose, with the profiles that evaluate_view() needs."""
+    rows = _profiled(nodes, edges, True)
+    return rows.join(view.select("session_id", "node_id", "cost", "kept", "stands"), ["session_id", "node_id"])
+
+
+#: The flagship policy and its ablations: options of full_ours().
+FLAGSHIP: dict[str, dict[str, bool]] = {
+    "full_ours": {},
+    "ours_without_graph_edges": {"use_graph_edges": False},
+    "ours_without_lifecycle_states": {"use_lifecycle": False},
+    "ours_without_failure_retention": {"retain_failures": False},
+    "ours_without_constraint_retention": {"retain_constraints": False},
+}
+
+
 def _view_of(**options: bool) -> Callable[..., DataFrame]:
     return lambda nodes, budget=None, edges=None: full_ours(nodes, no_edges(nodes) if edges is None else edges, budget, **options)[0]
 
@@ -331,12 +365,8 @@ POLICIES: dict[str, Callable[..., DataFrame]] = {
     "llm_only_pruning": scored,
     "agentdiet_style": nonredundant,
     "acon_style": truncated_history,
-    "ours_without_graph_edges": _view_of(use_graph_edges=False),
-    "ours_without_lifecycle_states": _view_of(use_lifecycle=False),
-    "ours_without_failure_retention": _view_of(retain_failures=False),
-    "ours_without_constraint_retention": _view_of(retain_constraints=False),
     "raw_hard_failure_retention": lambda nodes, budget=None, edges=None: raw_hard_failures(nodes, no_edges(nodes) if edges is None else edges, budget),
-    "full_ours": _view_of(),
+    **{name: _view_of(**options) for name, options in FLAGSHIP.items()},
 }
 
 

@@ -114,12 +114,23 @@ SWEEP = (256, 512, 768, 1024, 2048)
 
 
 def _matrix(nodes, budgets=(256, 512)):
-    out = None
-    for budget in budgets:
-        for name in ("full_trajectory", "last_k", "token_length_pruning", "full_ours"):
-            m = context.view_metrics(context.POLICIES[name](nodes, budget)).withColumns({"policy": F.lit(name), "budget": F.lit(budget)})
-            out = m if out is None else out.unionByName(m)
-    return out
+    """Four policies under each budget as columns over one sort of the nodes, then a row for each."""
+    last = F.max(F.when(F.col("node_type") == "subgoal", F.struct("step_id", "node_id"))).over(context.by_session())["node_id"]
+    hard = F.col("node_type").isin("goal", "constraint") | (F.col("node_type") == "subgoal") & (F.col("node_id") == last)
+    marked = nodes.withColumn("hard", F.coalesce(hard, F.lit(False)))
+    plans = {f"{name}_{b}": (b, must) for b in budgets for name, must in (("newest", None), ("ours", F.col("hard")))}
+    rows = context.greedy_many(marked, [F.col("step_id").desc(), F.col("node_id")], F.col("token_count"), plans)
+    kept = {(policy, b): c for b in budgets for policy, c in (("full_trajectory", F.lit(True)), ("last_k", F.col("place") <= 8), ("token_length_pruning", F.col(f"kept_newest_{b}")), ("full_ours", F.col(f"kept_ours_{b}")))}
+    constraint = F.col("node_type") == "constraint"
+    sums = rows.groupBy("session_id").agg(
+        F.sum("token_count").alias("original_tokens"),
+        F.sum(constraint.cast("bigint")).alias("constraints"),
+        *[x for i, c in enumerate(kept.values()) for x in (F.sum(F.when(c, F.col("cost")).otherwise(0)).alias(f"s{i}"), F.sum((c & constraint).cast("bigint")).alias(f"c{i}"))],
+    )
+    each = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(b).alias("budget"), F.col(f"s{i}").alias("selected_tokens"), F.col(f"c{i}").alias("covered")) for i, (p, b) in enumerate(kept)])
+    long = sums.select("session_id", "original_tokens", "constraints", F.explode(each).alias("e")).select("session_id", "original_tokens", "constraints", "e.*")
+    ratio = F.when(F.col("original_tokens") <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - F.col("selected_tokens") / F.col("original_tokens")))
+    return long.withColumns({"compression_ratio": ratio, "constraint_retention": F.when(F.col("constraints") == 0, 1.0).otherwise(F.col("covered") / F.col("constraints"))})
 
 
 def _matrix_sql() -> str:

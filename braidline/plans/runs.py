@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from braidline.functions.text import estimate_tokens
-from braidline.operators import gates, runs, stats
+from braidline.operators import annotation, gates, runs, stats
 from braidline.plans.exchanges import EX
 from braidline.plans.registry import Registry
 from braidline.scratch import table
@@ -263,3 +263,72 @@ def split_members(t):
     train = low.where("task % 3 = 0").agg(F.lit("train").alias("split"), F.lit(1).alias("place"), F.collect_list("task").alias("members"))
     valid = low.agg(F.lit("validation").alias("split"), F.lit(2).alias("place"), F.collect_list("task").alias("members"))
     return runs.split_members(o, train.union(valid)).select("domain", "task", "split")
+
+
+@R.add(
+    "blind_packages",
+    """WITH i AS (SELECT doc_id, quality, row_number() OVER (ORDER BY sha256(concat('s', chr(0), doc_id)), doc_id) AS n FROM labels), k AS (SELECT *, concat('item_', lpad(CAST(n AS VARCHAR), 6, '0')) AS annotation_id FROM i)
+SELECT a.annotator, annotation_id, quality, doc_id, row_number() OVER (PARTITION BY a.annotator ORDER BY sha256(concat('s', chr(0), a.annotator, chr(0), annotation_id)), annotation_id) AS place FROM k, (SELECT unnest(['a', 'b']) AS annotator) a""",
+)
+def blind_packages(t):
+    sheets, key = annotation.packages(t("labels").select("doc_id", "quality"), "doc_id", "s")
+    return sheets.join(key, "annotation_id").select("annotator", "annotation_id", "quality", "doc_id", "place")
+
+
+_LABELS = "WITH a AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'keep' ELSE 'drop' END AS x, toxic AS y FROM labels), b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'keep' ELSE 'drop' END AS x, toxic AS y FROM labels)"
+
+
+def _annotators(t):
+    k = t("labels")
+    a = k.select("doc_id", F.when(F.col("quality") == 1, "keep").otherwise("drop").alias("x"), F.col("toxic").alias("y"))
+    b = k.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "keep").otherwise("drop").alias("x"), F.col("toxic").alias("y"))
+    return a, b
+
+
+@R.add("adjudicated_labels", f"{_LABELS} SELECT a.doc_id, a.x AS x_a, b.x AS x_b, a.y AS y_a, b.y AS y_b, CASE WHEN a.x = b.x THEN a.x WHEN a.doc_id % 2 = 0 THEN 'settled' END AS x_gold, CAST(a.y AS VARCHAR) AS y_gold, CASE WHEN a.x <> b.x AND a.doc_id % 2 = 1 THEN 1 ELSE 0 END AS unresolved FROM a JOIN b USING (doc_id)")
+def adjudicated_labels(t):
+    """Two annotators, and an adjudicator for every other item."""
+    a, b = _annotators(t)
+    settled = t("labels").where("doc_id % 2 = 0").select("doc_id", F.lit("x").alias("field"), F.lit("settled").alias("value"))
+    return annotation.adjudicated(a, b, "doc_id", ["x", "y"], settled)
+
+
+@R.add("pass_agreement", f"{_LABELS}, j AS (SELECT a.doc_id % 4 AS part, a.x = b.x AS sx, a.y = b.y AS sy, a.x = 'keep' AS ka, b.x = 'keep' AS kb FROM a JOIN b USING (doc_id)) SELECT part, count(*) AS units, round(avg(CASE WHEN sx THEN 1.0 ELSE 0.0 END)::DOUBLE, 9) AS agree_x, round(avg(CASE WHEN sy THEN 1.0 ELSE 0.0 END)::DOUBLE, 9) AS agree_y, count(*) FILTER (sx AND sy) AS full_consensus, count(*) FILTER (sx AND sy AND ka) AS consensus_safe, count(*) FILTER (ka) AS a_safe, count(*) FILTER (kb) AS b_safe, round(avg(CASE WHEN ka = kb THEN 1.0 ELSE 0.0 END)::DOUBLE, 9) AS safe_agreement FROM j GROUP BY GROUPING SETS ((), (part))")
+def pass_agreement(t):
+    a, b = (x.withColumn("part", F.col("doc_id") % 4) for x in _annotators(t))
+    p = annotation.pass_agreement(a, b, ["part", "doc_id"], ["x", "y"], "x", "keep")
+    return p.withColumns({c: F.round(c, 9) for c in ("agree_x", "agree_y", "safe_agreement")})
+
+
+@R.add(
+    "run_disagreements",
+    f"""WITH {RUNS}, a AS (SELECT * FROM rj WHERE condition = 'full_trajectory'), b AS (SELECT * FROM rj WHERE condition = 'full_ours'),
+d AS (SELECT a.domain, a.task, a.trial, b.success IS NOT NULL AS here, CASE WHEN a.success AND b.success THEN 'both_success' WHEN a.success THEN 'reference_only_success' WHEN b.success THEN 'comparator_only_success' ELSE 'neither_success' END AS dir, a.success <> b.success AS apart, a.errors + b.errors AS signals, b.selected_tokens::DOUBLE - a.selected_tokens AS token_delta FROM a LEFT JOIN b ON b.domain = a.domain AND b.task = a.task AND b.trial = a.trial),
+q AS (SELECT *, CASE WHEN NOT here THEN 4 WHEN apart AND signals > 0 THEN 0 WHEN apart THEN 1 WHEN signals > 0 THEN 2 ELSE 3 END AS rank FROM d)
+SELECT domain, task, trial, CASE WHEN here THEN dir END AS direction, CASE rank WHEN 0 THEN 'disagreement_with_failure' WHEN 1 THEN 'disagreement' WHEN 2 THEN 'agreement_with_failure' WHEN 3 THEN 'agreement' END AS tier, token_delta, signals, row_number() OVER (PARTITION BY domain ORDER BY rank, signals DESC NULLS LAST, task, trial) AS place FROM q""",
+)
+def run_disagreements(t):
+    return annotation.disagreements(table(run_rows(t).withColumn("failure_signals", F.col("errors")), "runs"), "full_trajectory", "full_ours")
+
+
+@R.add(
+    "intervention_means",
+    f"""WITH {RUNS}, sp AS (SELECT c.condition, d.domain FROM (SELECT unnest({list(CONDITIONS)}) AS condition) c, (SELECT unnest([0, 1, 2, 3, 9]) AS domain) d)
+SELECT sp.condition, sp.domain, count(rj.condition) AS n, round(avg(rj.repeated_invalid_actions)::DOUBLE, 9) AS mean_repeated_invalid_actions, round(avg(rj.recovery_steps)::DOUBLE, 9) AS mean_recovery_steps FROM sp LEFT JOIN rj ON rj.condition = sp.condition AND rj.domain = sp.domain GROUP BY sp.condition, sp.domain
+UNION ALL SELECT condition, NULL, count(*), round(avg(repeated_invalid_actions)::DOUBLE, 9), round(avg(recovery_steps)::DOUBLE, 9) FROM rj GROUP BY condition""",
+)
+def intervention_means(t):
+    rows = run_rows(t)
+    spine = rows.sparkSession.createDataFrame([(c, d) for c in CONDITIONS for d in (0, 1, 2, 3, 9)], "condition string, domain bigint")
+    m = ["repeated_invalid_actions", "recovery_steps"]
+    return annotation.spined(table(rows, "runs"), spine, ["condition", "domain"], m).withColumns({f"mean_{c}": F.round(f"mean_{c}", 9) for c in m})
+
+
+@R.add("prefix_manifest", """WITH p AS (SELECT concat(conv_id, ':', turn) AS prefix_id, conv_id AS session_id, conv_id % 4 AS domain, conv_id AS task, sha256(text) AS prefix_hash FROM conversations WHERE role = 'assistant'), f AS (SELECT conv_id AS session_id, count(*) AS prefix_node_count FROM conversations GROUP BY conv_id), h AS (SELECT *, cast(concat('0x', substr(sha256(concat('["', domain, '","', task, '"]')), 1, 12)) AS BIGINT) / power(16, 12) AS share FROM p)
+SELECT prefix_id, h.session_id, domain, task, prefix_hash, prefix_node_count, CASE WHEN share < 0.6 THEN 'train' WHEN share < 0.8 THEN 'validation' ELSE 'test' END AS split, concat('prefix_', substr(sha256(concat(prefix_id, chr(31), prefix_hash)), 1, 24)) AS manifest_id FROM h JOIN f USING (session_id)""")
+def prefix_manifest(t):
+    """A frozen point for each assistant turn."""
+    c = t("conversations")
+    points = c.where("role = 'assistant'").select(F.concat_ws(":", "conv_id", "turn").alias("prefix_id"), F.col("conv_id").alias("session_id"), (F.col("conv_id") % 4).alias("domain"), F.col("conv_id").alias("task"), F.col("text").alias("payload"))
+    features = c.groupBy(F.col("conv_id").alias("session_id")).agg(F.count("*").alias("prefix_node_count"))
+    return annotation.manifest(points, features, points.select("prefix_id", F.sha2("payload", 256).alias("prefix_hash")))

@@ -202,3 +202,55 @@ def liveness_recall(t):
     n, e, atoms, links, records, roots = _judged(t)
     judged = table(liveness.analyze(n, e, atoms, links, records, roots, _archive(n)), "judged")
     return liveness.safety_recall(n, e, atoms, roots, judged)
+
+
+def _masked(t):
+    from braidline.operators import checks
+
+    n, _, atoms, _ = reduced(t)
+    awaited = _queries(t, n, atoms).select("session_id", F.explode("pending_confirmation").alias("atom_id"))
+    rows = atoms.withColumns({"blocking": F.col("atom_type") == "conflicting_fact", "archived": F.col("step_id") % 3 == 0})
+    return n, checks.risk_mask(rows, F.lit("omit"), awaited)
+
+
+_TEXT = "concat_ws(' ', key, value)"
+_COSTS = "CAST((strlen({0}) + 3) // 4 AS BIGINT)"
+
+
+def _cut(most: int) -> str:
+    return f"CASE WHEN length({_TEXT}) > {most} THEN concat(substr({_TEXT}, 1, {most - 1}), '…') ELSE {_TEXT} END"
+
+
+_OPTIONS = (
+    ("'raw_message'", f"{_COSTS.format(_TEXT)} + 8", "0.0", "true"),
+    ("'structured_state_delta'", _COSTS.format(_TEXT), "0.0", "atom_type IN ('slot_value', 'superseded_fact', 'state_delta', 'known_fact', 'completed_operation')"),
+    ("'verified_summary'", _COSTS.format(_cut(32)), "CASE WHEN hard THEN 0.02 ELSE 0.01 END", "true"),
+    ("'negative_guard'", _COSTS.format(_cut(24)), "0.015", "atom_type = 'conflicting_fact'"),
+    ("'archive_handle'", "18", "CASE WHEN hard THEN 0.2 ELSE 0.03 END", "step_id % 3 = 0"),
+    ("'omit'", "0", "CASE WHEN status = 'superseded' THEN 0.01 WHEN step_id % 3 <> 0 THEN 0.1 ELSE 0.05 END", "free"),
+)
+_NEVER = "('active_goal', 'open_subgoal', 'unknown_slot', 'confirmation_requirement', 'global_policy_rule', 'applicable_policy_rule', 'critical_evidence', 'side_effect_receipt', 'pending_operation')"
+
+
+@R.add(
+    "compiled_states",
+    f"""WITH {STATE}, fr AS (SELECT *, NOT hard AND atom_type NOT IN {_NEVER} AND atom_type <> 'conflicting_fact' AS free, row_number() OVER (PARTITION BY session_id ORDER BY step_id, atom_id) AS place FROM atm),
+op AS ({" UNION ALL ".join(f"SELECT session_id, place, {n} AS name, CAST({c} AS BIGINT) AS cost, ({r})::DOUBLE AS risk FROM fr WHERE {w}" for n, c, r, w in _OPTIONS)}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY session_id, place ORDER BY cost + 512 * risk, cost, risk, name) AS turn FROM op)
+SELECT session_id, place, name AS choice, cost, risk, true AS feasible FROM rk WHERE turn = 1""",
+)
+def compiled_states(t):
+    """Beam search over the state of each story in a budget that always suffices: the best choice for each atom by itself."""
+    from braidline.operators import decisions
+
+    return decisions.compile_beam(decisions.candidates_of(_masked(t)[1]), 1_000_000)
+
+
+@R.add("compiled_sweep")
+def compiled_sweep(t):
+    """Three budgets, of which the beam has to choose within; no SQL searches so."""
+    from braidline.operators import decisions
+
+    n, masked = _masked(t)
+    atoms = table(decisions.candidates_of(masked).join(masked.select("session_id", "atom_id", "hard"), ["session_id", "atom_id"]), "candidates")
+    return decisions.sweep(atoms, (512, 2048, 8192), n.groupBy("session_id").agg(F.sum("token_count").alias("raw_tokens")))

@@ -142,3 +142,72 @@ def test_label_errors(spark):
     items = spark.createDataFrame([(1,), (2,), (3,)], "id int")
     labels = spark.createDataFrame([(1, "yes"), (1, "no"), (2, "perhaps"), (9, "yes")], "id int, keep string")
     assert {(r.id, r.error) for r in checks.label_errors(labels, items, "id", {"keep": ("yes", "no")}).collect()} == {(1, "repeated"), (3, "missing"), (9, "unknown_item"), (2, "value:keep")}
+
+
+def test_commands(spark, tmp_path, capsys):
+    from braidline import cli
+
+    def run(*argv):
+        code = cli.main(list(argv), spark)
+        return code, json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+
+    assert run("list-managers")[1] == sorted(context.POLICIES) and len(context.POLICIES) == 13
+    made = str(tmp_path / "made")
+    assert run("make-synthetic", "--output", made) == (0, {"output": made, "session_id": "synthetic"})
+    story = [{"role": "user", "content": "mend it"}, {"role": "assistant", "content": None, "tool_calls": [{"id": "a", "name": "update_part", "arguments": {"id": 1}}]}, {"role": "tool", "id": "a", "content": "part not found", "error": True}, {"role": "assistant", "content": "it is not there"}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.json").write_text(json.dumps({"id": "s1", "messages": story}))
+    out, store = str(tmp_path / "graphs"), str(tmp_path / "store")
+    assert run("import-trajectories", "--input", str(tmp_path / "in"), "--output", out, "--archive", store)[1]["imported"] == 1
+    assert run("verify-archive", store) == (0, {"valid": True, "failures": []})
+    single = tmp_path / "one"
+    single.mkdir()
+    (single / "g.json").write_text(spark.read.text(out).first().value)
+    assert run("validate-trace", str(single)) == (0, {"valid": True, "errors": []})
+    report = run("run-offline", "--input", out, "--output", str(tmp_path / "report"), "--budget", "64", "--manager", "full_ours", "--manager", "last_k", "--manager", "raw_hard_failure_retention")[1]
+    assert [m["manager"] for m in report["managers"]] == ["full_ours", "last_k", "raw_hard_failure_retention"]
+    assert spark.read.option("header", "true").csv(str(tmp_path / "report" / "sessions")).count() == 3
+    assert run("run-interventions", "--output", str(tmp_path / "runs"), "--tasks-per-kind", "2")[1]["runs"] == 32
+
+
+def test_beam_is_the_best_of_all_combinations(spark):
+    import itertools
+    import random
+
+    from braidline.operators import decisions
+
+    rng = random.Random(4)
+    options = {(s, p): [(f"{n}{i}", rng.randrange(1, 40), rng.random() / 20) for i, n in enumerate("abc")] for s in range(4) for p in range(5)}
+    rows = [(s, p, o) for (s, p), o in options.items()]
+    atoms = spark.createDataFrame(rows, "session_id bigint, place bigint, candidates array<struct<name:string,cost:bigint,risk:double>>")
+    for budget in (30, 60, 1000):
+        got = {}
+        for r in decisions.compile_beam(atoms, budget, width=3**5).collect():
+            got.setdefault(r.session_id, []).append((r.place, r.choice, r.feasible))
+        for s in range(4):
+            combos = [(sum(c[1] for c in pick), sum(c[2] for c in pick), tuple(c[0] for c in pick)) for pick in itertools.product(*[options[s, p] for p in range(5)])]
+            fits = [c for c in combos if c[0] <= budget]
+            best = min(fits, key=lambda c: (c[0] + 512 * c[1], c[0], c[1], c[2])) if fits else min(combos, key=lambda c: (c[1], c[0], c[2]))
+            assert tuple(n for _, n, _ in sorted(got[s])) == best[2] and {f for *_, f in got[s]} == {bool(fits)}
+    with pytest.raises(Exception, match="no candidate"):
+        decisions.compile_beam(atoms.withColumn("candidates", F.slice("candidates", 1, 0)), 9).count()
+
+
+def test_logistic_risk_needs_its_metrics(spark):
+    atoms = spark.createDataFrame([(1, "a", "slot_value", "current", False, False, True, 2.0), (1, "b", "active_goal", "current", True, False, True, 0.0)], "session_id int, atom_id string, atom_type string, status string, hard boolean, blocking boolean, archived boolean, x double")
+    masked = checks.risk_mask(atoms, F.lit("omit"), spark.createDataFrame([], "session_id int, atom_id string"))
+    good = {"harm_positives": 20, "recall": 0.95, "ece": 0.05, "brier": 0.1, "constant_brier": 0.2}
+    rows = {r.atom_id: r for r in checks.logistic_risk(masked, -3.0, {"x": 1.0}, 0.5, good).collect()}
+    assert abs(rows["a"].probability - 1 / (1 + 2.718281828459045)) < 1e-9 and rows["a"].omit_allowed and rows["a"].reasons == ["calibrated_logistic_prediction"]
+    assert rows["b"].probability == 1.0 and not rows["b"].omit_allowed
+    weak = {r.atom_id: r for r in checks.logistic_risk(masked, -3.0, {"x": 1.0}, 0.5, good | {"recall": 0.5}).collect()}
+    assert weak["a"].reasons == ["statistical_model_gate_failed"] and weak["a"].probability == 0.05
+
+
+def test_projections_that_only_measure_are_not_sent(spark):
+    from braidline.operators import annotation
+
+    rows = spark.sql("select 1 as id, true as send_eligible")
+    assert annotation.sendable(rows) is rows
+    with pytest.raises(ValueError, match="only measures"):
+        annotation.sendable(annotation.withheld(rows))
