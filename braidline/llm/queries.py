@@ -85,16 +85,15 @@ def _op5_sql() -> str:
     rules = [f"({rule}, {priority}, {sure}, {quote(word)}, {quote(f'^(?:{pattern})( |$)')}, {quote(label)}, false)" for rule, priority, sure, word, pattern, label in licenses.signature_rules()]
     rules += [f"({10_000 + i}, 0, 100, {quote(phrase.split(' ')[0])}, {quote(f'^(?:{phrase})( |$)')}, {quote(label)}, true)" for i, (phrase, label) in enumerate(licenses.BASE)]
     worst = max(x[1] for x in licenses.signature_rules())
-    ends = ", ".join(f"max(CASE WHEN priority <= {p} THEN e END) OVER o AS e{p}" for p in range(1, worst + 1))
-    reach = "CASE priority " + " ".join(f"WHEN {p} THEN e{p}" for p in range(1, worst + 1)) + " END"
     return f"""
 WITH rules(rule, priority, sure, keyword, pattern, label, base) AS (VALUES {", ".join(rules)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
 places AS (SELECT r, i - 1 AS s, w[i] AS keyword, array_to_string(w[i:i + {licenses.HORIZON - 1}], ' ') AS near FROM d, unnest(range(1, len(w) + 1)) AS t(i) WHERE w[i] IN (SELECT keyword FROM rules)),
 tried AS (SELECT r, s, rule, priority, sure, label, base, rtrim(regexp_extract(near, pattern, 0), ' ') AS m FROM places JOIN rules USING (keyword)),
 found AS (SELECT r, s, s + len(string_split(m, ' ')) AS e, rule, priority, sure, label, base FROM tried WHERE m <> ''),
-swept AS (SELECT *, {ends} FROM found WHERE NOT base WINDOW o AS (PARTITION BY r ORDER BY s, e DESC, priority, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-stay AS (SELECT r, s, sure, label, base FROM swept WHERE {reach} IS NULL OR {reach} < e UNION ALL SELECT r, s, sure, label, base FROM found WHERE base),
+lost AS (SELECT DISTINCT a.r, a.s, a.e, a.rule FROM found a JOIN found b ON a.r = b.r AND NOT a.base AND NOT b.base AND (b.priority < a.priority AND b.s < a.e AND b.e > a.s
+  OR b.priority <= a.priority AND b.s <= a.s AND b.e >= a.e AND (b.s < a.s OR b.e > a.e OR b.priority < a.priority OR b.rule < a.rule))),
+stay AS (SELECT found.r, found.s, sure, label, base FROM found ANTI JOIN lost ON lost.r = found.r AND lost.s = found.s AND lost.e = found.e AND lost.rule = found.rule),
 per AS (SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(sure) / 100.0::DOUBLE AS score FROM stay GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
