@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidline.operators import context, graph
+from braidline.operators import context, graph, interventions
 from braidline.scratch import table
 from braidline.session import session
 from braidline.sources import archive, graphs, trajectories
@@ -72,15 +72,12 @@ def run_offline(spark: SparkSession, source: str, output: str, budget: int, mana
     return {"output": output, "managers": [r.asDict() for r in means.orderBy("manager").collect()]}, 0
 
 
-def interventions(spark: SparkSession, output: str, tasks: int, seed: int) -> tuple[dict, int]:
-    """The specifications of the controlled runs: four kinds for each task under each condition, with consecutive seeds."""
-    from braidline.plans.traces import KINDS
-
-    kinds = spark.createDataFrame([(i, k) for i, k in enumerate(KINDS)], "i int, kind string")
-    specs = spark.range(tasks).select(F.col("id").alias("task")).join(F.broadcast(kinds)).withColumn("seed", F.lit(seed) + F.col("i") * tasks + F.col("task"))
-    runs = specs.withColumn("manager", F.explode(F.array(*[F.lit(m) for m in ("full_trajectory", "ours_without_failure_retention", "raw_hard_failure_retention", "full_ours")])))
-    graphs.write_new(runs.drop("i"), output)
-    return {"output": output, "runs": runs.count()}, 0
+def run_interventions(spark: SparkSession, output: str, tasks: int, seed: int, budget: int) -> tuple[dict, int]:
+    """The controlled matrix, run: a row a run, and whether the mechanism holds."""
+    rows = table(interventions.run(spark, tasks, seed, budget), "interventions")
+    graphs.write_new(rows, f"{output}/runs")
+    verdict = interventions.mechanism(rows).first().asDict()
+    return {"output": output, "runs": rows.count(), "mechanism": verdict}, 0
 
 
 def parser() -> argparse.ArgumentParser:
@@ -102,6 +99,7 @@ def parser() -> argparse.ArgumentParser:
     controlled.add_argument("--output", required=True)
     controlled.add_argument("--tasks-per-kind", type=int, default=8)
     controlled.add_argument("--base-seed", type=int, default=4100)
+    controlled.add_argument("--budget", type=int, default=512)
     return p
 
 
@@ -122,7 +120,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "run-offline":
         said, code = run_offline(spark, a.input, a.output, a.budget, a.manager)
     else:
-        said, code = interventions(spark, a.output, a.tasks_per_kind, a.base_seed)
+        said, code = run_interventions(spark, a.output, a.tasks_per_kind, a.base_seed, a.budget)
     print(json.dumps(said, ensure_ascii=False, default=str))
     return code
 

@@ -76,7 +76,7 @@ def failure_cards(profiled: DataFrame, edges: DataFrame, ttl_steps: int | None =
         malformed=_flag(rows, "malformed_call"),
     )
     sure = F.coalesce(F.col("card_confidence"), F.lit(1.0)) if "card_confidence" in rows.columns else F.lit(1.0)
-    latest = F.struct("step_id", "node_id", "content", "validity", "resolved_by", "superseded_by", "used_at", "last_step", "action_family", "raw_ref", "call_arguments", kind.alias("kind"), sure.alias("confidence"), _flag(rows, "final_accepted").alias("accepted"))
+    latest = F.struct("step_id", "node_id", "content", "validity", "resolved_by", "superseded_by", "used_at", "last_step", "action_family", "raw_ref", "call_arguments", (F.col("next_admissible_correction") if "next_admissible_correction" in rows.columns else F.lit(None).cast("string")).alias("advice"), kind.alias("kind"), sure.alias("confidence"), _flag(rows, "final_accepted").alias("accepted"))
     cards = rows.groupBy("session_id", "operation_scope").agg(
         F.first(F.when(F.col("age") == 1, latest), ignorenulls=True).alias("l"),
         F.first(F.when(F.col("age") == 2, F.col("call_arguments")), ignorenulls=True).alias("before"),
@@ -114,7 +114,7 @@ def failure_cards(profiled: DataFrame, edges: DataFrame, ttl_steps: int | None =
         F.col("kind").alias("failure_class"),
         F.col("content").alias("latest_failure_cause"),
         F.when(F.size("chain") > 1, argument_diff(F.coalesce("before", F.create_map().cast("map<string,string>")), F.coalesce("call_arguments", F.create_map().cast("map<string,string>")))).alias("failed_argument_diff"),
-        correction(F.col("kind")).alias("next_admissible_correction"),
+        F.coalesce("advice", correction(F.col("kind"))).alias("next_admissible_correction"),
         "confidence",
         "created_step",
         F.col("step_id").alias("last_relevant_step"),

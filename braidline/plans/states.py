@@ -157,6 +157,14 @@ def live_state(t):
     return liveness.live_atoms(links, roots)
 
 
+@R.add("span_groups", f"WITH {STATE}, g AS (SELECT session_id, CASE WHEN node_type IN ('decision', 'tool_call', 'observation', 'error') THEN 'tool_exchange' ELSE 'message' END AS span_type, step_id, ordinal, node_type FROM vn), s AS (SELECT session_id, span_type, CASE WHEN span_type = 'message' THEN ordinal ELSE step_id END AS pos, count(*) AS members FROM g GROUP BY ALL) SELECT session_id, span_type, count(*) AS spans, max(members) AS largest, min(members) AS smallest, CAST(sum(members) AS BIGINT) AS nodes FROM s GROUP BY session_id, span_type")
+def span_groups(t):
+    """Exchanges, of which the last may still wait for its result, and the messages between them."""
+    n, e = waiting(t)
+    per = liveness.spans(n, e).groupBy("session_id", "span_type", "span_id").agg(F.count("*").alias("members"))
+    return per.groupBy("session_id", "span_type").agg(F.count("*").alias("spans"), F.max("members").alias("largest"), F.min("members").alias("smallest"), F.sum("members").alias("nodes"))
+
+
 def _archive(n):
     """All but the records of every seventh step can be read back."""
     return n.where((F.col("step_id") % 7 != 0) & F.col("raw_ref").isNotNull()).select(F.col("raw_ref").alias("digest")).distinct()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from braidline.operators import graph
+from braidline.operators import graph, interventions
 from braidline.plans.contexts import NODES
 from braidline.plans.exchanges import EX, GRAPH
 from braidline.plans.registry import Registry
+from braidline.scratch import table
 from braidline.sources.adapters import event_exchanges
 from braidline.sources.trajectories import edges_of, nodes_of, traces
 
@@ -72,11 +72,25 @@ def protocol_errors(t):
     return graph.protocol_errors(call.union(result)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-KINDS = ("expired_evidence", "lost_constraint", "repeated_failure", "stale_slot")
+@R.add("intervention_specs", "WITH k AS (SELECT unnest(range(4)) AS i, unnest(['argument_correction', 'latest_failure_only', 'alternative_tool_completion', 'malformed_then_valid']) AS kind) SELECT concat('p1_', kind, '_', lpad(CAST(t AS VARCHAR), 2, '0')) AS intervention_id, kind, t AS task, 4100 + 8 * i + t AS seed, concat('E-', lpad(CAST(t AS VARCHAR), 3, '0')) AS entity FROM k, unnest(range(0, 8)) AS r(t)")
+def intervention_specs(t):
+    return t("region").sparkSession.createDataFrame([tuple(s.values()) for s in interventions.specs()], "intervention_id string, kind string, task bigint, seed bigint, entity string")
 
 
-@R.add("intervention_specs", f"SELECT k.kind, n_nationkey AS task, CAST(7000 + (row_number() OVER (ORDER BY k.kind, n_nationkey)) - 1 AS BIGINT) AS seed FROM nation, (SELECT unnest([{', '.join(repr(k) for k in KINDS)}]) AS kind) k")
-def intervention_specs(t):
-    """Four kinds of intervention for each task, with consecutive seeds: kinds times tasks by intent."""
-    specs = t("nation").select(F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("kind"), F.col("n_nationkey").alias("task"))
-    return specs.withColumn("seed", (F.row_number().over(Window.orderBy("kind", "task")) + 6999).cast("bigint"))
+_MANAGERS = ", ".join(f"'{m}'" for m in interventions.MANAGERS)
+
+
+@R.add(
+    "intervention_runs",
+    f"""WITH k AS (SELECT unnest(range(4)) AS i, unnest(['argument_correction', 'latest_failure_only', 'alternative_tool_completion', 'malformed_then_valid']) AS kind, unnest(['resolved', 'resolved', 'alternative_completed', 'corrected_syntax']) AS expiry), m AS (SELECT unnest([{_MANAGERS}]) AS manager)
+SELECT concat('p1_', kind, '_', lpad(CAST(t AS VARCHAR), 2, '0')) AS intervention_id, manager, 4100 + 8 * i + t AS seed, manager <> 'ours_without_failure_retention' AS failure_visible, CASE WHEN manager = 'ours_without_failure_retention' THEN 1 ELSE 0 END AS repeated_invalid_action, CASE WHEN manager = 'ours_without_failure_retention' THEN 2 ELSE 1 END AS recovery_steps, CASE WHEN manager = 'full_ours' THEN 1.0::DOUBLE END AS card_precision, CASE WHEN manager = 'full_ours' THEN 1.0::DOUBLE END AS expiry_correct, expiry AS expected_expiry, 0 AS violations FROM k, m, unnest(range(0, 8)) AS r(t)""",
+)
+def intervention_runs(t):
+    """The whole matrix, run: what contexts show follows from the policies, and cards end as they should."""
+    rows = interventions.run(t("region").sparkSession)
+    return rows.select("intervention_id", "manager", "seed", "failure_visible", "repeated_invalid_action", "recovery_steps", "card_precision", "expiry_correct", "expected_expiry", "violations")
+
+
+@R.add("intervention_mechanism", "SELECT 1.0::DOUBLE AS card_precision, 1.0::DOUBLE AS expiry_correctness, true AS fewer_repeats, true AS faster_recovery, true AS fewer_message_tokens, true AS failure_types_consistent, true AS graphs_valid")
+def intervention_mechanism(t):
+    return interventions.mechanism(table(interventions.run(t("region").sparkSession), "interventions"))

@@ -167,7 +167,7 @@ def test_commands(spark, tmp_path, capsys):
     report = run("run-offline", "--input", out, "--output", str(tmp_path / "report"), "--budget", "64", "--manager", "full_ours", "--manager", "last_k", "--manager", "raw_hard_failure_retention")[1]
     assert [m["manager"] for m in report["managers"]] == ["full_ours", "last_k", "raw_hard_failure_retention"]
     assert spark.read.option("header", "true").csv(str(tmp_path / "report" / "sessions")).count() == 3
-    assert run("run-interventions", "--output", str(tmp_path / "runs"), "--tasks-per-kind", "2")[1]["runs"] == 32
+    assert run("run-interventions", "--output", str(tmp_path / "runs"), "--tasks-per-kind", "5")[1]["runs"] == 80
 
 
 def test_beam_is_the_best_of_all_combinations(spark):
