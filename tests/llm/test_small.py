@@ -475,7 +475,9 @@ def test_hmm_chunks_of_long_sequences_give_the_same_counts(monkeypatch):
 
 
 def test_hmm_words_of_a_bucket_sum_to_one(docs):
-    counts = {r.word: (r.bucket, r.c) for r in hmm.word_counts(docs).collect()}
+    counts = {bytes(r.word): (r.bucket, r.c) for r in hmm.word_counts(docs).collect()}
+    assert all(b == hmm.spelled(w) for w, (b, _) in counts.items())
+    assert {w: c for w, (_, c) in counts.items()} == Counter(t for r in docs.collect() for t in hmm.tokens(r.text))
     mass, types = Counter(), Counter()
     for b, c in counts.values():
         mass[b] += c
