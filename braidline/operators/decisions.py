@@ -1,4 +1,4 @@
-"""Decision state: atoms, object classes, representations, risk, policy checks, the lifecycle machine, the compiler's beam, cards' ladder."""
+"""Decisions: object classes, representations, policy checks, the lifecycle machine, the compiler's beam, forms within a budget."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidline.functions.text import estimate_tokens, truncated
+from braidline.operators.context import fold_flags
 
-PROTECTED = ("goal", "subgoal", "constraint", "receipt", "failure")
 BEAM, RISK_WEIGHT = 16, 512.0
 
 
@@ -42,24 +42,6 @@ def representations(kind: Column, verified: Column, archived: Column) -> Column:
     return F.filter(parts, lambda x: x.isNotNull())
 
 
-def state_atoms(labelled: DataFrame) -> DataFrame:
-    """(session_id, atom_type, key, status, hard): what a prefix's labelled nodes say about the state, one row for each fact."""
-    n = labelled
-    of = lambda rows, kind, key, status, hard: rows.select("session_id", F.lit(kind).alias("atom_type"), key.cast("string").alias("key"), status.alias("status"), F.lit(hard).alias("hard"))
-    failed = n.where("node_type in ('error', 'observation') and negative")
-    slot = Window.partitionBy("session_id", "operation_key")
-    values = n.where("node_type = 'observation' and not negative").withColumn("latest", F.max("step_id").over(slot))
-    out = of(failed.where("validity = 'negative_unresolved'"), "failure", F.col("node_id"), F.lit("current"), True)
-    out = out.union(of(failed.where("validity <> 'negative_unresolved'"), "failure", F.col("node_id"), F.lit("resolved"), False))
-    out = out.union(of(n.where("side_effect"), "receipt", F.col("node_id"), F.lit("current"), True))
-    return out.union(of(values, "slot", F.concat_ws("@", "operation_key", "step_id"), F.when(F.col("step_id") < F.col("latest"), "superseded").otherwise("current"), False))
-
-
-def omission_risk(atom_type: Column, status: Column, hard: Column, archived: Column) -> Column:
-    """Probability of harm if an atom is left out: certain for what is protected."""
-    return F.when(hard | atom_type.isin(*PROTECTED), 1.0).when(status == "conflicting", 0.9).when(status == "superseded", 0.01).when(~archived, 0.1).otherwise(0.05)
-
-
 def check_actions(actions: DataFrame, rules: DataFrame) -> DataFrame:
     """actions (action_id, tool_name, arguments map, confirmed) with allowed, violations and missing, after all rules that apply.
 
@@ -205,10 +187,10 @@ def sweep(atoms: DataFrame, budgets: tuple[int, ...], raw: DataFrame) -> DataFra
     return out.withColumn("primary", good & (F.col("budget") == F.min(F.when(good, F.col("budget"))).over(Window.partitionBy(F.lit(1)))))  # one row a budget
 
 
-def card_ladder(cards: DataFrame, order: list[Column], budget: int) -> DataFrame:
-    """cards (session_id, full, compact, handle: costs) with the form each takes in what is left of the budget: full, compact, minimal, or none.
+def form_ladder(cards: DataFrame, order: list[Column], budget: int) -> DataFrame:
+    """cards (session_id, full, compact: costs) with the form each takes in what is left of the budget: full, compact, minimal, or none.
 
-    A minimal card is cut to what is left, so it fits whenever a token is left. A fold over each session's few cards.
+    A minimal form is taken to be cut to what is left (cards.card_ladder cuts the text itself). A fold over each session's cards.
     """
     placed = cards.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(*order)))
     steps = F.array_sort(F.collect_list(F.struct("place", "full", "compact")))
@@ -217,12 +199,13 @@ def card_ladder(cards: DataFrame, order: list[Column], budget: int) -> DataFrame
         left = F.lit(budget) - a["used"]
         return F.when(left <= 0, "n").when(x["full"] <= left, "f").when(x["compact"] <= left, "c").otherwise("m")
 
-    def cost(a: Column, x: Column) -> Column:
+    def used(a: Column, x: Column) -> Column:
         left = F.lit(budget) - a["used"]
-        return F.when(left <= 0, 0).when(x["full"] <= left, x["full"]).when(x["compact"] <= left, x["compact"]).otherwise(left)
+        cost = F.when(left <= 0, 0).when(x["full"] <= left, x["full"]).when(x["compact"] <= left, x["compact"]).otherwise(left)
+        return F.struct((a["used"] + cost).cast("bigint").alias("used"))
 
-    fold = F.aggregate("steps", F.struct(F.lit(0).cast("bigint").alias("used"), F.lit("").alias("forms")), lambda a, x: F.struct((a["used"] + cost(a, x)).cast("bigint").alias("used"), F.concat(a["forms"], form(a, x)).alias("forms")))
-    forms = placed.groupBy("session_id").agg(steps.alias("steps")).select("session_id", fold["forms"].alias("forms"), fold["used"].alias("used"))
+    held = placed.groupBy("session_id").agg(steps.alias("steps"))
+    forms = held.select("session_id", fold_flags(F.col("steps"), F.struct(F.lit(0).cast("bigint").alias("used")), used, form).alias("forms"))
     names = F.create_map(*[F.lit(x) for x in ("f", "full", "c", "compact", "m", "minimal", "n", "none")])
     return placed.join(forms, "session_id").withColumn("form", names[F.substring(F.col("forms"), F.col("place"), F.lit(1))]).drop("forms")
 

@@ -1,4 +1,4 @@
-"""Failures of exchanges: cards, expiry, windows after a failure, lifecycle labels, safety, slots and versions."""
+"""Failures of exchanges: chains and expiry, windows after a failure, slots and versions."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from braidline.functions.text import correction
-
 
 def by_session() -> WindowSpec:
     return Window.partitionBy("session_id")
@@ -22,8 +20,8 @@ def unresolved(ex: DataFrame) -> DataFrame:
     return ex.withColumn("next", F.lead("ordinal").over(by_key())).where("err and next is null").drop("next")
 
 
-def failure_cards(ex: DataFrame, ttl_steps: int = 8) -> DataFrame:
-    """At most one card for each operation of a session, from its failures: the latest one's place and expiry, the first one's step.
+def operation_failures(ex: DataFrame, ttl_steps: int = 8) -> DataFrame:
+    """The chain of failures of each operation of a session, from the exchanges alone (cards.failure_cards has the whole cards): the latest one's place and expiry, the first one's step.
 
     A card is resolved or superseded if a later exchange of the operation succeeded or failed; else it expires
     when the session has gone on for more than ttl_steps.
@@ -37,7 +35,6 @@ def failure_cards(ex: DataFrame, ttl_steps: int = 8) -> DataFrame:
     )
     cards = cards.select("session_id", "k", "created_step", "chain", F.col("l.ordinal").alias("last_step"), F.col("l.next_err").alias("next_err"), F.col("l.last_step").alias("session_step"), F.col("l.tool_name").alias("action_family"))
     trigger = F.when(~F.col("next_err"), "resolved").when(F.col("next_err"), "superseded").when(F.col("last_step") < F.col("session_step") - ttl_steps, "ttl_expired")
-    kind = F.lit("actionable")
     return cards.select(
         "session_id",
         "k",
@@ -48,7 +45,6 @@ def failure_cards(ex: DataFrame, ttl_steps: int = 8) -> DataFrame:
         F.col("chain"),
         trigger.alias("expiry_trigger"),
         trigger.isNull().alias("active"),
-        correction(kind).alias("next_correction"),
     )
 
 
@@ -80,86 +76,6 @@ def trace_window(ex: DataFrame, before: int = 2, after: int = 5) -> DataFrame:
     return ex.withColumns({"seen": F.count("*").over(around), "failures": F.sum(F.col("err").cast("bigint")).over(around)}).where("err").select("session_id", "ordinal", "seen", "failures")
 
 
-def lifecycle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with relevance, validity, obligations (as flags), confidence and the label they project to.
-
-    What a node's edges say is gathered once for each node; everything else is a projection.
-    """
-    out = edges.groupBy("session_id", F.col("source").alias("node_id")).agg(
-        *[F.max((F.col("edge_type") == t).cast("int")).alias(f"has_{t}") for t in ("produces", "failed_with", "supports", "leads_to", "resolved_by", "superseded_by", "summarized_by")]
-    )
-    flags = [f"has_{t}" for t in ("produces", "failed_with", "supports", "leads_to", "resolved_by", "superseded_by", "summarized_by")]
-    rows = nodes.join(out, ["session_id", "node_id"], "left").fillna(0, flags)
-    yes = lambda t: F.col(f"has_{t}") == 1
-    call, result = F.col("node_type").isin("tool_call", "mcp_call"), F.col("node_type").isin("observation", "error")
-    consumed = (call & (yes("produces") | yes("failed_with"))) | ((F.col("node_type") == "observation") & yes("supports"))
-    validity = (
-        F.when(yes("superseded_by"), "superseded")
-        .when(F.col("negative"), F.when(yes("resolved_by"), "negative_resolved").otherwise("negative_unresolved"))
-        .when(F.col("node_type").isin("summary", "observation"), "valid")
-        .otherwise("unknown")
-    )
-    rows = rows.withColumns({"relevance": F.when(consumed, "consumed").otherwise("active"), "validity": validity})
-    error = F.col("node_type") == "error"
-    label = (
-        F.when(F.col("side_effect"), "audit_required")
-        .when(error & (F.col("validity") == "negative_unresolved"), "unresolved_failure")
-        .when(error & (F.col("validity") == "negative_resolved"), "resolved_failure")
-        .when(F.col("validity") == "superseded", "superseded")
-        .when(F.col("relevance") == "consumed", "consumed")
-        .otherwise("active")
-    )
-    return rows.withColumns({"lifecycle": label, "confidence": F.when(result, 1.0).otherwise(0.8)}).drop(*flags)
-
-
-def safety(labelled: DataFrame) -> DataFrame:
-    """Whether each node may leave the context, and the reasons against it. raw_ref: where its raw record is archived, if anywhere."""
-    tool = F.col("node_type").isin("observation", "error", "tool_call", "mcp_call")
-    against = F.filter(
-        F.array(
-            F.when(F.col("node_type").isin("goal", "subgoal"), "active_goal"),
-            F.when(F.col("node_type") == "constraint", "active_constraint"),
-            F.when(F.col("validity") == "negative_unresolved", "unresolved_negative_evidence"),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    lost = F.col("raw_ref").isNull() & tool
-    rows = labelled.withColumn("against", against)
-    reasons = F.when(F.size("against") > 0, F.array_join("against", ",")).when(lost, "missing_recoverable_raw_ref").otherwise("safe_to_remove_from_active_context")
-    return rows.withColumns({"reasons": reasons, "removable": (F.size("against") == 0) & ~lost}).drop("against")
-
-
-def event_records(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The status of each node for pruning and whether it is terminal; a call without a side effect inherits its results' end."""
-    ended = edges.where("confidence = 1.0").groupBy("session_id", F.col("source").alias("node_id")).agg(
-        F.max((F.col("edge_type") == "superseded_by").cast("int")).alias("superseded"), F.max((F.col("edge_type") == "resolved_by").cast("int")).alias("resolved")
-    )
-    rows = nodes.join(ended, ["session_id", "node_id"], "left").fillna(0, ["superseded", "resolved"])
-    call = F.col("node_type") == "tool_call"
-    status = (
-        F.when(F.col("side_effect"), "audit_required")
-        .when(F.col("superseded") == 1, "superseded")
-        .when(F.col("resolved") == 1, "resolved")
-        .when(call, "completed_uncertain")
-        .when(F.col("negative"), "unresolved_failure")
-        .otherwise("current_evidence")
-    )
-    first = rows.select("session_id", "node_id", "node_type", "ordinal", "side_effect", status.alias("status")).withColumn("terminal", F.col("status").isin("superseded", "resolved"))
-    results = edges.where(F.col("edge_type").isin("produces", "failed_with")).select("session_id", F.col("source").alias("call"), F.col("target").alias("node_id"))
-    by_call = results.join(first.select("session_id", "node_id", "status", "terminal"), ["session_id", "node_id"]).groupBy("session_id", F.col("call").alias("node_id")).agg(F.min("terminal").alias("all_ended"), F.min("status").alias("result_status"))
-    joined = first.join(by_call, ["session_id", "node_id"], "left")
-    inherits = (F.col("node_type") == "tool_call") & ~F.col("side_effect") & F.coalesce("all_ended", F.lit(False))
-    return joined.select("session_id", "node_id", "node_type", "ordinal", F.when(inherits, F.col("result_status")).otherwise(F.col("status")).alias("status"), (F.col("terminal") | inherits).alias("terminal"))
-
-
-def liveness_spans(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """One row for each exchange span (all nodes of an ordinal): live if it holds a root (session_id, node_id) or anything that has not ended."""
-    records = event_records(nodes, edges)
-    marked = records.join(roots.select("session_id", "node_id").distinct().withColumn("root", F.lit(True)), ["session_id", "node_id"], "left")
-    spans = marked.groupBy("session_id", "ordinal").agg(F.max(F.coalesce("root", F.lit(False))).alias("rooted"), F.min("terminal").alias("ended"), F.count("*").alias("members"))
-    return spans.withColumn("live", F.col("rooted") | ~F.col("ended"))
-
-
 def slot_state(ex: DataFrame) -> DataFrame:
     """The value of each slot (session, tool): what is not from its latest step is superseded, several values there are conflicting."""
     slot = Window.partitionBy("session_id", "tool_name")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from braidline.functions.text import estimate_tokens, truncated
-from braidline.operators import decisions, failures, graph, lifecycle
+from braidline.operators import context, decisions, graph, lifecycle
 from braidline.operators.ranges import numbered
 from braidline.plans.contexts import NODES
 from braidline.plans.exchanges import EX, GRAPH
@@ -20,7 +20,7 @@ R = Registry()
 
 def _labelled(t):
     ex = event_exchanges(t("events"))
-    return failures.lifecycle(exchange_nodes(ex), exchange_edges(ex))
+    return lifecycle.infer_profiles(context.completed(exchange_nodes(ex)), exchange_edges(ex))
 
 
 _LARGE = "node_type IN ('observation', 'summary', 'archive_handle') AND (token_count * 8 >= 128 OR node_type IN ('summary', 'archive_handle'))"
@@ -40,17 +40,6 @@ def candidate_objects(t):
     return rows.groupBy("object_class", "validity").agg(F.count("*").alias("n")).withColumn("forms", forms)
 
 
-@R.add(
-    "state_atoms",
-    f"""WITH {GRAPH}, a AS (SELECT session_id, 'failure' AS atom_type, CASE WHEN validity = 'negative_unresolved' THEN 'current' ELSE 'resolved' END AS status, validity = 'negative_unresolved' AS hard FROM life WHERE negative
-UNION ALL SELECT session_id, 'receipt', 'current', true FROM life WHERE side_effect
-UNION ALL SELECT session_id, 'slot', CASE WHEN ordinal < max(ordinal) OVER (PARTITION BY session_id, k) THEN 'superseded' ELSE 'current' END, false FROM life WHERE node_type = 'observation')
-SELECT session_id, atom_type, status, hard, count(*) AS n FROM a GROUP BY session_id, atom_type, status, hard""",
-)
-def state_atoms(t):
-    return decisions.state_atoms(_labelled(t)).groupBy("session_id", "atom_type", "status", "hard").agg(F.count("*").alias("n"))
-
-
 RULES = [("r1", [], [], ["k"], False), ("r2", ["purchase"], [], [], True), ("r3", ["signup", "click"], ["signup"], ["value"], False)]
 
 
@@ -128,7 +117,7 @@ def card_ladder(t):
     """Cards of each session, newest first, in 64 tokens."""
     cards = event_exchanges(t("events")).where("err").groupBy("session_id", "k").agg(F.count("*").alias("chain"), F.max("ordinal").alias("last"))
     costs = cards.withColumns({"full": 20 + 5 * F.col("chain"), "compact": 8 + F.col("chain")})
-    return decisions.card_ladder(costs, [F.col("last").desc()], 64).select("session_id", "k", "form")
+    return decisions.form_ladder(costs, [F.col("last").desc()], 64).select("session_id", "k", "form")
 
 
 @R.add(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from braidline.functions.text import failure_class, normalized, semantic_outcome
-from braidline.operators import failures, graph
+from braidline.operators import context, failures, graph, lifecycle
 from braidline.plans.registry import Registry
 from braidline.sources.adapters import event_exchanges, exchange_edges, exchange_nodes
 
@@ -39,6 +39,11 @@ def _graph(t):
     return exchange_nodes(ex), exchange_edges(ex)
 
 
+def _profiled(t):
+    n, e = _graph(t)
+    return lifecycle.infer_profiles(context.completed(n), e)
+
+
 @R.add("exchanges", f"WITH {EX} SELECT session_id, ordinal, event_id, tool_name, k, err, side_effect, prev_err, prev_ordinal, prev_ok FROM ex")
 def exchanges(t):
     return event_exchanges(t("events")).select("session_id", "ordinal", "event_id", "tool_name", "k", "err", "side_effect", "prev_err", "prev_ordinal", "prev_ok")
@@ -75,12 +80,12 @@ cards AS (SELECT c.*, concat('failure_card_', substr(sha256(concat(c.session_id,
 
 @R.add("failure_cards", f"WITH {CARDS} SELECT session_id, k, card_id, action_family, created_step, last_relevant_step, chain, expiry_trigger, expiry_trigger IS NULL AS active FROM cards")
 def cards(t):
-    return failures.failure_cards(event_exchanges(t("events"))).drop("next_correction")
+    return failures.operation_failures(event_exchanges(t("events")))
 
 
 @R.add("card_expiry", f"WITH {CARDS} SELECT coalesce(expiry_trigger, 'active') AS state, count(*) AS n, CAST(sum(chain) AS BIGINT) AS failures, max(last_relevant_step - created_step) AS longest FROM cards GROUP BY 1")
 def card_expiry(t):
-    c = failures.failure_cards(event_exchanges(t("events")))
+    c = failures.operation_failures(event_exchanges(t("events")))
     return c.groupBy(F.coalesce("expiry_trigger", F.lit("active")).alias("state")).agg(F.count("*").alias("n"), F.sum("chain").alias("failures"), F.max(F.col("last_relevant_step") - F.col("created_step")).alias("longest"))
 
 
@@ -137,12 +142,12 @@ def repeat_invalid_actions(t):
 
 @R.add("lifecycle_labels", f"WITH {GRAPH} SELECT session_id, node_id, node_type, relevance, validity, lifecycle FROM life")
 def lifecycle_labels(t):
-    return failures.lifecycle(*_graph(t)).select("session_id", "node_id", "node_type", "relevance", "validity", "lifecycle")
+    return _profiled(t).select("session_id", "node_id", "node_type", "relevance", "validity", "lifecycle")
 
 
 @R.add("lifecycle_transitions", f"WITH {GRAPH} SELECT concat('active->', lifecycle) AS transition, count(*) AS n FROM life WHERE lifecycle <> 'active' GROUP BY 1")
 def lifecycle_transitions(t):
-    return failures.lifecycle(*_graph(t)).where("lifecycle <> 'active'").groupBy(F.concat(F.lit("active->"), F.col("lifecycle")).alias("transition")).agg(F.count("*").alias("n"))
+    return _profiled(t).where("lifecycle <> 'active'").groupBy(F.concat(F.lit("active->"), F.col("lifecycle")).alias("transition")).agg(F.count("*").alias("n"))
 
 
 @R.add(
@@ -154,7 +159,8 @@ def safety_decisions(t):
     """Calls at every fifth step have no archived record here, so that both kinds of reasons occur."""
     n, e = _graph(t)
     n = n.withColumn("raw_ref", F.when(~((F.col("node_type") == "tool_call") & (F.col("ordinal") % 5 == 0)), F.col("node_id")))
-    return failures.safety(failures.lifecycle(n, e)).select("session_id", "node_id", "removable", "reasons")
+    rows = lifecycle.safety_decisions(lifecycle.infer_profiles(context.completed(n), e), e)
+    return rows.select("session_id", "node_id", "removable", F.array_join("reasons", ",").alias("reasons"))
 
 
 @R.add("slot_state", f"WITH {EX}, o AS (SELECT *, max(ordinal) OVER (PARTITION BY session_id, tool_name) AS latest FROM ex WHERE NOT err) SELECT session_id, tool_name, ordinal, k, CASE WHEN ordinal < latest THEN 'superseded' ELSE 'current' END AS status FROM o")
@@ -167,25 +173,6 @@ def field_versions(t):
     return failures.field_versions(event_exchanges(t("events")))
 
 
-RECORDS = f"""{GRAPH}, st AS (SELECT n.*, CASE WHEN side_effect THEN 'audit_required' WHEN coalesce(superseded, false) THEN 'superseded' WHEN coalesce(resolved, false) THEN 'resolved' WHEN node_type = 'tool_call' THEN 'completed_uncertain' WHEN negative THEN 'unresolved_failure' ELSE 'current_evidence' END AS s0
-  FROM nodes n LEFT JOIN flags f USING (session_id, node_id)),
-rec AS (SELECT a.session_id, a.node_id, a.node_type, a.ordinal, CASE WHEN a.node_type = 'tool_call' AND NOT a.side_effect AND b.s0 IN ('superseded', 'resolved') THEN b.s0 ELSE a.s0 END AS status FROM st a LEFT JOIN st b ON a.session_id = b.session_id AND a.ordinal = b.ordinal AND b.node_type <> 'tool_call'),
-recs AS (SELECT *, status IN ('superseded', 'resolved') AS terminal FROM rec)"""
-
-
-@R.add("event_records", f"WITH {RECORDS} SELECT session_id, node_id, status, terminal FROM recs")
-def event_records(t):
-    return failures.event_records(*_graph(t)).select("session_id", "node_id", "status", "terminal")
-
-
-@R.add("liveness_spans", f"WITH {RECORDS}, root AS (SELECT session_id, max(ordinal) AS ordinal FROM ex GROUP BY session_id), sp AS (SELECT r.session_id, r.ordinal, bool_or(root.ordinal IS NOT NULL) AS rooted, bool_and(terminal) AS ended, count(*) AS members FROM recs r LEFT JOIN root ON root.session_id = r.session_id AND root.ordinal = r.ordinal GROUP BY r.session_id, r.ordinal) SELECT *, rooted OR NOT ended AS live FROM sp")
-def liveness_spans(t):
-    """The latest exchange of a session is its root."""
-    n, e = _graph(t)
-    last = n.groupBy("session_id").agg(F.max_by("node_id", "ordinal").alias("node_id"))
-    return failures.liveness_spans(n, e, last)
-
-
 @R.add("graph_validation", f"WITH {GRAPH} SELECT 'raw_ref' AS kind, count(*) AS n FROM nodes WHERE side_effect HAVING count(*) > 0")
 def graph_validation(t):
     """Exchanges have no archive here, so every side effect lacks its record; nothing else is wrong with them."""

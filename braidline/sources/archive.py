@@ -60,11 +60,14 @@ def read_views(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
-def read_labels(spark: SparkSession, path: str, id_col: str, label_col: str, allowed: tuple[str, ...]) -> DataFrame:
-    """An annotation sheet. Blank, repeated and unknown labels are errors."""
-    rows = spark.read.option("header", "true").csv(path).select(F.trim(F.regexp_replace(id_col, "^﻿", "")).alias("id"), F.trim(label_col).alias("label"))
-    bad = rows.where(F.col("id").isNull() | F.col("label").isNull() | ~F.col("label").isin(*allowed)).limit(3).collect()
-    twice = rows.groupBy("id").count().where("count > 1").limit(3).collect()
+def read_labels(spark: SparkSession, path: str, id_col: str, label_col: str, allowed: tuple[str, ...], rules: dict[str, str] | None = None) -> DataFrame:
+    """(id, label) of an annotation sheet. Blank, repeated and unknown labels are errors, as are rows that break a rule (name: condition over the sheet's columns)."""
+    sheet = spark.read.option("header", "true").csv(path)
+    sheet = sheet.toDF(*[c.removeprefix("\ufeff") for c in sheet.columns])
+    rows = sheet.select("*", F.trim(F.col(id_col.removeprefix("\ufeff"))).alias("id_"), F.trim(label_col).alias("label_"))
+    wrong = F.array(F.when(F.col("id_").isNull() | F.col("label_").isNull() | ~F.col("label_").isin(*allowed), "label"), *[F.when(~F.coalesce(F.expr(c), F.lit(False)), n) for n, c in (rules or {}).items()])
+    bad = rows.select("id_", "label_", F.filter(wrong, lambda x: x.isNotNull()).alias("broken")).where(F.size("broken") > 0).limit(3).collect()
+    twice = rows.groupBy("id_").count().where("count > 1").limit(3).collect()
     if bad or twice:
-        raise ValueError(f"labels that cannot be read: {[tuple(r) for r in bad]}, ids that occur again: {[r.id for r in twice]}")
-    return rows
+        raise ValueError(f"labels that cannot be read: {[tuple(r) for r in bad]}, ids that occur again: {[r.id_ for r in twice]}")
+    return rows.select(F.col("id_").alias("id"), F.col("label_").alias("label"))

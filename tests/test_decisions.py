@@ -26,7 +26,7 @@ def test_wide_beam_is_exhaustive(spark):
 
 def test_card_ladder(spark):
     df = spark.createDataFrame([(1, 1, 30, 10), (1, 2, 30, 10), (1, 3, 30, 10), (1, 4, 30, 10), (1, 5, 30, 10)], "session_id bigint, k bigint, full bigint, compact bigint")
-    forms = [r.form for r in decisions.card_ladder(df, [F.col("k")], 55).orderBy("place").collect()]
+    forms = [r.form for r in decisions.form_ladder(df, [F.col("k")], 55).orderBy("place").collect()]
     assert forms == ["full", "compact", "compact", "minimal", "none"]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from braidline.functions.identity import canonical_json, hash_share, opaque_names
 from braidline.functions.text import estimate_tokens, semantic_outcome, shrunk, stop_intent, truncated
-from braidline.operators import context, failures, graph, stats
+from braidline.operators import context, failures, graph, lifecycle, stats
 from braidline.sources.adapters import event_exchanges, exchange_edges, exchange_nodes
 
 
@@ -95,7 +95,7 @@ def test_retry_is_superseded_then_resolved(spark):
     assert ("superseded_by", "1:1:r", "1:2:r") in found
     assert ("resolved_by", "1:2:r", "1:4:r") in found
     assert ("failed_with", "1:1:c", "1:1:r") in found
-    labels = {r.node_id: r.lifecycle for r in failures.lifecycle(exchange_nodes(ex), exchange_edges(ex)).collect()}
+    labels = {r.node_id: r.lifecycle for r in lifecycle.infer_profiles(context.completed(exchange_nodes(ex)), exchange_edges(ex)).collect()}
     assert labels["1:1:r"] == "superseded"
     assert labels["1:2:r"] == "resolved_failure"
     assert labels["1:4:c"] == "consumed"
@@ -107,14 +107,14 @@ def test_windows_and_cards(spark):
     assert w[1, 1].repeated_invalid == 1 and not w[1, 1].resolved_within_window and w[1, 1].window_censored
     assert w[1, 2].recovery_action_index == 1
     assert w[2, 1].observed_actions == 0
-    cards = {(r.session_id, r.k): r for r in failures.failure_cards(ex).collect()}
+    cards = {(r.session_id, r.k): r for r in failures.operation_failures(ex).collect()}
     assert cards[1, 5].expiry_trigger == "resolved" and cards[1, 5].chain == 2
     assert cards[2, 1].active
 
 
 def test_card_expires_after_its_time(spark):
     ex = events(spark, [(1, 5, "error")] + [(1, 100 + i, "click") for i in range(9)])
-    assert failures.failure_cards(ex).first().expiry_trigger == "ttl_expired"
+    assert failures.operation_failures(ex).first().expiry_trigger == "ttl_expired"
 
 
 def test_reachability_has_no_greatest_depth(spark):

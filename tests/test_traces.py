@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from braidline.operators import failures
+from braidline.operators import context, lifecycle
 from braidline.operators.trace_fold import TraceFold, completes, operation_key
 from braidline.sources import archive, trajectories
 from braidline.streaming.traces import stream_traces, windowed_failures
@@ -68,7 +68,7 @@ def test_story(spark, saved):
     nodes = trajectories.nodes_of(trace)
     assert nodes.where("session_id = 's1' and final").first().content == "It is on its way."
     assert nodes.where("session_id = 's2' and node_type = 'tool_call'").first().tool_name == "unknown_tool"
-    labels = {r.node_id: r.lifecycle for r in failures.lifecycle(nodes, trajectories.edges_of(trace)).collect()}
+    labels = {r.node_id: r.lifecycle for r in lifecycle.infer_profiles(context.completed(nodes).withColumn("arguments", F.lit(None).cast("map<string,string>")), trajectories.edges_of(trace)).collect()}
     assert labels["s1:4:error:0"] == "resolved_failure"
 
 
@@ -170,3 +170,7 @@ def test_label_sheets(spark, tmp_path):
     assert read(good).count() == 2
     with pytest.raises(ValueError, match="cannot be read"):
         read(bad)
+    crossed = {"consumed_is_two": "label <> 'consumed' or id = 2"}
+    assert archive.read_labels(spark, str(good), "id", "label", ("active", "consumed"), crossed).count() == 2
+    with pytest.raises(ValueError, match="consumed_is_two"):
+        archive.read_labels(spark, str(good), "id", "label", ("active", "consumed"), {"consumed_is_two": "label <> 'consumed' or id = 3"})
