@@ -435,8 +435,8 @@ def _block_pairs(members: DataFrame, similarity: float) -> DataFrame:
     has many members in the key. Groups are dealt to blocks by hash. Left out are only pairs of blocks of one root, and
     those of bands or sizes too far apart.
     """
-    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    mine = members.join(mixed, "key")
+    mixed = save(members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "mixed-keys")
+    mine = members.join(broadcast_if_small(mixed, BROADCAST_ROWS), "key", "left_semi")
     owners = save(mine.groupBy("key", "root").agg(F.count("*").alias("n")).where(F.col("n") >= CUT // 2).select("key", "root"), "shingle-owners")
     mine = mine.join(broadcast_if_small(owners.withColumn("own", F.col("root")), BROADCAST_ROWS), ["key", "root"], "left")
     mine = mine.withColumn("band", F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(1 / similarity) + 1e-9))
