@@ -8,6 +8,7 @@ from braidline.functions.text import CORRECTIONS, MALFORMED_PHRASES, OTHER_CORRE
 from braidline.operators import cards, context, lifecycle
 from braidline.plans.exchanges import EX
 from braidline.plans.registry import Registry
+from braidline.scratch import table
 from braidline.sources.stories import REASONS, story_edges, story_exchanges, story_nodes
 
 R = Registry()
@@ -92,8 +93,9 @@ sf AS (SELECT *, CASE WHEN against <> '' THEN against WHEN lost THEN 'missing_re
 
 
 def graph(t):
-    ex = story_exchanges(t("events"))
-    return story_nodes(ex), story_edges(ex)
+    """The nodes and edges of stories, as tables: what follows reads the edges several times."""
+    ex = table(story_exchanges(t("events")), "story-exchanges")
+    return table(story_nodes(ex), "story-nodes"), table(story_edges(ex), "story-edges")
 
 
 def profiled(t):
