@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ over the tables of documents, benchmark and pages, and their SQL."""
+"""The queries op1_ to op13_ over the tables of documents, benchmark, pages and embeddings, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidline.llm import decontaminate, hmm, html_text, language, licenses, line_dedup, packing, quality, simhash, token_counts
+from braidline.llm import decontaminate, exact_dedup, hard_negatives, hmm, html_text, language, licenses, line_dedup, packing, phrases, quality, simhash, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,7 +57,26 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_hmm_scores, op2_decontamination, op3_retrieval_packing, op4_token_attribution, op5_license_scan, op6_language_id, op7_simhash_dedup, op8_host_quality, op9_line_dedup, op10_main_text)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup_exact(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_hmm_scores, op2_decontamination, op3_retrieval_packing, op4_token_attribution, op5_license_scan, op6_language_id, op7_simhash_dedup,
+        op8_host_quality, op9_line_dedup, op10_main_text, op11_exact_dedup, op12_hard_negatives, op13_phrases,
+    )
+}
 
 # SQL for DuckDB.
 
@@ -135,4 +154,35 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone)
 FROM m GROUP BY r
 """
 
-ORACLES = {"op2_decontamination": OP2_SQL, "op5_license_scan": _op5_sql(), "op8_host_quality": OP8_SQL, "op9_line_dedup": OP9_SQL}
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS h FROM documents),
+t AS (SELECT *, row_number() OVER w AS turn, first_value(doc_id) OVER w AS keep_id FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST, r))
+SELECT doc_id, keep_id, count(*) OVER (PARTITION BY h) AS group_size, turn = 1 AS kept, h AS text_sha256 FROM t
+"""
+
+OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+OP13_SQL = f"""
+WITH p AS (SELECT row_number() OVER () AS r, lang, piece FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+w AS (SELECT r, lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f FROM w, unnest(range(1, 6)) AS a(k), unnest(range(1, len(w) - k + 2)) AS b(i) WHERE k <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score, j FROM c, unnest(range(1, c.k)) AS t(j)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:], ' ') JOIN n ON n.lang = c.lang),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+part AS (SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a FROM c, unnest(range(2, c.k)) AS t(m), unnest(range(1, c.k - m + 2)) AS s(i)),
+top AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM part WHERE part.lang = low.lang AND part.phrase = low.phrase AND 100 * part.a >= 100 * low.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM top
+QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op11_exact_dedup": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_phrases": OP13_SQL, "op2_decontamination": OP2_SQL, "op5_license_scan": _op5_sql(), "op8_host_quality": OP8_SQL, "op9_line_dedup": OP9_SQL}
