@@ -97,8 +97,9 @@ def invalidations(rows: DataFrame) -> DataFrame:
     writes = (F.col("effect") == "write") & F.col("successful")
     reads = F.transform(F.array_distinct("read_scope"), lambda f: F.struct(f.alias("field"), F.lit(True).alias("reads")))
     covers = F.transform(F.array_distinct(F.concat("invalidation", F.array(F.lit("*")))), lambda f: F.struct(f.alias("field"), F.lit(False).alias("reads")))
-    touched = F.concat(reads, F.when(writes, covers).otherwise(F.array()))
-    fields = rows.where(F.col("effect").isNotNull() & _named()).select("session_id", "ordinal", "entity_type", "entity", F.explode(touched).alias("t")).select("session_id", "ordinal", "entity_type", "entity", "t.*")
+    # The entity that is read must be told from others; a write without a key of its own meets those that need none.
+    touched = F.concat(F.when(_named(), reads).otherwise(F.array()), F.when(writes, covers).otherwise(F.array()))
+    fields = rows.where(F.col("effect").isNotNull()).select("session_id", "ordinal", "entity_type", "entity", F.explode(touched).alias("t")).select("session_id", "ordinal", "entity_type", "entity", "t.*")
     after = Window.partitionBy("session_id", "entity_type", "entity", "field").orderBy("ordinal").rangeBetween(1, Window.unboundedFollowing)
     fields = fields.withColumn("at", F.min(F.when(~F.col("reads"), F.col("ordinal"))).over(after)).where("reads")
     return fields.groupBy("session_id", "ordinal").agg(F.min("at").alias("invalidator"))
