@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from braidline.llm.common import broadcast_if_small, save
 
 #: Bytes of text that a shard holds, and the words of the longest phrase.
-SHARD, LONGEST = 24 << 20, 5
+SHARD, LONGEST = 6 << 20, 5
 #: Cells of a sketch: at least this many (as powers of two), and at most; between them one for every so many characters of text.
 LEAST_CELLS, MOST_CELLS, CHARS_A_CELL = 16, 24, 256
 #: Rows of a sketch, and cells of a piece in which it travels.
