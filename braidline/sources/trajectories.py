@@ -103,11 +103,11 @@ def judged(messages: DataFrame) -> DataFrame:
 COLUMNS = ["session_id", "kind", *NODE_FIELDS, *EDGE_FIELDS]
 
 
-def traces(messages: DataFrame) -> DataFrame:
-    """Nodes and edges (TRACE) of every session; a session is folded by one task."""
+def traces(messages: DataFrame, horizon: int | None = None) -> DataFrame:
+    """Nodes and edges (TRACE) of every session; a session is folded by one task. horizon: see TraceFold."""
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold_rows(TraceFold(key[0]), part), columns=COLUMNS)
+        return pd.DataFrame(fold_rows(TraceFold(key[0], horizon=horizon), part), columns=COLUMNS)
 
     return judged(messages).select("session_id", "ordinal", "message", "failed", "meaning").groupBy("session_id").applyInPandas(run, TRACE)
 
