@@ -1,13 +1,13 @@
 """Graph operators over (session_id, source, target, edge_type): normalization, validation, reachability, closures, protocol.
 
-Fixed points iterate over frontiers: each round joins the frontier to the edges and keeps what is new. Rounds end in
-tables of the shared folder, so plans stay short and a lost executor costs one round.
+Fixed points iterate over frontiers: each round joins the frontier to the edges and keeps what is new. Unbranched runs are
+passed in jumps, so that rounds follow the logarithm of a run's length. Rounds end in tables of the shared folder, so plans stay
+short and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from braidline.schema import EDGE_SIGNATURES, FORWARD_EDGES, LEGACY_EDGES
 from braidline.scratch import table
 
-#: Rounds after which what is reached is written as one table.
-MERGE = 10
-#: Edges of the largest session that is searched by one call (about 200 bytes each).
-WHOLE = 1_000_000
+#: Edges of a session that is searched by one call (about 200 bytes each); larger ones are searched by joins.
+WHOLE = 50_000
+#: How many jumps of one width make one of the next.
+RADIX = 8
 
 
 def normalize_legacy(edges: DataFrame) -> DataFrame:
@@ -54,17 +54,20 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, starts: DataFrame, edge_types: tuple[str, ...] | None = None, excluded: DataFrame | None = None, whole: int = WHOLE) -> DataFrame:
     """(session_id, start, node, depth): the nodes that lie on a path from each start (session_id, start), at their least depth.
 
-    edge_types: the only edges to follow; excluded: (session_id, node) that no path may enter. No edge leaves its session, so sessions are
-    searched whole, each in one call, while none has more than `whole` edges; beyond that, frontiers are joined to the edges.
+    edge_types: the only edges to follow; excluded: (session_id, node) that no path may enter. No edge leaves its session, so sessions of up to
+    `whole` edges are searched by one call each; larger ones, and only those, by joins over all tasks.
     """
     links = edges if edge_types is None else edges.where(F.col("edge_type").isin(*edge_types))
     links = links.select("session_id", F.col("source").alias("node"), F.col("target").alias("next")).distinct()
     if excluded is not None:
         links = links.join(excluded.select("session_id", F.col("node").alias("next")), ["session_id", "next"], "left_anti")
     links = table(links.select("session_id", "node", "next"), "links")
-    largest = links.groupBy("session_id").count().agg(F.max("count").alias("n")).first().n or 0
+    large = table(links.groupBy("session_id").count().where(F.col("count") > whole).select("session_id"), "large-sessions")
     starts = starts.select("session_id", "start").distinct()
-    return _searched(links, starts) if largest <= whole else _joined(links, starts)
+    if large.isEmpty():
+        return _searched(links, starts)
+    of = lambda df, how: df.join(large, "session_id", how)
+    return _searched(of(links, "left_anti"), of(starts, "left_anti")).unionByName(_jumped(of(links, "left_semi"), of(starts, "left_semi")))
 
 
 def _searched(links: DataFrame, starts: DataFrame) -> DataFrame:
@@ -92,18 +95,43 @@ def _searched(links: DataFrame, starts: DataFrame) -> DataFrame:
     return links.groupBy("session_id").cogroup(starts.groupBy("session_id")).applyInArrow(run, f"session_id {kind}, start {node}, node {node}, depth int")
 
 
-def _joined(links: DataFrame, starts: DataFrame) -> DataFrame:
-    """By frontiers: cycles end, as nodes already reached are no frontier; what is reached becomes one table every MERGE rounds."""
-    frontier = starts.select("session_id", "start", F.col("start").alias("node"), F.lit(0).alias("depth"))
-    seen = frontier
-    for depth in count(1):
-        step = frontier.join(links, ["session_id", "node"]).select("session_id", "start", F.col("next").alias("node"), F.lit(depth).alias("depth")).distinct()
-        frontier = table(step.join(seen, ["session_id", "start", "node"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier)
-        if depth % MERGE == 0:
-            seen = table(seen.repartition("session_id", "start", "node"), "seen")
+def _jumps(links: DataFrame) -> DataFrame:
+    """(session_id, node, next, width): the links, and jumps along nodes that have one way on: of 2 to RADIX - 1 steps, of RADIX to RADIX - 1 times as many, and so on.
+
+    RADIX jumps of a width in a row are one of the next width, so a run of n nodes takes log n rounds and n log n rows. A round ends in one
+    table. Going round a circle for longer than its session has nodes leads nowhere new, so widths end there.
+    """
+    most = links.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
+    single = links.groupBy("session_id", "node").agg(F.count("*").alias("n"), F.first("next").alias("next")).where("n = 1").drop("n")
+    level, width, made = table(single, "jumps"), 1, [links.withColumn("width", F.lit(1).cast("bigint"))]
+    while width <= most and not level.isEmpty():
+        on = level.select("session_id", F.col("node").alias("end"), F.col("next").alias("after"))
+        rows = level.withColumn("to", F.array("next")).withColumnRenamed("next", "end")
+        for _ in range(RADIX - 1):
+            step = rows.join(on, ["session_id", "end"], "left")
+            # Where a run ends there is no further place: the end is null from there on and meets nothing.
+            rows = step.select("session_id", "node", F.when(F.col("after").isNotNull(), F.array_append("to", F.col("after"))).otherwise(F.col("to")).alias("to"), F.col("after").alias("end"))
+        found = table(rows.select("session_id", "node", F.posexplode("to").alias("i", "next")), "jumps")
+        made.append(found.where(F.col("i").between(0 if width > 1 else 1, RADIX - 2)).select("session_id", "node", "next", ((F.col("i") + 1) * width).alias("width")))
+        level, width = found.where(F.col("i") == RADIX - 1).select("session_id", "node", "next"), width * RADIX
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return out
+
+
+def _jumped(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """By frontiers over links and jumps. A round is one table of all that is reached at its least depth so far; nodes whose depth a round has
+    made or lowered are the next frontier, and none ends the search, so circles end too."""
+    ways = _jumps(links)
+    seen = starts.select("session_id", "start", F.col("start").alias("node"), F.lit(0).cast("bigint").alias("depth"), F.lit(True).alias("fresh"))
+    while True:
+        step = seen.where("fresh").join(ways, ["session_id", "node"]).select("session_id", "start", F.col("next").alias("node"), (F.col("depth") + F.col("width")).alias("depth"), F.lit(None).cast("bigint").alias("before"))
+        both = seen.select("session_id", "start", "node", "depth", F.col("depth").alias("before")).unionByName(step)
+        least = both.groupBy("session_id", "start", "node").agg(F.min("depth").alias("depth"), F.min("before").alias("before"))
+        seen = table(least.select("session_id", "start", "node", "depth", (F.col("before").isNull() | (F.col("depth") < F.col("before"))).alias("fresh")), "reached")
+        if seen.where("fresh").isEmpty():
+            return seen.select("session_id", "start", "node", F.col("depth").cast("int").alias("depth"))
 
 
 def has_path(edges: DataFrame, pairs: DataFrame, edge_types: tuple[str, ...] | None = None, excluded: DataFrame | None = None) -> DataFrame:
