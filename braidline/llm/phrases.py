@@ -25,8 +25,13 @@ from braidline.llm.common import broadcast_if_small, save
 
 #: Bytes of text that a shard holds, and the words of the longest phrase.
 SHARD, LONGEST = 6 << 20, 5
-#: Cells of a sketch: at least this many (as powers of two), and at most; between them one for every so many characters of text.
-LEAST_CELLS, MOST_CELLS, CHARS_A_CELL = 16, 24, 256
+#: Cells of a sketch: at least this many (as powers of two), and at most; between them one for every so many characters of text, which is some 70
+#: phrases of a length a cell. Beyond 17 thousand million characters cells fill and let more through: counts stay exact, but more are shuffled.
+LEAST_CELLS, MOST_CELLS, CHARS_A_CELL = 16, 25, 512
+#: Bytes of text that a task of the first pass reads for each byte of its sketches, at least.
+READ = 8
+#: Phrases that a task of the second pass gathers before it gives their counts out.
+GATHER = 300_000
 #: Rows of a sketch, and cells of a piece in which it travels.
 ROWS, PIECE = 2, 1 << 15
 #: Phrases that may be broadcast when the parts of cuts are looked up.
@@ -59,20 +64,31 @@ def _seed(lang: str) -> int:
 
 
 class _Vocabulary:
-    """Numbers of words and their 64-bit hashes by language, kept for a task up to a bound. The full stop has number and hash 0."""
+    """Numbers of a language's words and their 64-bit hashes, kept for a task up to a bound. The full stop has number and hash 0."""
 
-    def __init__(self):
-        self.lang, self.number, self.hashes = None, {b".": 0}, np.zeros(1, np.uint64)
+    def __init__(self, lang: str):
+        self.seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+        self.number, self.hashes = {b".": 0}, np.zeros(1, np.uint64)
 
-    def numbers(self, lang: str, words: list[bytes]) -> np.ndarray:
-        if lang != self.lang or len(self.number) > 2_000_000:
-            self.lang, self.number, self.hashes = lang, {b".": 0}, np.zeros(1, np.uint64)
-        new, seed = list(set(words).difference(self.number)), xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self.number) > 500_000:
+            self.number, self.hashes = {b".": 0}, np.zeros(1, np.uint64)
+        new = list(set(words).difference(self.number))
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        self.hashes = np.concatenate([self.hashes, np.array([xxhash.xxh64_intdigest(w, seed) | 1 for w in new], np.uint64)])
+        self.hashes = np.concatenate([self.hashes, np.array([xxhash.xxh64_intdigest(w, self.seed) | 1 for w in new], np.uint64)])
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
 
+class _Vocabularies(dict):
+    """Those of the languages that a task has met last."""
+
+    def __missing__(self, lang: str) -> _Vocabulary:
+        if len(self) >= 8:
+            self.pop(next(iter(self)))
+        self[lang] = _Vocabulary(lang)
+        return self[lang]
+
+
 def _longer(value: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Hashes of phrases that go on with words of the hashes `last`."""
     value = (value ^ (value >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + last
@@ -84,20 +100,36 @@ def _cells(value: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((value * np.uint64(m)) >> np.uint64(64 - bits)).astype(np.int64) for m in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[:ROWS]]
 
 
+def _add(sketch: np.ndarray, cells: np.ndarray, top: int) -> None:
+    """Count cells, up to top."""
+    if 4 * len(cells) < len(sketch):
+        cells, n = np.unique(cells, return_counts=True)
+        sketch[cells] = np.minimum(n + sketch[cells], top)
+    else:
+        n = np.bincount(cells, minlength=len(sketch))
+        n += sketch
+        sketch[:] = np.minimum(n, top, out=n)
+
+
 _SKETCH = "row int, piece int, cells binary, words long, lang string"
 
 
-def _sketches(docs: DataFrame, least: int, bits: int) -> DataFrame:
-    """Pieces of each task's sketches, saturating at `least`, and its words by language."""
+def _sketches(docs: DataFrame, least: int, bits: int, chars: int) -> tuple[DataFrame, type, int]:
+    """Pieces of each task's sketches, saturating at `least`, and its words by language.
+
+    Tasks are made so large that what they give out stays a small part of what they read, however wide sketches are.
+    """
     top = max(1, least)
-    kind = np.uint16 if top < 2**14 else np.uint32 if top < 2**30 else np.uint64
-    run = 2**15 if kind is np.uint16 else 2**20  # so many additions cannot pass the largest value
+    kind = np.uint8 if top < 2**8 else np.uint16 if top < 2**16 else np.uint32 if top < 2**32 else np.uint64
+    size = (1 << bits) * LONGEST * ROWS * np.dtype(kind).itemsize
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, chars // (READ * size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = {(k, j): np.zeros(1 << bits, kind) for k in range(1, LONGEST + 1) for j in range(ROWS)}
-        words, known = Counter(), _Vocabulary()
+        words, vocabularies = Counter(), _Vocabularies()
         for lang, found in _texts(batches):
-            number = known.numbers(lang, found)
+            known = vocabularies[lang]
+            number = known.numbers(found)
             h = np.append(known.hashes[number], np.zeros(LONGEST, np.uint64))
             at = np.flatnonzero(h)
             value, words[lang] = h[at], words[lang] + len(at)
@@ -107,11 +139,7 @@ def _sketches(docs: DataFrame, least: int, bits: int) -> DataFrame:
                     at = at[on]
                     value = _longer(value[on], h[at + k - 1])
                 for j, cells in enumerate(_cells(value, bits)):
-                    own = sketch[k, j]
-                    for i in range(0, len(cells), run):
-                        part = cells[i : i + run]
-                        np.add.at(own, part, 1)
-                        own[part] = np.minimum(own[part], top)
+                    _add(sketch[k, j], cells, top)
         out = []
         for (k, j), own in sketch.items():
             for i in range(0, len(own), PIECE):
@@ -122,7 +150,7 @@ def _sketches(docs: DataFrame, least: int, bits: int) -> DataFrame:
             out = []
         yield from _rows([(None, None, None, n, lang) for lang, n in words.items()], _SKETCH_ARROW)
 
-    return docs.mapInArrow(count, _SKETCH), kind, top
+    return docs.coalesce(tasks).mapInArrow(count, _SKETCH), kind, top
 
 
 _SKETCH_ARROW = pa.schema([("row", pa.int32()), ("piece", pa.int32()), ("cells", pa.binary()), ("words", pa.int64()), ("lang", pa.string())])
@@ -143,7 +171,7 @@ def _passing(sketches: DataFrame, kind: type, top: int) -> DataFrame:
             for row, piece, cells in zip(*(batch.column(c).to_pylist() for c in ("row", "piece", "cells")), strict=True):
                 part = np.frombuffer(cells, kind)
                 if (row, piece) in total:
-                    np.minimum(total[row, piece] + part, top, out=total[row, piece])
+                    total[row, piece][:] = np.minimum(total[row, piece].astype(np.uint64) + part, top)
                 else:
                     total[row, piece] = part.copy()
         rows = [(row, piece, np.packbits(cells >= top).tobytes()) for (row, piece), cells in total.items() if (cells >= top).any()]
@@ -153,16 +181,23 @@ def _passing(sketches: DataFrame, kind: type, top: int) -> DataFrame:
     return pieces.repartition("row", "piece").mapInArrow(add, "row int, piece int, bits binary")
 
 
+def _given(found: Counter) -> Iterator[pa.RecordBatch]:
+    rows = [(lang, k, phrase.decode("utf-8", "surrogatepass"), n) for (lang, k, phrase), n in found.items()]
+    for i in range(0, len(rows), 50_000):
+        yield from _rows(rows[i : i + 50_000], _COUNT_ARROW)
+
+
 def _counts(docs: DataFrame, passing: dict[int, bytes], bits: int) -> DataFrame:
     """(lang, k, phrase, n): what each shard holds of the phrases that the sketches let through."""
     shared = docs.sparkSession.sparkContext.broadcast(passing)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = {row: np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for row, b in shared.value.items()}
-        none, known = np.zeros(1 << bits, bool), _Vocabulary()
+        none, vocabularies, found = np.zeros(1 << bits, bool), _Vocabularies(), Counter()
         for lang, words in _texts(batches):
             automaton, order = ahocorasick.Automaton(ahocorasick.STORE_ANY), []
-            number = np.append(known.numbers(lang, words), np.zeros(LONGEST, np.int64))
+            known = vocabularies[lang]
+            number = np.append(known.numbers(words), np.zeros(LONGEST, np.int64))
             h = known.hashes[number]
             at = np.flatnonzero(h)
             value, own = h[at], number[at]
@@ -187,9 +222,12 @@ def _counts(docs: DataFrame, passing: dict[int, bytes], bits: int) -> DataFrame:
             automaton.make_automaton()
             text = f" {b' '.join(words).decode('latin-1')} "
             seen = Counter(map(itemgetter(1), automaton.iter(text)))
-            rows = [(lang, order[i][0], order[i][1].decode("utf-8", "surrogatepass"), n) for i, n in seen.items()]
-            for i in range(0, len(rows), 50_000):
-                yield from _rows(rows[i : i + 50_000], _COUNT_ARROW)
+            for i, n in seen.items():
+                found[lang, *order[i]] += n
+            if len(found) >= GATHER:
+                yield from _given(found)
+                found = Counter()
+        yield from _given(found)
 
     return docs.mapInArrow(scan, "lang string, k int, phrase string, n long")
 
@@ -200,7 +238,7 @@ def phrase_counts(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFra
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
     bits = min(MOST_CELLS, max(LEAST_CELLS, (chars // CHARS_A_CELL).bit_length()))
-    parts, kind, top = _sketches(docs, least, bits)
+    parts, kind, top = _sketches(docs, least, bits, chars)
     parts = save(parts, "phrase-sketches")
     passing: dict[int, bytearray] = defaultdict(lambda: bytearray((1 << bits) // 8))
     # Bits only, of a table whose size is fixed by MOST_CELLS.
