@@ -92,9 +92,24 @@ def lifecycle_machine(ex: DataFrame, effects: DataFrame) -> DataFrame:
     return rows.select("session_id", "ordinal", ruled.alias("d")).select("session_id", "ordinal", "d.*")
 
 
+# Reasons after which nothing depends on an event any more.
+ENDED = ("consumed", "superseded", "invalidated", "resolved", "duplicate")
+
+
+def relation_boolean(reason: Column, needed: Column, unsure: Column, obliged: Column, risky: Column) -> Column:
+    """A disposition from yes-or-no evidence, failing closed: whether the current target needs the event, and whether that is uncertain."""
+    return (
+        F.when(obliged | (reason == "audit_required") | needed, "live_critical")
+        .when(unsure | risky | (reason == "unknown"), "uncertain")
+        .when(reason.isin(*ENDED), "safe_to_evict")
+        .when(reason == "active", "live_noncritical")
+        .otherwise("uncertain")
+    )
+
+
 def relation_first(reason: Column, need: Column, obliged: Column, risky: Column) -> Column:
     """A disposition from evidence, failing closed. need: required, useful, not_needed or uncertain."""
-    ended = reason.isin("consumed", "superseded", "resolved", "invalidated")
+    ended = reason.isin(*ENDED)
     by_need = F.when(need == "required", "live_critical").when(need == "useful", "live_noncritical")
     return (
         F.when(obliged | (reason == "audit_required"), "live_critical")
@@ -231,7 +246,8 @@ def align_views(views: DataFrame, responses: DataFrame) -> DataFrame:
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ordinals, used, rows = sorted(right["ordinal"]), 0, []
         for view, last in left.sort_values("view")[["view", "last_selected"]].itertuples(index=False):
-            found = next((o for o in ordinals if o > max(used, last)), None) or next((o for o in ordinals if o > used), None)
+            later = [o for o in ordinals if o > used]
+            found = next((o for o in later if o > last), next(iter(later), None))
             if found is not None:
                 used = found
             rows.append((key[0], view, found))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidline.functions.identity import canonical_json
+from braidline.sources.checked import json_lines
 
 SCHEMA = "digest string, payload string"
 
@@ -55,14 +56,17 @@ def insert_artifacts(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(stored, "id", "left_anti")
 
 
-def read_views(spark: SparkSession, path: str) -> DataFrame:
-    """Context views, one JSON document a line; blank lines are skipped."""
-    return spark.read.json(path)
+def read_views(spark: SparkSession, path: str, schema: str | None = None, mode: str = "permissive") -> DataFrame:
+    """Context views, one JSON document a line; blank lines are skipped. With a schema, lines that do not fit it are counted in a warning, or an
+    error under `failfast`; without one it is inferred, and such a line is an error."""
+    if schema is None:
+        return spark.read.option("mode", "FAILFAST").json(path)
+    return json_lines(spark, path, schema).under(mode)
 
 
 def read_labels(spark: SparkSession, path: str, id_col: str, label_col: str, allowed: tuple[str, ...], rules: dict[str, str] | None = None) -> DataFrame:
     """(id, label) of an annotation sheet. Blank, repeated and unknown labels are errors, as are rows that break a rule (name: condition over the sheet's columns)."""
-    sheet = spark.read.option("header", "true").csv(path)
+    sheet = spark.read.options(header="true", multiLine="true", escape='"').csv(path)
     sheet = sheet.toDF(*[c.removeprefix("\ufeff") for c in sheet.columns])
     rows = sheet.select("*", F.trim(F.col(id_col.removeprefix("\ufeff"))).alias("id_"), F.trim(label_col).alias("label_"))
     wrong = F.array(F.when(F.col("id_").isNull() | F.col("label_").isNull() | ~F.col("label_").isin(*allowed), "label"), *[F.when(~F.coalesce(F.expr(c), F.lit(False)), n) for n, c in (rules or {}).items()])

@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 from braidline.functions.identity import canonical_json
 from braidline.functions.text import estimate_tokens
 from braidline.operators import graph
+from braidline.sources.checked import Checked, json_fault, split
 
 _NODE = "struct<node_id:string, node_type:string, content:string, step_id:bigint, lifecycle:string, token_count:bigint, raw_ref:string, side_effect:boolean, active:boolean, metadata:string>"
 _EDGE = "struct<edge_id:string, source:string, target:string, edge_type:string, confidence:double, metadata:string>"
@@ -44,21 +45,29 @@ def _listed(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def read_graphs(spark: SparkSession, path: str, recursive: bool = False, domains: tuple[str, ...] = DOMAINS) -> DataFrame:
-    """(file, domain, task, trial, session_id, metadata, nodes, edges) of every graph under path; other JSON and what does not parse is skipped. None at all is an error.
-
-    Domain and task are those of the metadata, else of the path; a task that is only a long hash gives way to the path's. Unknown ones are `unknown` and the session.
-    """
+def checked_graphs(spark: SparkSession, path: str, recursive: bool = False, domains: tuple[str, ...] = DOMAINS) -> Checked:
+    """read_graphs() beside the files that hold no graph: `not JSON` or `no graph`."""
     reader = spark.read.option("pathGlobFilter", "trace.json" if recursive else "*.json")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), _listed("value").alias("g")).where("g is not null")
-    parsed = files.withColumn("g", F.from_json("g", GRAPH))
+    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value", _listed("value").alias("g"))
+    fault = F.when(F.col("g").isNull(), F.when(F.try_parse_json("value").isNull(), "not JSON").otherwise("no graph"))
+    found = split(files, fault, F.col("value"), "file", "g")
+    parsed = found.rows.withColumn("g", F.from_json("g", GRAPH))
     place = rf"(?i)(?:^|[_/\\-])({'|'.join(domains)})[_-]([^_/\\-]+)"
     part = lambda i: F.nullif(F.regexp_extract("file", place, i), F.lit(""))
     said = lambda k: F.nullif(F.get_json_object("g.metadata", f"$.{k}"), F.lit(""))
     named = F.when(~said("task_id").rlike("^[0-9a-f]{24,}$"), said("task_id"))
     rows = parsed.select("file", F.coalesce(said("domain"), F.lower(part(1)), F.lit("unknown")).alias("domain"), F.coalesce(named, part(2), said("task_id"), F.col("g.session_id")).alias("task"), F.try_to_number(said("trial"), F.lit("999999999")).cast("bigint").alias("trial"), "g.*")
+    return Checked(rows, found.faults)
+
+
+def read_graphs(spark: SparkSession, path: str, recursive: bool = False, domains: tuple[str, ...] = DOMAINS, mode: str = "permissive") -> DataFrame:
+    """(file, domain, task, trial, session_id, metadata, nodes, edges) of every graph under path; what is none is counted in a warning, or an error under `failfast`. None at all is an error.
+
+    Domain and task are those of the metadata, else of the path; a task that is only a long hash gives way to the path's. Unknown ones are `unknown` and the session.
+    """
+    rows = checked_graphs(spark, path, recursive, domains).under(mode)
     if rows.isEmpty():
         raise ValueError(f"no graphs in {path}")
     return rows
@@ -134,14 +143,19 @@ def union_by_name(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(value): JSON objects of every .json and .jsonl file under path, as text; lists and objects with rows give their members; what does not parse is left out."""
+def checked_records(spark: SparkSession, path: str) -> Checked:
+    """(value): JSON objects of every .json and .jsonl file under path, as text; lists and objects with rows give their members. Beside them what is no JSON or no object."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,jsonl}").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     lined = F.when(F.col("file").endswith(".jsonl"), F.split("value", r"\r?\n")).otherwise(F.array("value"))
-    docs = text.select(F.explode(lined).alias("value")).withColumn("value", F.trim("value")).where("value <> ''")
+    docs = text.select("file", F.explode(lined).alias("value")).withColumn("value", F.trim("value")).where("value <> ''")
     inner = F.coalesce(F.get_json_object("value", "$.rows"), F.when(F.col("value").startswith("["), F.col("value")))
-    members = F.from_json(inner, "array<string>")
-    return docs.select(F.explode(F.coalesce(members, F.array("value"))).alias("value")).where(F.try_parse_json("value").isNotNull() & F.col("value").startswith("{"))
+    members = docs.select("file", F.explode(F.coalesce(F.from_json(inner, "array<string>"), F.array("value"))).alias("value"))
+    return split(members, json_fault(F.col("value")), F.col("value"), "value")
+
+
+def read_records(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
+    """The rows of checked_records(); what is left out is counted in a warning, or an error under `failfast`."""
+    return checked_records(spark, path).under(mode)
 
 
 def hashed(payload: Column) -> Column:
