@@ -28,8 +28,8 @@ SHARD, LONGEST = 6 << 20, 5
 #: Cells of a sketch: at least this many (as powers of two), and at most; between them one for every so many characters of text, which is some 70
 #: phrases of a length a cell. Beyond 17 thousand million characters cells fill and let more through: counts stay exact, but more are shuffled.
 LEAST_CELLS, MOST_CELLS, CHARS_A_CELL = 16, 25, 512
-#: Bytes of text that a task of the first pass reads for each byte of its sketches, at least.
-READ = 8
+#: Characters of text that a task reads, so that what repeats is summed before it is shuffled, and for each byte of its sketches in the first pass.
+TASK, READ = 256 << 20, 8
 #: Phrases that a task of the second pass gathers before it gives their counts out.
 GATHER = 300_000
 #: Rows of a sketch, and cells of a piece in which it travels.
@@ -114,6 +114,11 @@ def _add(sketch: np.ndarray, cells: np.ndarray, top: int) -> None:
 _SKETCH = "row int, piece int, cells binary, words long, lang string"
 
 
+def _dealt(docs: DataFrame, chars: int, least: int = 0) -> DataFrame:
+    """docs in tasks of TASK characters and of `least`, if that is more; no fewer tasks than there are cores."""
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, chars // max(TASK, least)))
+
+
 def _sketches(docs: DataFrame, least: int, bits: int, chars: int) -> tuple[DataFrame, type, int]:
     """Pieces of each task's sketches, saturating at `least`, and its words by language.
 
@@ -122,7 +127,7 @@ def _sketches(docs: DataFrame, least: int, bits: int, chars: int) -> tuple[DataF
     top = max(1, least)
     kind = np.uint8 if top < 2**8 else np.uint16 if top < 2**16 else np.uint32 if top < 2**32 else np.uint64
     size = (1 << bits) * LONGEST * ROWS * np.dtype(kind).itemsize
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, chars // (READ * size))
+    docs = _dealt(docs, chars, READ * size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = {(k, j): np.zeros(1 << bits, kind) for k in range(1, LONGEST + 1) for j in range(ROWS)}
@@ -150,7 +155,7 @@ def _sketches(docs: DataFrame, least: int, bits: int, chars: int) -> tuple[DataF
             out = []
         yield from _rows([(None, None, None, n, lang) for lang, n in words.items()], _SKETCH_ARROW)
 
-    return docs.coalesce(tasks).mapInArrow(count, _SKETCH), kind, top
+    return docs.mapInArrow(count, _SKETCH), kind, top
 
 
 _SKETCH_ARROW = pa.schema([("row", pa.int32()), ("piece", pa.int32()), ("cells", pa.binary()), ("words", pa.int64()), ("lang", pa.string())])
@@ -244,7 +249,7 @@ def phrase_counts(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFra
     # Bits only, of a table whose size is fixed by MOST_CELLS.
     for r in _passing(parts, kind, top).toLocalIterator():
         passing[r.row][r.piece * PIECE // 8 : r.piece * PIECE // 8 + len(r.bits)] = r.bits
-    found = _counts(docs, {row: bytes(b) for row, b in passing.items()}, bits)
+    found = _counts(_dealt(docs, chars), {row: bytes(b) for row, b in passing.items()}, bits)
     counts = save(found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrase-counts")
     return counts, save(parts.where("row IS NULL").groupBy("lang").agg(F.sum("words").alias("n")), "phrase-words")
 
