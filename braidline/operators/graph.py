@@ -146,27 +146,30 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return edges.select("session_id", "edge_type", F.explode(ends).alias("e")).select("session_id", "e.node_id", "e.other", "edge_type", "e.direction")
 
 
-def protocol_closure(messages: DataFrame, chosen: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(session_id, ordinal, reason): chosen messages, the calls and results that belong to them, and a leading user turn.
-
-    messages: (session_id, ordinal, role, call_ids array of a calling message, result_id of a result).
-    chosen: (session_id, ordinal).
-    """
+def protocol_links(messages: DataFrame) -> DataFrame:
+    """(session_id, ordinal, to, reason): from each calling message to its results and back."""
     calls = messages.select("session_id", F.col("ordinal").alias("call"), F.explode("call_ids").alias("id"))
     calls = calls.groupBy("session_id", "id").agg(F.max("call").alias("call"))
     results = messages.where("result_id is not null").groupBy("session_id", F.col("result_id").alias("id")).agg(F.max("ordinal").alias("result"))
     pairs = calls.join(results, ["session_id", "id"])
-    links = pairs.select("session_id", F.explode(F.array(F.struct(F.col("call").alias("ordinal"), F.col("result").alias("to"), F.lit("result_of_call").alias("reason")), F.struct(F.col("result").alias("ordinal"), F.col("call").alias("to"), F.lit("call_of_result").alias("reason")))).alias("l")).select("session_id", "l.*")
+    return pairs.select("session_id", F.explode(F.array(F.struct(F.col("call").alias("ordinal"), F.col("result").alias("to"), F.lit("result_of_call").alias("reason")), F.struct(F.col("result").alias("ordinal"), F.col("call").alias("to"), F.lit("call_of_result").alias("reason")))).alias("l")).select("session_id", "l.*")
+
+
+def protocol_closure(messages: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(session_id, ordinal, reason): chosen messages, the calls and results that belong to them, and a leading user turn.
+
+    messages: (session_id, ordinal, role, call_ids array of a calling message, result_id of a result).
+    chosen: (session_id, ordinal). Only what a round adds is followed in the next; none added ends it.
+    """
+    links = table(protocol_links(messages), "protocol-links")
     closed = chosen.join(messages.select("session_id", "ordinal"), ["session_id", "ordinal"], "left_semi").distinct().withColumn("reason", F.lit("selected"))
     frontier = closed
-    for _ in range(max_rounds):
+    while True:
         step = frontier.drop("reason").join(links, ["session_id", "ordinal"]).groupBy("session_id", F.col("to").alias("ordinal")).agg(F.min("reason").alias("reason"))
         frontier = table(step.join(closed, ["session_id", "ordinal"], "left_anti"), "closure")
         if frontier.isEmpty():
             break
         closed = closed.unionByName(frontier)
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     first = closed.groupBy("session_id").agg(F.min("ordinal").alias("first"))
     users = messages.where("role = 'user'").select("session_id", F.col("ordinal").alias("user"))
     role = messages.select("session_id", F.col("ordinal").alias("first"), "role")
