@@ -10,8 +10,10 @@ A page is read in one pass, whose time and memory are in proportion to its lengt
 are nested and whatever is left unclosed.
 
 Defined results: null and empty html gives an empty text; markup that isn't closed is closed where HTML closes it; a tag
-that never ends is text; a quote that is never closed ends nowhere, so its tag ends at the next >; of a
-block's path the innermost DEPTH elements count; blocks without text are none; repeated rows are extracted each; if no page
+that never ends is text; a quote that is never closed ends nowhere, so its tag ends at the next >; all elements around
+a block count, however many; a head ends at what may not be in it; an svg or math element that is left open ends at the next
+paragraph or heading; scripts, pictures and players inside a sentence do not break it, and what stands in them is no text, but
+for formulas; blocks without text are none; repeated rows are extracted each; if no page
 of the sample has a block, there is no labeller and every block stays; extra columns are left out.
 """
 
@@ -32,7 +34,17 @@ from braidline.llm.common import hash_sample
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas textarea title select datalist audio video".split())
+RAW = frozenset("script style noscript iframe noembed noframes xmp textarea title".split())
+#: Elements whose content is not shown; but for RAW they have children like others and end with what they stand in.
+UNSEEN = frozenset("annotation annotation-xml audio canvas datalist object select svg template video".split())
+#: Elements that may stand in a sentence without ending it.
+EMBEDDED = frozenset("audio canvas datalist embed iframe link math meta noembed noscript object optgroup option param script select source style svg template textarea title track video".split())
+#: What may be in a head, and where foreign elements hold HTML again.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+FOREIGN = frozenset(("svg", "math"))
+WITHIN_FOREIGN = frozenset("annotation-xml desc foreignobject mi mn mo ms mtext".split())
+#: Tags that end svg and math elements left open.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: What an opening tag ends if it is open.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th")}
@@ -47,29 +59,61 @@ SAMPLE, VARIANTS, EPOCHS = 240, 4, 8
 PATHS, WORDS = 1 << 11, 1 << 11
 PATH_DIM, WORD_DIM, HIDDEN = 20, 6, 16
 BATCH = 64
-#: Elements of a block's path that are seen, from the inside.
+#: Elements of a block's path that Block.path names, from the inside; marks and slots follow all of them.
 DEPTH = 48
 #: Characters of a page that the labeller learns from, at most; pages are labelled whole.
 LONGEST = 200_000
 #: Elements at which an opening tag's search for what it ends stops.
-BARRIERS = frozenset(("ul", "ol", "table", "dl", "div", "article", "section"))
+BARRIERS = frozenset(("ul", "ol", "table", "dl", "div", "article", "section", "object", "template", "foreignobject"))
 
 # A tag whose quoted values hold no angle bracket; whatever fails has been read up to the next bracket only.
 _tag = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
 _name = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _stop = re.compile(r"[>\"']")
-_numbers = re.compile(r"&#[xX]?[0-9a-fA-F]{9,};?")
+_zeros = re.compile(r"&#(?:([xX])0++(?=[0-9a-fA-F])|0++(?=[0-9]))")
+_numbers = re.compile(r"&#(?:[xX][0-9a-fA-F]{9,}|[0-9]{9,});?")
 _named = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _split = re.compile(r"[\s_-]+")
 
 
 class Block:
-    """text; path: a tuple of elements (tag, names); linked: words inside links."""
+    """text; path: the innermost elements (tag, names); linked: words inside links; slots: bits of what all open elements are
+    called; inside, boiler: whether any of them is named as a container, or as what is not part of the article."""
 
-    __slots__ = ("linked", "path", "text")
+    __slots__ = ("boiler", "inside", "linked", "path", "slots", "text")
 
-    def __init__(self, text: str, path: tuple, linked: int) -> None:
+    def __init__(self, text: str, path: tuple, linked: int, place: _Place) -> None:
         self.text, self.path, self.linked = text, path, linked
+        self.slots, self.inside, self.boiler = place.slots, place.inside, place.boiler
+
+
+class _Place:
+    """What an element and all those around it say together, so that nothing depends on how deep it is.
+
+    slots takes PATHS bits at most; shown: not inside of what is hidden; foreign: the content is svg or math.
+    """
+
+    __slots__ = ("boiler", "foreign", "inside", "shown", "slots")
+
+    def __init__(self, slots: int = 0, inside: bool = False, boiler: bool = False, shown: bool = True, foreign: bool = False) -> None:
+        self.slots, self.inside, self.boiler, self.shown, self.foreign = slots, inside, boiler, shown, foreign
+
+    def enter(self, tag: str, names: tuple[str, ...], known: dict) -> _Place:
+        if (tag, names) not in known:
+            parts = {p for n in names for p in _split.split(n)}
+            bits = 0
+            for token in (tag, *names, *(f"~{p}" for p in parts if p)):
+                bits |= 1 << _slot(token, PATHS)
+            known[tag, names] = (bits, tag in BOILER_TAGS or bool(parts & BOILER_NAMES), tag in CONTAINER_TAGS or bool(parts & CONTAINER_NAMES))
+        bits, boiler, inside = known[tag, names]
+        boiler = boiler or tag == "header" and not self.inside
+        return _Place(
+            self.slots | bits,
+            self.inside or inside and not boiler,
+            self.boiler or boiler,
+            tag == "foreignobject" or self.shown and tag not in UNSEEN,
+            tag in FOREIGN or self.foreign and tag not in WITHIN_FOREIGN,
+        )
 
 
 def _names(attributes: str) -> tuple[str, ...]:
@@ -83,6 +127,8 @@ class _Open:
 
     def __init__(self) -> None:
         self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.said: list[_Place] = [_Place()]
+        self.known: dict = {}
         self.places: dict[str, list[int]] = {}
         self.barriers: list[int] = []
 
@@ -95,11 +141,17 @@ class _Open:
         if tag in BARRIERS:
             self.barriers.append(at)
         self.stack.append((tag, names))
+        self.said.append(self.said[-1].enter(tag, names, self.known))
+
+    @property
+    def here(self) -> _Place:
+        return self.said[-1]
 
     def cut(self, at: int) -> None:
         """Close everything from place at on."""
         while len(self.stack) > at:
             self.places[self.stack.pop()[0]].pop()
+            self.said.pop()
         while self.barriers and self.barriers[-1] >= at:
             self.barriers.pop()
 
@@ -107,6 +159,11 @@ class _Open:
         if self.has(tag):
             self.cut(self.places[tag][-1])
 
+    def leave_foreign(self) -> None:
+        """Close svg and math elements, up to what holds HTML in them or around them."""
+        while self.here.foreign:
+            self.cut(len(self.stack) - 1)
+
     def end(self, tags: tuple[str, ...]) -> None:
         """Close from the outermost element of these tags on that lies inside the innermost barrier."""
         low = self.barriers[-1] if self.barriers else -1
@@ -162,6 +219,7 @@ class _Tags:
 def _unescaped(text: str) -> str:
     if "&" not in text:
         return text
+    text = _zeros.sub(lambda m: f"&#{m.group(1) or ''}", text)
     return entities.unescape(_numbers.sub("\ufffd", text))  # beyond any code point, and digits without end
 
 
@@ -172,12 +230,13 @@ def blocks(page: str | None) -> list[Block]:
     tags, open_ = _Tags(page), _Open()
     text: list[str] = []
     path: tuple = ()
+    place = open_.here
     linked, seen, at = 0, False, 0
 
     def flush() -> None:
         nonlocal linked, seen
         if seen:
-            out.append(Block(" ".join("".join(text).split()), path, linked))
+            out.append(Block(" ".join("".join(text).split()), path, linked, place))
         text.clear()
         linked, seen = 0, False
 
@@ -193,38 +252,61 @@ def blocks(page: str | None) -> list[Block]:
         elif (tag := tags.read(at)) is None:
             piece, at = "<", at + 1
         if tag is None:
-            if open_.has("head"):
+            if not open_.here.shown:
                 continue
             piece = _unescaped(piece)
             if piece.strip():
+                if open_.has("head"):
+                    open_.cut(open_.places["head"][0])
                 if not seen:
-                    path, seen = open_.path(), True
+                    path, place, seen = open_.path(), open_.here, True
                 if open_.has("a"):
                     linked += len(piece.split())
             text.append(piece)
             continue
         slash, name, attributes, at = tag
         name = name.lower()
-        if name == "br":
-            text.append(" ")
-            continue
-        if name not in INLINE:
-            flush()
+        mere = name in INLINE or name in EMBEDDED
         if slash:
+            if name == "br":
+                text.append(" ")
+                continue
+            foreign = open_.here.foreign and not open_.has(name)
             open_.close(name)
+            if not mere and not foreign and open_.here.shown and not (open_.here.foreign or name in WITHIN_FOREIGN):
+                flush()
+            continue
+        if name in BREAKOUT:
+            open_.leave_foreign()
+        foreign = open_.here.foreign
+        if name == "br":
+            if open_.here.shown:
+                text.append(" ")
             continue
+        if foreign or name in FOREIGN:
+            if not attributes.endswith("/"):
+                open_.push(name, _names(attributes))
+            continue
+        if open_.here.shown:
+            if open_.has("head") and name not in IN_HEAD:
+                open_.cut(open_.places["head"][0])
+            if not mere:
+                flush()
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
             at = page.find(">", end.end()) + 1 if end and end.end() <= tags.last else len(page)
             continue
         if name in VOID or attributes.endswith("/") and name not in ("p", "div", "li", "a"):
             continue
-        if name == "body" and open_.has("head"):
-            open_.cut(open_.places["head"][0])
         closes = ENDS.get(name, ())
-        if name not in INLINE and open_.has("p"):
+        if not mere and open_.has("p"):
+            hidden = not open_.here.shown
             closes = (*closes, "p")
-        open_.end(closes)
+            open_.end(closes)
+            if hidden and open_.here.shown:
+                flush()  # the paragraph that held what was hidden has ended
+        else:
+            open_.end(closes)
         open_.push(name, _names(attributes))
     flush()
     return out
@@ -232,24 +314,8 @@ def blocks(page: str | None) -> list[Block]:
 
 def teach(page: list[Block]) -> list[int]:
     """Labels by what the markup names: inside a container and not inside boilerplate; without a container, not inside boilerplate."""
-
-    def parts(names: tuple[str, ...]) -> set[str]:
-        return {p for n in names for p in _split.split(n)}
-
-    inside, boiler = [], []
-    for b in page:
-        is_in = is_out = False
-        for tag, names in b.path:
-            p = parts(names)
-            here = tag in CONTAINER_TAGS or bool(p & CONTAINER_NAMES)
-            if tag in BOILER_TAGS or p & BOILER_NAMES or tag == "header" and not is_in:
-                is_out = True
-            elif here:
-                is_in = True
-        inside.append(is_in)
-        boiler.append(is_out)
-    any_in = any(i and not o for i, o in zip(inside, boiler, strict=True))
-    return [int(not o and (i or not any_in)) for i, o in zip(inside, boiler, strict=True)]
+    any_in = any(b.inside and not b.boiler for b in page)
+    return [int(not b.boiler and (b.inside or not any_in)) for b in page]
 
 
 def variant(page: str, texts: list[str], rng: random.Random) -> str:
@@ -293,16 +359,14 @@ def features(page: list[Block], memory: dict) -> list[tuple[list[int], list[int]
     """(path slots, word slots, numbers) of every block."""
     out = []
     for b in page:
-        if b.path not in memory:
+        key = b.slots | 1 << _slot("/".join(t for t, _ in b.path[-3:]), PATHS)
+        if key not in memory:
             if len(memory) > 50_000:
                 memory.clear()
-            tokens = []
-            for tag, names in b.path:
-                tokens += [tag, *names, *(f"~{p}" for n in names for p in _split.split(n) if p)]
-            tokens.append("/".join(t for t, _ in b.path[-3:]))
-            memory[b.path] = sorted({_slot(t, PATHS) for t in tokens})
+            bits = np.frombuffer(key.to_bytes(PATHS // 8, "little"), np.uint8)
+            memory[key] = np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()
         words = b.text.lower().split()
-        out.append((memory[b.path], [_slot(w, WORDS) for w in words], (min(1.0, len(words) / 50), b.linked / len(words), sum(b.text.count(c) for c in ".,;:!?") / len(words))))
+        out.append((memory[key], [_slot(w, WORDS) for w in words], (min(1.0, len(words) / 50), b.linked / len(words), sum(b.text.count(c) for c in ".,;:!?") / len(words))))
     return out
 
 
