@@ -1,4 +1,4 @@
-"""Decisions: object classes, representations, policy checks, the lifecycle machine, the compiler's beam, forms within a budget."""
+"""Decisions: object classes, representations, policy checks, the lifecycle machine, forms within a budget."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidline.functions.text import estimate_tokens, truncated
+from braidline.operators.compiler import BEAM, RISK_WEIGHT, candidates_of, compile_beam, sweep  # noqa: F401 - what compiles decisions is found here too
 from braidline.operators.context import fold_flags
 
-BEAM, RISK_WEIGHT = 16, 512.0
-
 
 def find_nodes(nodes: DataFrame, types: tuple[str, ...] | None = None, lifecycle: tuple[str, ...] | None = None, active: bool | None = None) -> DataFrame:
     """Nodes that meet every condition that is given."""
@@ -132,76 +130,6 @@ def consensus(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFr
     return both.select(F.col(f"a.{key}").alias(key), same.alias("agreed"), *[F.when(same, F.col(f"a.{f}").cast("string")).otherwise("uncertain").alias(f) for f in fields])
 
 
-def candidates_of(masked: DataFrame) -> DataFrame:
-    """(session_id, place, atom_id, candidates array<struct<name, cost, risk>>): the verified ways to show each atom, and what leaving it out risks.
-
-    masked: atoms after checks.risk_mask. A hard or protected atom has no omission; a handle needs an archive. Atoms are placed by step and id.
-    """
-    text = F.concat_ws(" ", "key", F.coalesce("value", F.lit("")))
-    guard = (F.col("atom_type") == "conflicting_fact") & F.col("verified")
-    option = lambda name, cost, risk: F.struct(F.lit(name).alias("name"), cost.cast("bigint").alias("cost"), risk.cast("double").alias("risk"))
-    none = F.lit(0.0)
-    ways = F.array(
-        option("raw_message", estimate_tokens(text) + 8, none),
-        F.when(F.col("atom_type").isin("slot_value", "superseded_fact", "state_delta", "known_fact", "completed_operation"), option("structured_state_delta", estimate_tokens(text), none)),
-        F.when(F.col("verified"), option("verified_summary", estimate_tokens(truncated(text, 8)), F.when(F.col("hard"), 0.02).otherwise(0.01))),
-        F.when(guard, option("negative_guard", estimate_tokens(truncated(text, 6)), F.lit(0.015))),
-        F.when(F.col("archived"), option("archive_handle", F.lit(18), F.when(F.col("hard"), 0.2).otherwise(0.03))),
-        F.when(F.col("omit_allowed"), option("omit", F.lit(0), F.col("probability"))),
-    )
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("step_id", "atom_id"))
-    return masked.select("session_id", place.cast("bigint").alias("place"), "atom_id", F.filter(ways, lambda x: x.isNotNull()).alias("candidates"))
-
-
-def compile_beam(atoms: DataFrame, budget: int, width: int = BEAM) -> DataFrame:
-    """(session_id, place, choice, cost, risk, feasible): for each atom a representation, by beam search.
-
-    atoms: (session_id, place, candidates array<struct<name, cost, risk>>), one row for each atom in order. A beam keeps the width
-    best prefixes by cost + RISK_WEIGHT x risk, cost, risk and names; of the final ones the best that fits the budget wins, or
-    the least risky if none does. That is a search over one session's atoms, so it is a grouped function; prefixes share what they
-    have in common, so that it holds width x atoms links. An atom without a candidate is an error.
-    """
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("place")
-        beam: list[tuple] = [(0.0, 0, 0.0, 0, None)]  # rank, cost, risk, order of names, (prefix, option)
-        for options in part["candidates"]:
-            if not len(options):
-                raise ValueError(f"an atom of {key[0]} has no candidate")
-            named = sorted(options, key=lambda c: c["name"])
-            grown = [(s[1] + int(c["cost"]) + RISK_WEIGHT * (s[2] + float(c["risk"])), s[1] + int(c["cost"]), s[2] + float(c["risk"]), (s[3], j), (s[4], c)) for s in beam for j, c in enumerate(named)]
-            best = sorted(grown, key=lambda s: s[:4])[:width]
-            turn = {o: i for i, o in enumerate(sorted(s[3] for s in best))}  # names so far, as places among those kept
-            beam = [(*s[:3], turn[s[3]], s[4]) for s in best]
-        fits = [s for s in beam if s[1] <= budget]
-        chosen = min(fits, key=lambda s: s[:4]) if fits else min(beam, key=lambda s: (s[2], s[1], s[3]))
-        picked, link = [], chosen[4]
-        while link:
-            picked.append(link[1])
-            link = link[0]
-        picked.reverse()
-        return pd.DataFrame({"session_id": key[0], "place": part["place"].to_numpy(), "choice": [str(c["name"]) for c in picked], "cost": [int(c["cost"]) for c in picked], "risk": [float(c["risk"]) for c in picked], "feasible": bool(fits)})
-
-    kind = atoms.schema["session_id"].dataType.simpleString()
-    return atoms.select("session_id", "place", "candidates").groupBy("session_id").applyInPandas(run, f"session_id {kind}, place bigint, choice string, cost bigint, risk double, feasible boolean")
-
-
-def sweep(atoms: DataFrame, budgets: tuple[int, ...], raw: DataFrame) -> DataFrame:
-    """(budget, points, hard coverage and fallback rates, median cost and reduction) of compilations under each budget, and which is the least that covers all and falls back in one of twenty at most.
-
-    atoms: candidates_of() with hard; raw: (session_id, raw_tokens).
-    """
-    out = None
-    hard = atoms.select("session_id", "place", "hard")
-    for b in budgets:
-        done = compile_beam(atoms, b).join(hard, ["session_id", "place"])
-        per = done.groupBy("session_id").agg(F.sum("cost").alias("cost"), F.min(~F.col("hard") | (F.col("choice") != "omit")).alias("covered"), F.min("feasible").alias("feasible")).join(raw, "session_id")
-        row = per.agg(F.lit(b).cast("bigint").alias("budget"), F.count("*").alias("points"), F.avg(F.col("covered").cast("double")).alias("hard_coverage_rate"), F.avg((~F.col("feasible")).cast("double")).alias("fallback_rate"), F.median("cost").alias("median_cost"), F.median(F.try_divide((F.col("raw_tokens") - F.col("cost")).cast("double"), F.col("raw_tokens"))).alias("median_reduction"))
-        out = row if out is None else out.union(row)
-    good = (F.col("hard_coverage_rate") == 1.0) & (F.col("fallback_rate") <= 0.05)
-    return out.withColumn("primary", good & (F.col("budget") == F.min(F.when(good, F.col("budget"))).over(Window.partitionBy(F.lit(1)))))  # one row a budget
-
-
 def form_ladder(cards: DataFrame, order: list[Column], budget: int) -> DataFrame:
     """cards (session_id, full, compact: costs) with the form each takes in what is left of the budget: full, compact, minimal, or none.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from braidline.operators import liveness, state
+from braidline.operators import compiler, liveness, state
 from braidline.plans.registry import Registry
 from braidline.plans.stories import STORY, graph
 from braidline.scratch import table
@@ -240,25 +240,75 @@ _OPTIONS = (
 _NEVER = "('active_goal', 'open_subgoal', 'unknown_slot', 'confirmation_requirement', 'global_policy_rule', 'applicable_policy_rule', 'critical_evidence', 'side_effect_receipt', 'pending_operation')"
 
 
+#: Beam search said again: prefixes of choices for each place, the 16 best kept, ties by what was chosen before.
+def beam_sql(options: str = "op") -> str:
+    return f"""bm AS (SELECT DISTINCT session_id, 0::BIGINT AS place, 1::BIGINT AS turn, 0::BIGINT AS back, '' AS name, 0::BIGINT AS cost, 0::DOUBLE AS risk FROM {options}
+UNION ALL SELECT session_id, place, row_number() OVER (PARTITION BY session_id ORDER BY back, name) AS turn, back, name, cost, risk FROM
+(SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY cost + 512::DOUBLE * risk, cost, risk, back, name) AS best FROM
+(SELECT b.session_id, b.place + 1 AS place, b.turn AS back, o.name, b.cost + o.cost AS cost, b.risk + o.risk AS risk FROM bm b JOIN {options} o ON o.session_id = b.session_id AND o.place = b.place + 1)) WHERE best <= 16)"""
+
+
+def chosen_sql(budgets: tuple[int, ...]) -> str:
+    """ch: the end that wins under each budget; of those that fit the best, else the one of least risk."""
+    return f"""en AS (SELECT bm.*, budget, cost <= budget AS fits FROM bm SEMI JOIN (SELECT session_id, max(place) AS place FROM bm GROUP BY session_id) l ON l.session_id = bm.session_id AND l.place = bm.place, (SELECT unnest({list(budgets)})::BIGINT AS budget)),
+ch AS (SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY session_id, budget ORDER BY fits DESC, CASE WHEN fits THEN cost + 512::DOUBLE * risk ELSE risk END, cost, risk, turn) = 1)"""
+
+
+#: The way back from the ends that won.
+BACK = """bk AS (SELECT session_id, budget, fits, place, turn FROM ch UNION ALL SELECT b.session_id, b.budget, b.fits, b.place - 1, m.back FROM bk b JOIN bm m ON m.session_id = b.session_id AND m.place = b.place AND m.turn = b.turn WHERE b.place > 1),
+pk AS (SELECT b.session_id, b.budget, b.fits, b.place, m.name FROM bk b JOIN bm m ON m.session_id = b.session_id AND m.place = b.place AND m.turn = b.turn WHERE b.place > 0)"""
+
+#: About half of the states of stories fit into it.
+TIGHT = 2600
+
+
+def _options(where: str = "true") -> str:
+    return f"""fr AS (SELECT *, NOT hard AND atom_type NOT IN {_NEVER} AND atom_type <> 'conflicting_fact' AS free, row_number() OVER (PARTITION BY session_id ORDER BY step_id, atom_id) AS place FROM atm),
+op AS ({" UNION ALL ".join(f"SELECT session_id, place, {n} AS name, CAST({c} AS BIGINT) AS cost, ({r})::DOUBLE AS risk, hard FROM fr WHERE {w} AND ({where.format(name=n)})" for n, c, r, w in _OPTIONS)})"""
+
+
 @R.add(
     "compiled_states",
-    f"""WITH {STATE}, fr AS (SELECT *, NOT hard AND atom_type NOT IN {_NEVER} AND atom_type <> 'conflicting_fact' AS free, row_number() OVER (PARTITION BY session_id ORDER BY step_id, atom_id) AS place FROM atm),
-op AS ({" UNION ALL ".join(f"SELECT session_id, place, {n} AS name, CAST({c} AS BIGINT) AS cost, ({r})::DOUBLE AS risk FROM fr WHERE {w}" for n, c, r, w in _OPTIONS)}),
-rk AS (SELECT *, row_number() OVER (PARTITION BY session_id, place ORDER BY cost + 512 * risk, cost, risk, name) AS turn FROM op)
-SELECT session_id, place, name AS choice, cost, risk, true AS feasible FROM rk WHERE turn = 1""",
+    f"WITH RECURSIVE {STATE}, {_options()}, {beam_sql()}, {chosen_sql((TIGHT,))}, {BACK} SELECT session_id, place, name AS choice, o.cost, o.risk, fits AS feasible FROM pk JOIN op o USING (session_id, place, name)",
 )
 def compiled_states(t):
-    """Beam search over the state of each story in a budget that always suffices: the best choice for each atom by itself."""
-    from braidline.operators import decisions
+    """Beam search over the state of each story in a budget that binds: some fit, of some another end than the best fits, others fall back to the least risk."""
+    return compiler.compile_beam(compiler.candidates_of(_masked(t)[1]), TIGHT)
 
-    return decisions.compile_beam(decisions.candidates_of(_masked(t)[1]), 1_000_000)
 
+_SWEPT = (2300, 2600, 3200, 4000)
 
-@R.add("compiled_sweep")
+
+@R.add(
+    "compiled_sweep",
+    f"""WITH RECURSIVE {STATE}, {_options()}, {beam_sql()}, {chosen_sql(_SWEPT)}, {BACK},
+pr AS (SELECT session_id, budget, any_value(fits) AS feasible, sum(o.cost) AS cost, bool_and(NOT o.hard OR name <> 'omit') AS covered FROM pk JOIN op o USING (session_id, place, name) GROUP BY session_id, budget),
+rw AS (SELECT session_id, sum(token_count) AS raw FROM vn GROUP BY session_id),
+rt AS (SELECT budget, count(*) AS points, avg(covered::INT) AS hard_coverage_rate, avg((NOT feasible)::INT) AS fallback_rate, median(cost)::DOUBLE AS median_cost, median((raw - cost)::DOUBLE / raw) AS median_reduction FROM pr JOIN rw USING (session_id) GROUP BY budget)
+SELECT * REPLACE (round(hard_coverage_rate, 9) AS hard_coverage_rate, round(fallback_rate, 9) AS fallback_rate, round(median_reduction, 9) AS median_reduction), coalesce(budget = min(CASE WHEN hard_coverage_rate = 1 AND fallback_rate <= 0.05 THEN budget END) OVER (), false) AS "primary" FROM rt""",
+)
 def compiled_sweep(t):
-    """Three budgets, of which the beam has to choose within; no SQL searches so."""
-    from braidline.operators import decisions
+    """Four budgets, of which each state is compiled under in one search; the least that covers all and hardly ever falls back is the primary one."""
+    n, masked = _masked(t)
+    atoms = table(compiler.candidates_of(masked).join(masked.select("session_id", "atom_id", "hard"), ["session_id", "atom_id"]), "candidates")
+    swept = compiler.sweep(atoms, _SWEPT, n.groupBy("session_id").agg(F.sum("token_count").alias("raw_tokens")))
+    return swept.withColumns({c: F.round(c, 9) for c in ("hard_coverage_rate", "fallback_rate", "median_reduction")})
+
 
+#: Handles of atoms whose content the archive has lost do not pass, nor claims of what no event shows.
+_LOST = "{name} <> 'archive_handle' OR step_id % 2 = 0"
+
+
+@R.add(
+    "compiled_verified",
+    f"""WITH RECURSIVE {STATE}, {_options(_LOST)}, {beam_sql()}, {chosen_sql((TIGHT,))}, {BACK},
+dr AS (SELECT session_id, count(*) AS rejected FROM fr WHERE step_id % 3 = 0 AND step_id % 2 <> 0 GROUP BY session_id),
+pr AS (SELECT session_id, any_value(fits) AS feasible, sum(o.cost) AS cost, sum(CASE WHEN name = 'omit' THEN 1 ELSE 0 END) AS omitted, sum(CASE WHEN name = 'archive_handle' THEN 1 ELSE 0 END) AS handles, sum(CASE WHEN o.hard AND name = 'omit' THEN 1 ELSE 0 END) AS uncovered, round(sum(o.risk), 6) AS risk FROM pk JOIN op o USING (session_id, place, name) GROUP BY session_id)
+SELECT session_id, CAST(cost AS BIGINT) AS cost, risk, feasible, NOT feasible AS fallback, cost > {TIGHT + 150} AS hard_exceeded, coalesce(rejected, 0) AS rejected, CAST(omitted AS BIGINT) AS omitted, CAST(handles AS BIGINT) AS handles, CAST(uncovered AS BIGINT) AS hard_coverage_errors, 0::BIGINT AS provenance_errors, CASE WHEN cost > {TIGHT + 150} THEN 1 ELSE 0 END::BIGINT AS budget_errors FROM pr LEFT JOIN dr USING (session_id)""",
+)
+def compiled_verified(t):
+    """Candidates verified against events and an archive that has lost odd steps; the compilation checked as a whole."""
     n, masked = _masked(t)
-    atoms = table(decisions.candidates_of(masked).join(masked.select("session_id", "atom_id", "hard"), ["session_id", "atom_id"]), "candidates")
-    return decisions.sweep(atoms, (512, 2048, 8192), n.groupBy("session_id").agg(F.sum("token_count").alias("raw_tokens")))
+    masked = masked.withColumn("raw_ref", F.when(F.col("archived"), F.sha2(F.col("atom_id"), 256)))
+    archive = masked.where("archived and step_id % 2 = 0").select(F.col("raw_ref").alias("digest"))
+    return compiler.compile_state(masked, n.select("session_id", "node_id"), archive, TIGHT, TIGHT + 150)
