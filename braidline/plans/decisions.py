@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from braidline.functions.text import estimate_tokens, truncated
-from braidline.operators import context, decisions, graph, lifecycle
+from braidline.operators import compiler, context, decisions, graph, lifecycle
 from braidline.operators.ranges import numbered
-from braidline.plans.contexts import NODES
+from braidline.plans.contexts import NODES, cut
 from braidline.plans.exchanges import EX, GRAPH
 from braidline.plans.registry import Registry
+from braidline.plans.states import BACK, beam_sql, chosen_sql
 from braidline.plans.stories import PROFILES
 from braidline.plans.stories import graph as graph_of
 from braidline.sources.adapters import conversation_nodes, event_exchanges, exchange_edges, exchange_nodes
@@ -94,15 +95,52 @@ def consensus(t):
     return decisions.consensus(k.select("doc_id", F.col("quality").alias("disposition")), k.select("doc_id", F.col("toxic").alias("disposition")), "doc_id", ["disposition"])
 
 
-@R.add("compiled_context")
-def compiled_context(t):
-    """Beam search over each conversation's turns: whole, cut to 24 tokens, or left out at a risk that follows the turn's kind. No SQL says it."""
+#: Turns shown whole, cut to 24 tokens, or left out; goals and constraints are never left out.
+_TURNS = f"""{NODES},
+pt AS (SELECT *, node_type IN ('goal', 'subgoal', 'constraint') AS guarded FROM n),
+op AS (SELECT session_id, ordinal AS place, 'raw' AS name, token_count AS cost, 0::DOUBLE AS risk FROM pt
+  UNION ALL SELECT session_id, ordinal, 'summary', CAST((strlen({cut(24)}) + 3) // 4 AS BIGINT), CASE WHEN guarded THEN 0.2 ELSE 0.05 END::DOUBLE FROM pt
+  UNION ALL SELECT session_id, ordinal, 'omit', 0, 0.1::DOUBLE FROM pt WHERE NOT guarded)"""
+#: Between what some conversations need at least and what others would take.
+_BINDING = 96
+
+
+def _turns(t):
     n = conversation_nodes(t("conversations"))
-    protected = F.col("node_type").isin("goal", "subgoal", "constraint")
+    guarded = F.col("node_type").isin("goal", "subgoal", "constraint")
     option = lambda name, cost, risk: F.struct(F.lit(name).alias("name"), cost.cast("bigint").alias("cost"), risk.cast("double").alias("risk"))
-    cut = estimate_tokens(truncated(F.col("content"), 24))
-    options = F.filter(F.array(option("raw", F.col("token_count"), F.lit(0.0)), option("summary", cut, F.when(protected, 0.2).otherwise(0.05)), F.when(~protected, option("omit", F.lit(0), F.lit(0.1)))), lambda x: x.isNotNull())
-    return decisions.compile_beam(n.select("session_id", F.col("ordinal").alias("place"), options.alias("candidates")), 512)
+    short = estimate_tokens(truncated(F.col("content"), 24))
+    options = F.filter(F.array(option("raw", F.col("token_count"), F.lit(0.0)), option("summary", short, F.when(guarded, 0.2).otherwise(0.05)), F.when(~guarded, option("omit", F.lit(0), F.lit(0.1)))), lambda x: x.isNotNull())
+    return n.select("session_id", F.col("ordinal").alias("place"), options.alias("candidates"))
+
+
+@R.add("compiled_context", f"WITH RECURSIVE {_TURNS}, {beam_sql()}, {chosen_sql((_BINDING,))}, {BACK} SELECT session_id, place, name AS choice, o.cost, o.risk, fits AS feasible FROM pk JOIN op o USING (session_id, place, name)")
+def compiled_context(t):
+    """Beam search over each conversation's turns: whole, cut, or left out at a risk that follows the turn's kind."""
+    return compiler.compile_beam(_turns(t), _BINDING)
+
+
+@R.add(
+    "compiled_optimum",
+    f"""WITH RECURSIVE {_TURNS}, {beam_sql()}, {chosen_sql((_BINDING,))},
+oi AS (SELECT *, CAST(round(risk * 1000000) AS BIGINT) AS micro FROM op),
+dp AS (SELECT DISTINCT session_id, 0::BIGINT AS place, 0::BIGINT AS cost, 0::BIGINT AS micro FROM oi
+  UNION ALL SELECT session_id, place, cost, CAST(min(micro) AS BIGINT) FROM (SELECT d.session_id, d.place + 1 AS place, d.cost + o.cost AS cost, d.micro + o.micro AS micro FROM dp d JOIN oi o ON o.session_id = d.session_id AND o.place = d.place + 1 WHERE d.cost + o.cost <= {_BINDING}) GROUP BY session_id, place, cost),
+ls AS (SELECT session_id, max(place) AS place FROM oi GROUP BY session_id),
+ft AS (SELECT d.session_id, d.cost, d.micro FROM dp d JOIN ls USING (session_id, place) QUALIFY row_number() OVER (PARTITION BY d.session_id ORDER BY d.cost * 1000000 + 512 * d.micro, d.cost) = 1),
+fb AS (SELECT session_id, CAST(sum(cost) AS BIGINT) AS cost, CAST(sum(micro) AS BIGINT) AS micro FROM (SELECT * FROM oi QUALIFY row_number() OVER (PARTITION BY session_id, place ORDER BY micro, cost, name) = 1) GROUP BY session_id)
+SELECT session_id, ft.session_id IS NOT NULL AS feasible, coalesce(ft.cost, fb.cost) AS cost, coalesce(ft.micro, fb.micro) AS risk_millionths, ch.fits AS beam_feasible, ch.cost AS beam_cost, CASE WHEN ch.fits THEN ch.cost * 1000000 + 512 * CAST(round(ch.risk * 1000000) AS BIGINT) - ft.cost * 1000000 - 512 * ft.micro END AS regret
+FROM fb LEFT JOIN ft USING (session_id) JOIN ch USING (session_id)""",
+)
+def compiled_optimum(t):
+    """The best of all choices that fit, by dynamic programming, and what the beam loses against it (in millionths); both fall back alike."""
+    turns = _turns(t)
+    micro = F.round(F.col("risk") * 1e6).cast("bigint")
+    totals = lambda df: df.groupBy("session_id").agg(F.min("feasible").alias("feasible"), F.sum("cost").alias("cost"), F.sum(micro).alias("micro"))
+    beam = totals(compiler.compile_beam(turns, _BINDING)).select("session_id", F.col("feasible").alias("beam_feasible"), F.col("cost").alias("beam_cost"), F.col("micro").alias("beam_micro"))
+    value = lambda cost, risk: F.col(cost) * 1_000_000 + F.col(risk) * 512
+    both = totals(compiler.compile_exact(turns, _BINDING)).join(beam, "session_id")
+    return both.select("session_id", "feasible", "cost", F.col("micro").alias("risk_millionths"), "beam_feasible", "beam_cost", F.when(F.col("beam_feasible"), value("beam_cost", "beam_micro") - value("cost", "micro")).alias("regret"))
 
 
 @R.add(
