@@ -28,7 +28,7 @@ HORIZON = 32
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A text without any of these, after A-Z are lower-cased, matches no rule and no base phrase: stems that suffice, and
 #: stems for which the expressions behind them decide.
-STEMS = ("licen", "copyright", "copyleft", "rights", "warrant", "spdx", "gnu", "gpl", "cc0", "commons", "redistribut", "permission", "permitted", "wtfpl", "noncommercial", "reproduced", "proprietary", "confidential", "unauthorized", "bsd", "royalty", "as-is", "liable", "liability", "infring", "trademark", "attribution", "disclaim", "source code form", "derivative work")
+STEMS = ("licen", "copyright", "copyleft", "rights", "warrant", "spdx", "gnu", "gpl", "cc0", "commons", "redistribut", "permission", "permitted", "wtfpl", "noncommercial", "reproduced", "proprietary", "confidential", "unauthorized", "bsd", "royalty", "as-is", "liable", "liability", "infring", "trademark", "attribution", "disclaim", "source code form", "derivative work", "cddl", "sspl", "mulan")
 MAYBE = {
     "pl": f"(?<![a-z0-9])[me]pl(?:{_GAP})?v?(?:{_GAP})?\\d",
     "cc": f"cc{_GAP}(?:by|zero)",
@@ -42,6 +42,19 @@ MAYBE = {
     "tort": f"contract{_GAP}tort",
     "advertising": f"advertising{_GAP}materials",
     "verbatim": f"verbatim{_GAP}copies",
+    "perl": f"as{_GAP}perl{_GAP}itself",
+    "font": f"font{_GAP}(?:software|name)",
+    "product": f"this{_GAP}product{_GAP}includes",
+    "consortium": f"x{_GAP}consortium",
+    "third": f"third{_GAP}parties{_GAP}as{_GAP}a",
+    "grant": f"additional{_GAP}use{_GAP}grant",
+    "commercial": f"for{_GAP}commercial{_GAP}(?:purposes|use)",
+    "remix": f"remix{_GAP}transform",
+    "invariant": f"invariant{_GAP}sections",
+    "evil": f"good{_GAP}not{_GAP}evil",
+    "risk": f"entire{_GAP}risk{_GAP}as",
+    "damage": f"possibility{_GAP}of{_GAP}such{_GAP}damage",
+    "option": f"at{_GAP}your{_GAP}option",
 }
 #: Base phrases: (words, label).
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -135,45 +148,45 @@ def signature_rules() -> list[tuple[int, int, int, str, str, str]]:
     add(1, 94, "agpl", "remote network interaction use with the gnu general public license", "you should have received a copy of the gnu affero general public license along with", "gnu agpl(?: v| version)? ?3?")
     add(2, 93, "mpl", "this source code form is subject to the terms of the mozilla public license", "the contents of this file are subject to the mozilla public license", "incompatible with secondary licenses")
     add(2, 92, "epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "the accompanying program is provided under the terms of this eclipse public license")
-    add(2, 92, "cddl", "the contents of this file are subject to the terms of the common development and distribution license", "cddl(?: v| version)? 1 [01] license")
-    add(2, 92, "artistic", "perl artistic license", "the same terms as perl itself under license")
-    add(2, 92, "ofl", "this font software is licensed under the sil open font license", "the font software may not be sold by itself license", "reserved font name copyright")
+    add(2, 92, "cddl", "the contents of this file are subject to the terms of the common development and distribution license", "cddl(?: v| version)? 1 [01]", "cddl v1 [01]")
+    add(2, 92, "artistic", "perl artistic license", "the same terms as perl itself")
+    add(2, 92, "ofl", "this font software is licensed under the sil open font license", "neither the font software nor any of its individual components in original or modified versions may be sold by itself", "with reserved font name")
     add(2, 91, "bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy", "must be included in all copies of the software in whole or in part and all derivative works", "distributed under the boost software license")
     add(2, 91, "python", "psf hereby grants licensee a nonexclusive royalty free", "psf license agreement for python", "beopen com license agreement for python", "cnri license agreement for python")
-    add(2, 91, "php", "products derived from this software may not be called php nor may php appear without prior written permission", "this product includes php software freely available license")
-    add(2, 91, "openssl", "this product includes software developed by the openssl project license", "the names openssl toolkit and openssl project must not be used without prior written permission", "this product includes cryptographic software written by eric young copyright")
-    add(2, 91, "x11", "permission to use copy modify distribute and sell this software and its documentation for any purpose", "except as contained in this notice the name of the x consortium shall not be used copyright")
+    add(2, 91, "php", "products derived from this software may not be called php nor may php appear without prior written permission", "this product includes php software freely available from")
+    add(2, 91, "openssl", "this product includes software developed by the openssl project", "the names openssl toolkit and openssl project must not be used without prior written permission", "this product includes cryptographic software written by eric young")
+    add(2, 91, "x11", "permission to use copy modify distribute and sell this software and its documentation for any purpose", "except as contained in this notice the name of the x consortium shall not be used in advertising")
     add(2, 90, "ncsa", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers", "the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission")
-    add(2, 90, "w3c", "permission to copy modify and distribute this work with or without modification for any purpose and without fee", "copyright w3c(?: r)? liability trademark and document use rules")
+    add(2, 90, "w3c", "permission to copy modify and distribute this work with or without modification for any purpose and without fee", "liability trademark and document use rules")
     add(2, 90, "ms-pl", "this license governs use of the accompanying software if you use the software you accept this license", "if you distribute any portion of the software in source code form you may do so only under this license")
-    add(2, 90, "sspl", "if you make the functionality of the program or a modified version available to third parties as a service license", "sspl(?: v| version)? 1 license")
-    add(2, 90, "busl", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "change license", "additional use grant copyright")
-    add(2, 90, "elastic", "you may not provide the software to third parties as a hosted or managed service license", "elastic license")
+    add(2, 90, "sspl", "if you make the functionality of the program or a modified version available to third parties as a service", "sspl(?: v| version)? 1", "sspl v1")
+    add(2, 90, "busl", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "change license", "additional use grant")
+    add(2, 90, "elastic", "you may not provide the software to third parties as a hosted or managed service", "elastic license")
     add(2, 90, "cc0", "the person who associated a work with this deed has dedicated the work to the public domain", "to the extent possible under law the author has waived all copyright and related", "no copyright has been asserted", "creative commons zero")
     add(2, 89, "cc-by", "this work is licensed under a creative commons attribution", "creative commons attribution international public license", "you must give appropriate credit provide a link to the license and indicate if changes were made")
     add(2, 89, "cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license", "share alike license", "sharealike license")
-    add(2, 89, "cc-by-nc", "you may not use the material for commercial purposes license")
-    add(2, 89, "cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material license")
-    add(2, 89, "gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "with no invariant sections no front cover texts and no back cover texts license")
+    add(2, 89, "cc-by-nc", "you may not use the material for commercial purposes")
+    add(2, 89, "cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material")
+    add(2, 89, "gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "with no invariant sections no front cover texts and no back cover texts")
     add(2, 88, "odbl", "this database is made available under the open database license", "any rights in individual contents of the database are licensed under the database contents license")
     add(2, 88, "llama", "llama(?: [234])? community license")
     add(2, 88, "openrail", "(?:bigscience |creativeml )?open rail m license", "bigscience rail license")
     add(2, 88, "beerware", "beerware license", "beer ware license")
-    add(2, 88, "json", "the software shall be used for good not evil license")
+    add(2, 88, "json", "the software shall be used for good not evil")
     add(2, 88, "postgresql", "postgresql license")
     add(2, 88, "vim", "vim license", "vim charityware license")
     add(2, 88, "hpnd", "historical permission notice and disclaimer")
     add(2, 88, "eupl", "licensed under the eupl(?: v| version)? ?1 [012]")
     add(2, 88, "cecill", "cecill(?: b| c)? (?:free software )?license")
-    add(2, 88, "mulan", "mulan psl(?: v)? ?2 license", "mulan permissive software license")
+    add(2, 88, "mulan", "mulan psl(?: v)? ?2", "mulan permissive software license")
     add(2, 88, "upl", "universal permissive license")
     add(2, 88, "blueoak", "blue oak model license")
     add(2, 88, "anti-996", "anti 996 license")
     add(2, 88, "polyform", "polyform (?:noncommercial|shield|strict|perimeter|small business) license")
     add(2, 88, "commons-clause", "commons clause license condition", "commons clause")
     add(2, 88, "open-government", "open government licen[cs]e")
-    add(3, 75, "warranty-disclaimer", "without warrant(?:y|ies) of any kind", "without warranties or conditions of any kind", "without any warranty", "the software is provided as is", "there is no warranty for the program to the extent permitted by applicable law", "the entire risk as to the quality and performance of the program is with you warranty", "including but not limited to the (?:implied )?warranties of merchantability", "any express or implied warranties", "disclaims? (?:all|any) (?:implied )?warrant(?:y|ies)", "disclaimer of warranty")
-    add(3, 75, "liability-limit", "limitation of liability", "in no event shall the author(?:s)? be liable", "in no event will any copyright holder be liable", "shall not be liable for any (?:direct|indirect|incidental|special|consequential) damages", "even if advised of the possibility of such damage liability")
+    add(3, 75, "warranty-disclaimer", "without warrant(?:y|ies) of any kind", "without warranties or conditions of any kind", "without any warranty", "the software is provided as is", "there is no warranty for the program to the extent permitted by applicable law", "the entire risk as to the quality and performance of the program is with you", "including but not limited to the (?:implied )?warranties of merchantability", "any express or implied warranties", "disclaims? (?:all|any) (?:implied )?warrant(?:y|ies)", "disclaimer of warranty")
+    add(3, 75, "liability-limit", "limitation of liability", "in no event shall the author(?:s)? be liable", "in no event will any copyright holder be liable", "shall not be liable for any (?:direct|indirect|incidental|special|consequential) damages", "even if advised of the possibility of such damage")
     # Ownership and restrictions.
     add(4, 80, "public-domain", "public domain", "dedicated to the public domain", "released into the public domain", "placed in the public domain")
     add(4, 70, "copyright", r"copyright (?:c )?(?:19|20)\d\d", r"copyright c", r"copyrighted (?:material|work)", "copyright holder", "copyright owner", "copyright infringement", "copyright notice", "protected by copyright", "under copyright")
@@ -181,8 +194,9 @@ def signature_rules() -> list[tuple[int, int, int, str, str, str]]:
     add(4, 70, "copyleft", "copyleft", "strong copyleft", "weak copyleft")
     add(3, 80, "reserved", "some rights reserved", "no rights reserved", "all rights are reserved", "moral rights (?:have been|are) asserted")
     add(4, 75, "proprietary", "proprietary and confidential", "confidential and proprietary", "may not be reproduced", "not for redistribution", "redistribution is prohibited", "redistribution prohibited", "unauthorized copying", "unauthorized (?:use|reproduction|distribution)", "no part of this (?:publication|work|document|book) may be reproduced", "permission is required", "with permission of the copyright (?:holder|owner)", "by permission of the copyright (?:holder|owner)", "without (?:the )?(?:express |prior )?written permission", "reproduced with permission", "used (?:here )?with permission", "reprinted by permission", "strictly prohibited without permission", "proprietary information of", "trade secrets? and confidential")
-    add(4, 75, "noncommercial", "for non ?commercial use only", "non commercial use only", "noncommercial use only", "for personal use only", "for research use only", "noncommercial purposes only", "for educational use only", "for internal use only", "for evaluation use only", "for editorial use only", "not for commercial use license")
-    add(4, 72, "dual-license", "dual licen[cs]ed?", "dual licensing", "triple licensed", "at your option any later version of the license", "commercial license")
+    add(4, 75, "noncommercial", "for non ?commercial use only", "non commercial use only", "noncommercial use only", "for personal use only", "for research use only", "noncommercial purposes only", "for educational use only", "for internal use only", "for evaluation use only", "for editorial use only", "not for commercial use")
+    add(4, 72, "dual-license", "dual licen[cs]ed?", "dual licensing", "triple licensed", "commercial license")
+    add(4, 72, "or-later", "at your option any later version")
     add(5, 50, "unspecified", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:[^ ]+ ){0,5}?licen[cs]e", "licensed under", "license agreement", "end user license agreement", "this license", "open source license", "free license", "licence agreement", "subject to license", "under license from", "license terms", "license file", "see license", "licensed to", "software license", "license fee", "license key", "license header", "license text", "permissive license", "free software license", "public license", "royalty free")
     # The order of rules decides between equal intervals. A rule that begins with alternatives is tried at each of them.
     spread = [(p, sure, first, pattern, label) for p, sure, _, pattern, label in rules for first in keywords(pattern)]
