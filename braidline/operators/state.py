@@ -58,6 +58,7 @@ def reduce_state(nodes: DataFrame, edges: DataFrame, schemas: DataFrame | None =
     at = lambda *c: F.array(*[F.col(x) for x in c])
     done = ops.where("result is not null")
     parts, links = [], []
+    ahead = []  # links of kinds that trace edges become as well
     last = lambda kind: nodes.where(F.col("node_type") == kind).groupBy("session_id").agg(F.max(F.struct("step_id", "node_id", "content")).alias("l")).select("session_id", "l.*", F.lit(False).alias("side_effect"))
     for kind, name in (("goal", "active_goal"), ("subgoal", "open_subgoal")):
         parts.append(_atoms(last(kind), name, F.lit(name), F.col("content"), at("node_id"), True))
@@ -85,7 +86,8 @@ def reduce_state(nodes: DataFrame, edges: DataFrame, schemas: DataFrame | None =
     delta = _atoms(done, "state_delta", F.concat(F.lit("delta:"), F.col("result")), F.concat(F.lit("pending->"), F.col("state")), both, False, **known)
     receipt = _atoms(done.where("side_effect and not bad"), "side_effect_receipt", F.concat(F.lit("receipt:"), F.col("operation")), F.col("r.content"), both, True, **known)
     parts += [confirmation, fact, delta, receipt]
-    links += [linked(confirmation, "required_for"), linked(fact, F.when(F.col("atom_type") == "conflicting_fact", "blocks").otherwise("supports")), linked(delta, "resolves"), linked(receipt, "satisfies")]
+    ahead += [linked(fact, F.when(F.col("atom_type") == "conflicting_fact", "blocks").otherwise("supports")), linked(delta, "resolves")]
+    links += [linked(confirmation, "required_for"), linked(receipt, "satisfies")]
 
     given = ops.where("arguments is not null").select("session_id", "node_id", "step_id", "side_effect", "tool_name", F.explode("arguments").alias("slot", "given"))
     slot = Window.partitionBy("session_id", "tool_name", "slot")
@@ -98,26 +100,30 @@ def reduce_state(nodes: DataFrame, edges: DataFrame, schemas: DataFrame | None =
     links.append(linked(slots, "fills"))
     new = slots.where("status <> 'superseded'").select("session_id", "key", F.col("atom_id").alias("source"), F.col("status").alias("new_status"))
     old = slots.where("status = 'superseded'").select("session_id", "key", F.col("atom_id").alias("target"))
-    links.append(new.join(old, ["session_id", "key"]).select("session_id", "source", "target", F.lit("supersedes").alias("edge_type"), F.lit(1.0).alias("confidence")))
+    ahead.append(new.join(old, ["session_id", "key"]).select("session_id", "source", "target", F.lit("supersedes").alias("edge_type"), F.lit(1.0).alias("confidence")))
     peers = new.where("new_status = 'conflicting'").select("session_id", "key", "source")
     links.append(peers.join(peers.withColumnRenamed("source", "target"), ["session_id", "key"]).where("source < target").select("session_id", "source", "target", F.lit("conflicts_with").alias("edge_type"), F.lit(1.0).alias("confidence")))
 
     rules = nodes.where("node_type = 'constraint'")
     parts.append(_atoms(rules, "global_policy_rule", F.concat(F.lit("policy:"), F.substring(F.sha2("content", 256), 1, 24)), F.col("content"), at("node_id"), True))
-    atoms = reduce(DataFrame.unionByName, parts).dropDuplicates(["session_id", "atom_id"])
-    made = reduce(DataFrame.unionByName, links)
-    return atoms, made.unionByName(translated(edges, atoms, made)).dropDuplicates(["session_id", "source", "target", "edge_type"])
+    # Types and keys of one part are never those of another, nor are links, so each is made distinct where it lies.
+    atoms = table(reduce(DataFrame.unionByName, [p.dropDuplicates(["session_id", "atom_id"]) for p in parts]), "atoms", lies=True)
+    ends = ["session_id", "source", "target", "edge_type"]
+    made = [x.dropDuplicates(ends) for x in ahead + links]
+    return atoms, reduce(DataFrame.unionByName, made + [translated(edges, atoms, made[: len(ahead)])])
 
 
-def translated(edges: DataFrame, atoms: DataFrame, existing: DataFrame) -> DataFrame:
-    """Trace edges as edges between the atoms of their ends, but those that are there."""
+def translated(edges: DataFrame, atoms: DataFrame, existing: list[DataFrame]) -> DataFrame:
+    """Trace edges as edges between the atoms of their ends, but those that one of existing has."""
     names = F.create_map(*[F.lit(x) for pair in RELATIONS.items() for x in pair])
     of = atoms.select("session_id", "atom_id", F.explode("sources").alias("event"))
     rows = edges.where(F.col("edge_type").isin(*RELATIONS)).select("session_id", F.col("source").alias("from"), F.col("target").alias("to"), names[F.col("edge_type")].alias("edge_type"), "confidence")
     rows = rows.join(of.select("session_id", F.col("event").alias("from"), F.col("atom_id").alias("source")), ["session_id", "from"])
     rows = rows.join(of.select("session_id", F.col("event").alias("to"), F.col("atom_id").alias("target")), ["session_id", "to"]).where("source <> target")
     rows = rows.groupBy("session_id", "source", "target", "edge_type").agg(F.max("confidence").alias("confidence"))
-    return rows.join(existing, ["session_id", "source", "target", "edge_type"], "left_anti").select("session_id", "source", "target", "edge_type", "confidence")
+    for there in existing:
+        rows = rows.join(there, ["session_id", "source", "target", "edge_type"], "left_anti")
+    return rows.select("session_id", "source", "target", "edge_type", "confidence")
 
 
 def find_atoms(atoms: DataFrame, *types: str, status: str | None = None) -> DataFrame:

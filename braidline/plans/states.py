@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from braidline.operators import compiler, liveness, state
 from braidline.plans.registry import Registry
-from braidline.plans.stories import STORY, graph
+from braidline.plans.stories import STORY, exchanges
 from braidline.scratch import table
+from braidline.sources.stories import story_edges, story_nodes
 
 R = Registry()
 
@@ -55,7 +56,8 @@ ae AS (SELECT DISTINCT session_id, source, target, edge_type, 1.0::DOUBLE AS con
 
 def waiting(t):
     """The visible part of stories: even sessions lack their last result."""
-    n, e = graph(t)
+    ex = exchanges(t)
+    n, e = story_nodes(ex), story_edges(ex)
     last = n.groupBy("session_id").agg(F.max("step_id").alias("last"))
     gone = (F.col("session_id") % 2 == 0) & (F.col("step_id") == F.col("last")) & F.col("node_type").isin("observation", "error")
     return state.visible(n.join(last, "session_id").where(~gone).drop("last"), e)
@@ -68,9 +70,7 @@ def _schemas(t):
 def reduced(t):
     n, e = waiting(t)
     n, e = table(n, "visible-nodes"), table(e, "visible-edges")
-    atoms, links = state.reduce_state(n, e, _schemas(t))
-    atoms = table(atoms, "atoms")
-    return n, e, atoms, table(links, "state-edges")
+    return n, e, *state.reduce_state(n, e, _schemas(t))
 
 
 def _queries(t, n, atoms):
@@ -80,8 +80,7 @@ def _queries(t, n, atoms):
 
 @R.add("reduced_atoms", f"WITH {STATE} SELECT session_id, atom_id, atom_type, key, tool_name, slot, value, status, hard, step_id, array_to_string(sources, ',') AS sources FROM atm")
 def reduced_atoms(t):
-    n, e = waiting(t)
-    return state.reduce_state(n, e, _schemas(t))[0].select("session_id", "atom_id", "atom_type", "key", "tool_name", "slot", "value", "status", "hard", "step_id", F.array_join("sources", ",").alias("sources"))
+    return reduced(t)[2].select("session_id", "atom_id", "atom_type", "key", "tool_name", "slot", "value", "status", "hard", "step_id", F.array_join("sources", ",").alias("sources"))
 
 
 @R.add("reduced_edges", f"WITH {STATE} SELECT session_id, source, target, edge_type, confidence FROM ae")
@@ -100,8 +99,8 @@ dq AS (SELECT session_id, max(CASE WHEN atom_type = 'active_goal' THEN atom_id E
     f"""WITH {QUERY} SELECT session_id, goal_id, subgoal_id, array_to_string(candidate_tools, ',') AS candidate_tools, 'amount,id' AS required_slots, array_to_string(list_sort(known), ',') AS known_entities, array_to_string(list_sort(confirm), ',') AS pending_confirmation, CASE WHEN acts THEN 'irreversible' ELSE 'none' END AS side_effect_level, 'global,payments' AS applicable_policy_scope, coalesce(array_to_string(list_transform(list_sort(ptools), lambda x: concat('complete:', x)), ','), '') AS expected_environment_transition, CASE WHEN pend = 0 THEN 'no_pending_operation' ELSE '' END AS uncertainty_reasons FROM dq""",
 )
 def decision_queries(t):
-    n, e = waiting(t)
-    q = _queries(t, n, state.reduce_state(n, e, _schemas(t))[0])
+    n, _, atoms, _ = reduced(t)
+    q = _queries(t, n, atoms)
     lists = ("candidate_tools", "required_slots", "known_entities", "pending_confirmation", "applicable_policy_scope", "expected_environment_transition", "uncertainty_reasons")
     return q.select("session_id", "goal_id", "subgoal_id", "side_effect_level", *[F.array_join(c, ",").alias(c) for c in lists])
 
@@ -127,6 +126,7 @@ ro AS (SELECT session_id, atom_id, 'explicit_decision_query_reference' AS reason
 
 def analysed(t):
     n, e, atoms, links = reduced(t)
+    links = table(links, "state-edges", lies=True)
     records = table(liveness.event_records(n, e, atoms), "event-records")
     return n, e, atoms, links, records, table(liveness.derive_roots(atoms, records, _queries(t, n, atoms)), "roots")
 

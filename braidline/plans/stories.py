@@ -8,7 +8,7 @@ from braidline.functions.text import CORRECTIONS, MALFORMED_PHRASES, OTHER_CORRE
 from braidline.operators import cards, context, lifecycle
 from braidline.plans.exchanges import EX
 from braidline.plans.registry import Registry
-from braidline.scratch import table
+from braidline.scratch import table, together
 from braidline.sources.stories import REASONS, story_edges, story_exchanges, story_nodes
 
 R = Registry()
@@ -92,9 +92,14 @@ sf AS (SELECT *, CASE WHEN against <> '' THEN against WHEN lost THEN 'missing_re
   raw_ref IS NULL AND node_type IN ('tool_call', 'observation', 'error') AS lost FROM pf LEFT JOIN so USING (session_id, node_id)))"""
 
 
+def exchanges(t):
+    """The exchanges of stories, as a table; from here on the rows of a session stay together."""
+    return table(story_exchanges(together(t("events"), "user_id")), "story-exchanges")
+
+
 def graph(t):
     """The nodes and edges of stories, as tables: what follows reads the edges several times."""
-    ex = table(story_exchanges(t("events")), "story-exchanges")
+    ex = exchanges(t)
     return table(story_nodes(ex), "story-nodes"), table(story_edges(ex), "story-edges")
 
 
