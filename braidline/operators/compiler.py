@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from braidline.functions.text import estimate_tokens, truncated
 from braidline.operators.checks import compilation_checks
+from braidline.scratch import table
 
 BEAM, RISK_WEIGHT = 16, 512.0
 #: Forms that claim what an atom says.
@@ -51,8 +52,11 @@ def verified(candidates: DataFrame, atoms: DataFrame, events: DataFrame, archive
     known = events.select("session_id", F.col("node_id").alias("source")).distinct().withColumn("known", F.lit(True))
     traced = atoms.select("session_id", "atom_id", F.explode_outer("sources").alias("source")).join(known, ["session_id", "source"], "left")
     traced = traced.groupBy("session_id", "atom_id").agg(F.min(F.coalesce("known", F.lit(False))).alias("traced"))
-    stored = archive.select(F.col("digest").alias("raw_ref")).distinct().withColumn("stored", F.lit(True))
-    facts = atoms.select("session_id", "atom_id", "verified", "raw_ref").join(traced, ["session_id", "atom_id"]).join(stored, "raw_ref", "left")
+    # Only atoms with a handle are looked up; the others never leave their session's part.
+    handled = candidates.where(F.exists("candidates", lambda c: c["name"] == "archive_handle")).select("session_id", "atom_id")
+    asked = atoms.where("raw_ref is not null").select("session_id", "atom_id", "raw_ref").join(handled, ["session_id", "atom_id"], "left_semi")
+    stored = table(asked.join(archive.select(F.col("digest").alias("raw_ref")), "raw_ref", "left_semi").select("session_id", "atom_id"), "stored").withColumn("stored", F.lit(True))
+    facts = atoms.select("session_id", "atom_id", "verified").join(traced, ["session_id", "atom_id"]).join(stored, ["session_id", "atom_id"], "left")
     facts = facts.select("session_id", "atom_id", "traced", F.coalesce("verified", F.lit(False)).alias("sure"), F.coalesce("stored", F.lit(False)).alias("stored"))
     rows = candidates.join(facts, ["session_id", "atom_id"])
     holds = F.filter("candidates", lambda c: F.col("traced") & (~c["name"].isin(*CLAIMS) | F.col("sure")) & ((c["name"] != "archive_handle") | F.col("stored")))
@@ -166,8 +170,9 @@ def compile_state(masked: DataFrame, events: DataFrame, archive: DataFrame, budg
     masked: atoms after checks.risk_mask with raw_ref. What exceeds the soft budget falls back to the least risk and says so; what exceeds the hard
     limit is an error of the budget.
     """
-    options = verified(candidates_of(masked), masked, events, archive)
-    chosen = compile_beam(options, budget).join(options.select("session_id", "place", "atom_id", "rejected"), ["session_id", "place"])
+    # The search, its places and all checks read the same forms and choices: without tables each of them would make them again.
+    options = table(verified(table(candidates_of(masked), "candidates"), masked, events, archive), "forms")
+    chosen = table(compile_beam(options, budget).join(options.select("session_id", "place", "atom_id", "rejected"), ["session_id", "place"]), "choices")
     form = F.col("choice")
     per = chosen.groupBy("session_id").agg(
         F.sum("cost").alias("cost"),

@@ -15,6 +15,11 @@ def test_state_is_not_exchanged(name, spark, sf_dir):
     assert exchanges(QUERIES[name](spark, sf_dir)) == 0
 
 
+def test_forms_are_searched_once(spark, sf_dir):
+    """All checks of a compilation read one table of choices: none of them searches again."""
+    assert "FlatMapGroupsInPandas" not in QUERIES["compiled_verified"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_settings_come_back(spark, sf_dir):
     scratch.apart(spark)
     before = {k: spark.conf.get(k) for k in scratch.TOGETHER}
