@@ -12,7 +12,8 @@ their own, so that no task holds more than two blocks. Components over the links
 
 near_documents() serves documents by the similarity of their shingle sets instead, which few bits cannot
 reach: there, min-hash bands are the keys, the sizes of the sets discard pairs that cannot be alike, and the
-shingle sets verify all others.
+shingle sets verify all others. near_classes() with bits joins both: what the fingerprints link is one class, and so is what
+the shingle sets link beyond them.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; fewer words than a
 shingle has are one shingle; rows with equal ids stay rows of their own; null ids are never the
@@ -288,20 +289,35 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return near_classes(docs, id_col, text_col, k, similarity).select("doc_id", "component_id")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, text_hash, root, component_id) for each row: root names its class, also where no row of it has an id."""
+def fingerprint_links(rows: DataFrame, r: int) -> DataFrame:
+    """(a, b): of the rows (node, fp), links that join the nodes of each class of fingerprints; a class is a star around its smallest node."""
+    fps = save(rows.select("fp", "node").distinct(), "fp-nodes")
+    links = save(link_fingerprints(fps.select("fp").distinct(), r), "fp-links")
+    roots = components(links, "fp-components").select(F.col("node").alias("fp"), "root")
+    named = fps.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    centres = named.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("other")).where("a < other").select("root", "a")
+    return named.join(centres, "root").where("a < node").select("a", F.col("node").alias("b")).distinct()
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bits: int | None = None) -> DataFrame:
+    """(doc_id, text_hash, root, component_id) for each row: root names its class, also where no row of it has an id.
+
+    bits: documents whose fingerprints (see fingerprints()) differ in at most so many bits are linked too, before the sets are.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, bands, sigs, sizes = [], [], [], []
+            nodes, bands, sigs, sizes, fps = [], [], [], [], []
             for x in b.column(2):
-                s = np.unique(hashes(x.as_py(), k))
+                text = x.as_py()
+                s = np.unique(hashes(text, k))
+                fps.append(None if bits is None else _signed(fingerprint(hashes(text, 4))))
                 keys, sig = _bands(s)
                 nodes.append(_signed(xxhash.xxh64_intdigest(s.tobytes())))
                 bands.append(keys if len(s) else [0])
                 sigs.append(sig)
                 sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "node", "bands", "sig", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "node", "bands", "sig", "size", "fp"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,7 +325,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    rows = save(slim.mapInArrow(sketch, f"doc_id {kind}, text_hash bigint, node bigint, bands array<bigint>, sig binary, size bigint"), "shingle-rows")
+    rows = save(slim.mapInArrow(sketch, f"doc_id {kind}, text_hash bigint, node bigint, bands array<bigint>, sig binary, size bigint, fp bigint"), "shingle-rows")
     # Equal sets are one node, whatever the number of their documents.
     nodes = save(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("size").alias("size")), "shingle-nodes")
     keyed = nodes.select(F.explode("bands").alias("key"), "node", "size")
@@ -333,7 +349,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return _set_similarity(a, b)
 
     both = pairs.join(ends.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(ends.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    links = save(both.where(alike("sa", "sb") >= similarity).select("a", "b"), "shingle-links")
+    links = both.where(alike("sa", "sb") >= similarity).select("a", "b")
+    links = save(links if bits is None else fingerprint_links(rows.select("node", "fp"), bits).union(links), "shingle-links")
     roots = save(nodes.join(components(links, "shingle-components"), "node", "left").select("node", "first", "size", F.coalesce("root", "node").alias("root")), "shingle-roots")
     # Members of large keys that are still apart: all their pairs, in blocks.
     apart = save(_block_pairs(crowd.join(roots.drop("first"), "node"), similarity), "shingle-blocks")

@@ -10,6 +10,8 @@ from braidline.llm import decontaminate, line_dedup, packing, quality, simhash
 from braidline.llm.common import save
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bits in which the fingerprints of near-duplicates may differ.
+BITS = 4
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +25,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that of the smallest doc_id, of each class of near-duplicates: nulls last, then by text hash and the other columns."""
+    """One row, that of the smallest doc_id, of each class of near-duplicates: nulls last, then by text hash and the other columns.
+
+    A class is what SimHash links, as op7 does, and what shingle sets link beyond the reach of its bits.
+    """
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = simhash.near_classes(docs).groupBy("root").agg(F.min(row).alias("row")).select(F.xxhash64("row.doc_id", "row.text_hash").alias("row_key"))
+    first = simhash.near_classes(docs, bits=BITS).groupBy("root").agg(F.min(row).alias("row")).select(F.xxhash64("row.doc_id", "row.text_hash").alias("row_key"))
     kept = docs.withColumn("row_key", F.xxhash64("doc_id", F.xxhash64("text"))).join(first, "row_key", "left_semi")
     # Rows of one id and one text have one key.
     turn = F.row_number().over(Window.partitionBy("row_key").orderBy("lang", "source", "n_chars"))

@@ -286,6 +286,20 @@ def test_drop_copies_keeps_one_row_of_each_class(spark, empty):
     assert corpus_pipeline.drop_copies(spark, empty, "").count() == 0
 
 
+def test_drop_copies_links_by_simhash(spark):
+    """Copies whose fingerprints agree are one class, also where their sets are less alike than 0.8: here what repeats outweighs what differs."""
+    body = " ".join([" ".join(f"r{i}" for i in range(41))] * 60)
+    rows = [(d, body + " " + " ".join(f"d{d}x{i}" for i in range(30)), "en", "a", 1) for d in range(3)]
+    rows.append((3, " ".join(f"o{i}" for i in range(900)), "en", "a", 1))
+    sets = [shingle_set(r[1]) for r in rows]
+    assert all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    fps = [simhash.fingerprint(simhash.hashes(r[1], 4)) for r in rows]
+    assert all((fps[0] ^ x).bit_count() <= 4 for x in fps[:3]) and all((fps[3] ^ x).bit_count() > 4 for x in fps[:3])
+    docs = spark.createDataFrame(rows, DOCS)
+    want = {r.component_id for r in simhash.simhash_classes(docs).collect()}
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect()) == sorted(want) == [0, 3]
+
+
 def band_classes(rows):
     """The smallest doc_id of each row's class, by comparing every pair that shares a min-hash band."""
     sets = [np.unique(simhash.hashes(t, 5)) for _, t in rows]
