@@ -71,8 +71,10 @@ def guard_errors(guards: DataFrame) -> DataFrame:
 def representation_errors(candidates: DataFrame, atoms: DataFrame, archive: DataFrame) -> DataFrame:
     """candidates (session_id, candidate_id, form, atom_id, claimed_key, claimed_value, raw_ref, reason) with errors: claims must equal verified atoms, handles must be in the archive, omissions need a reason."""
     known = atoms.select("session_id", "atom_id", F.col("key").alias("a_key"), F.col("value").alias("a_value"), F.col("verified").alias("a_verified"))
-    stored = archive.select(F.col("digest").alias("raw_ref"), F.lit(True).alias("stored")).distinct()
-    rows = candidates.join(known, ["session_id", "atom_id"], "left").join(stored, "raw_ref", "left")
+    # Only what handles name is looked up, once a session, however many candidates share a digest.
+    asked = candidates.where("form = 'archive_handle' and raw_ref is not null").select("session_id", "raw_ref").distinct()
+    stored = asked.join(archive.select(F.col("digest").alias("raw_ref")), "raw_ref", "left_semi").withColumn("stored", F.lit(True))
+    rows = candidates.join(known, ["session_id", "atom_id"], "left").join(stored, ["session_id", "raw_ref"], "left")
     claims = F.col("form").isin("verified_summary", "structured_state_delta")
     errors = F.array(
         F.when(claims & F.col("a_key").isNull(), "unknown_atom"),
