@@ -31,7 +31,7 @@ def _exchange_messages(t):
 
 @R.add("trace_fold_nodes", f"WITH {NODES} SELECT CAST(session_id AS VARCHAR) AS session_id, node_type, count(*) AS n, CAST(sum(token_count) AS BIGINT) AS tokens, max(CASE WHEN final THEN ordinal END) AS final_at FROM n GROUP BY session_id, node_type")
 def trace_fold_nodes(t):
-    n = nodes_of(traces(_conversation_messages(t)))
+    n = nodes_of(traces(_conversation_messages(t), kind="node"))
     return n.groupBy("session_id", "node_type").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"), F.max(F.when(F.col("final"), F.col("ordinal"))).alias("final_at"))
 
 
@@ -42,7 +42,7 @@ SELECT CAST(session_id AS VARCHAR) AS session_id, edge_type, count(*) AS n FROM
 )
 def trace_fold_edges(t):
     """The state machine's relations are those of the window form, and those of decisions."""
-    return edges_of(traces(_exchange_messages(t))).groupBy("session_id", "edge_type").agg(F.count("*").alias("n"))
+    return edges_of(traces(_exchange_messages(t), kind="edge")).groupBy("session_id", "edge_type").agg(F.count("*").alias("n"))
 
 
 @R.add(
@@ -52,10 +52,11 @@ def trace_fold_edges(t):
 def tool_spans(t):
     """A span is what a calling message and its results gave: the decision, its call, the result."""
     ex = event_exchanges(t("events")).select(F.col("session_id").cast("string").alias("session_id"), (F.col("ordinal") * 2 - 1).alias("call_at"), "side_effect")
-    trace = traces(_exchange_messages(t))
-    n = nodes_of(trace)
+    # Four parts read it, and a fold runs again for each part that reads it: so a table, of the columns that they ask for.
+    trace = table(traces(_exchange_messages(t)).select("session_id", "kind", "node_id", "node_type", "ordinal", "source", "target", "edge_type"), "trace")
+    n = trace.where("kind = 'node'")
     calls = n.where("node_type = 'tool_call'").select("session_id", F.col("node_id").alias("call"), F.col("ordinal").alias("call_at"))
-    results = edges_of(trace).where("edge_type in ('produces', 'failed_with')").select("session_id", F.col("source").alias("call"), F.col("target").alias("node_id"))
+    results = trace.where("kind = 'edge' and edge_type in ('produces', 'failed_with')").select("session_id", F.col("source").alias("call"), F.col("target").alias("node_id"))
     same = n.select("session_id", F.col("ordinal").alias("call_at"), "node_id").join(calls, ["session_id", "call_at"])
     members = same.select("session_id", "call_at", "node_id").union(results.join(calls, ["session_id", "call"]).select("session_id", "call_at", "node_id"))
     spans = members.groupBy("session_id", "call_at").agg(F.count("*").alias("size")).join(ex, ["session_id", "call_at"])

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidline.functions.text import semantic_outcome
@@ -80,13 +81,16 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return found.join(tasks, ["base", "task_id"], "left").select(*[c.split()[0] for c in MESSAGES.split(", ")], "instruction")
 
 
-def fold_rows(fold: TraceFold, messages: pd.DataFrame) -> list[tuple]:
-    """The TRACE rows of a session's further messages, in order of ordinal."""
+def fold_rows(fold: TraceFold, messages: Iterable[tuple], kind: str | None = None) -> list[tuple]:
+    """The TRACE rows, or only those of a kind, of a session's further messages (ordinal, message, failed, meaning), in order of ordinal."""
     rows = []
-    for ordinal, text, failed, meaning in messages.sort_values("ordinal")[["ordinal", "message", "failed", "meaning"]].itertuples(index=False):
+    no_node, no_edge = (None,) * len(NODE_FIELDS), (None,) * len(EDGE_FIELDS)
+    for ordinal, text, failed, meaning in sorted(messages, key=lambda m: m[0]):
         nodes, edges = fold.feed(int(ordinal), json.loads(text), bool(failed), meaning)
-        rows += [(fold.session, "node", *n, *[None] * len(EDGE_FIELDS)) for n in nodes]
-        rows += [(fold.session, "edge", *[None] * len(NODE_FIELDS), *e) for e in edges]
+        if kind != "edge":
+            rows += [(fold.session, "node", *n, *no_edge) for n in nodes]
+        if kind != "node":
+            rows += [(fold.session, "edge", *no_node, *e) for e in edges]
     return rows
 
 
@@ -101,22 +105,26 @@ def judged(messages: DataFrame) -> DataFrame:
 
 
 COLUMNS = ["session_id", "kind", *NODE_FIELDS, *EDGE_FIELDS]
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+TYPES = [_ARROW[c.split()[1]] for c in TRACE.split(", ")]
 
 
-def traces(messages: DataFrame, horizon: int | None = None) -> DataFrame:
-    """Nodes and edges (TRACE) of every session; a session is folded by one task. horizon: see TraceFold."""
+def traces(messages: DataFrame, horizon: int | None = None, kind: str | None = None) -> DataFrame:
+    """Nodes and edges (TRACE) of every session, or only the rows of a kind; a session is folded by one task, each time the plan is read. horizon: see TraceFold."""
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold_rows(TraceFold(key[0], horizon=horizon), part), columns=COLUMNS)
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        messages = zip(*[part[c].to_pylist() for c in ("ordinal", "message", "failed", "meaning")], strict=True)
+        rows = fold_rows(TraceFold(key[0].as_py(), horizon=horizon), messages, kind)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(COLUMNS), TYPES, strict=True)], COLUMNS)
 
-    return judged(messages).select("session_id", "ordinal", "message", "failed", "meaning").groupBy("session_id").applyInPandas(run, TRACE)
+    return judged(messages).select("session_id", "ordinal", "message", "failed", "meaning").groupBy("session_id").applyInArrow(run, TRACE)
 
 
 def nodes_of(trace: DataFrame) -> DataFrame:
+    """The nodes of a trace with final and negative. A window and no join: the trace, which may be a fold yet to run, is read once."""
     rows = trace.where("kind = 'node'").select("session_id", *NODE_FIELDS)
-    last = F.max(F.when(F.col("node_type") == "decision", F.col("ordinal")))
-    finals = rows.groupBy("session_id").agg(last.alias("last"))
-    return rows.join(finals, "session_id").withColumn("final", (F.col("node_type") == "decision") & (F.col("ordinal") == F.col("last"))).drop("last").withColumn("negative", F.coalesce(F.col("semantic_outcome").isin("negative", "policy_denied", "test_failed"), F.lit(False)))
+    last = F.max(F.when(F.col("node_type") == "decision", F.col("ordinal"))).over(Window.partitionBy("session_id"))
+    return rows.withColumn("last", last).withColumn("final", (F.col("node_type") == "decision") & (F.col("ordinal") == F.col("last"))).drop("last").withColumn("negative", F.coalesce(F.col("semantic_outcome").isin("negative", "policy_denied", "test_failed"), F.lit(False)))
 
 
 def edges_of(trace: DataFrame) -> DataFrame:

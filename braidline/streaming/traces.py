@@ -141,7 +141,7 @@ class Traced(StatefulProcessor):
         for ordinal, message in new.items():
             waiting += not self.waiting.containsKey((ordinal,))
             self.waiting.updateValue((ordinal,), message)
-        made = fold_rows(fold, pd.DataFrame(rows, columns=["ordinal", "message", "failed", "meaning"]))
+        made = fold_rows(fold, rows)
         made += [(session, "late", *[ordinal if c == "ordinal" else None for c in COLUMNS[2:]]) for ordinal in late]
         store.flush()
         self.next.update((due, waiting, last))
