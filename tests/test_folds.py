@@ -3,7 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from braidline.functions.text import semantic_outcome
 from braidline.plans import QUERIES
 from braidline.sources import trajectories
 
@@ -22,3 +24,12 @@ def test_kinds(spark):
     for kind in ("node", "edge"):
         key = lambda r: str(tuple(r))
         assert sorted(trajectories.traces(messages, kind=kind).collect(), key=key) == sorted((r for r in every if r.kind == kind), key=key) != []
+
+
+def test_plain_results_are_not_parsed(spark):
+    """Only what may be an object is parsed, and phrases are one pattern: the text is normalized four times at most."""
+    rows = spark.createDataFrame([('{"status": "Not Found"}',), (' {"ok": true}',), ("Tests  FAILED",), ("[1]",), ('"{"',), (None,)], "payload string")
+    out = rows.select(semantic_outcome(F.col("payload"), F.lit(False)).alias("o"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.lower().count("regexp_replace") <= 4
+    assert [r.o for r in out.collect()] == ["negative", "positive", "test_failed", "inconclusive", "inconclusive", "inconclusive"]
