@@ -33,3 +33,9 @@ def test_plain_results_are_not_parsed(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert 1 <= plan.lower().count("regexp_replace") <= 4
     assert [r.o for r in out.collect()] == ["negative", "positive", "test_failed", "inconclusive", "inconclusive", "inconclusive"]
+
+
+def test_selected_forms_lie_by_session(spark, sf_dir):
+    """The union that all checks of compilation_checks read is a table: only the faults of provenance, a union of their own, are exchanged."""
+    plan = QUERIES["compilation_checks"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1
