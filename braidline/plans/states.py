@@ -55,12 +55,11 @@ ae AS (SELECT DISTINCT session_id, source, target, edge_type, 1.0::DOUBLE AS con
 
 
 def waiting(t):
-    """The visible part of stories: even sessions lack their last result."""
+    """The visible part of stories: even sessions lack their last result. Nodes are a table, as edges and more are looked up in them."""
     ex = exchanges(t)
-    n, e = story_nodes(ex), story_edges(ex)
-    last = n.groupBy("session_id").agg(F.max("step_id").alias("last"))
+    last = ex.where("ordinal = last").select("session_id", "last")  # a step is its exchange's ordinal
     gone = (F.col("session_id") % 2 == 0) & (F.col("step_id") == F.col("last")) & F.col("node_type").isin("observation", "error")
-    return state.visible(n.join(last, "session_id").where(~gone).drop("last"), e)
+    return state.visible(table(story_nodes(ex).join(last, "session_id").where(~gone).drop("last"), "visible-nodes"), story_edges(ex))
 
 
 def _schemas(t):
@@ -69,7 +68,7 @@ def _schemas(t):
 
 def reduced(t):
     n, e = waiting(t)
-    n, e = table(n, "visible-nodes"), table(e, "visible-edges")
+    e = table(e, "visible-edges")
     return n, e, *state.reduce_state(n, e, _schemas(t))
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 from braidline import scratch
-from braidline.plans import QUERIES
+from braidline.plans import QUERIES, states
 
 
 def exchanges(df):
@@ -20,6 +20,12 @@ def test_forms_are_searched_once(spark, sf_dir):
     assert "FlatMapGroupsInPandas" not in QUERIES["compiled_verified"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_waiting_nodes_are_made_once(spark, sf_dir):
+    """Edges are looked up in the table of nodes, which nothing makes again: the only generator left is that of the edges."""
+    edges = states.waiting(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))[1]
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Generate explode") == 1
+
+
 def test_settings_come_back(spark, sf_dir):
     scratch.apart(spark)
     before = {k: spark.conf.get(k) for k in scratch.TOGETHER}
