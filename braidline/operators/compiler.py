@@ -69,11 +69,16 @@ def _searched(options: list, session: object, width: int) -> list[tuple]:
     for some in options:
         if not len(some):
             raise ValueError(f"an atom of {session} has no candidate")
-        named = sorted(some, key=lambda c: c["name"])
-        grown = [(s[0] + int(c["cost"]), s[1] + float(c["risk"]), (s[2], j), (s[3], c)) for s in beam for j, c in enumerate(named)]
-        best = sorted(grown, key=lambda s: (s[0] + RISK_WEIGHT * s[1], *s[:3]))[:width]
-        turn = {o: i for i, o in enumerate(sorted(s[2] for s in best))}  # names so far, as places among those kept
-        beam = [(s[0], s[1], turn[s[2]], s[3]) for s in best]
+        named = [(int(c["cost"]), float(c["risk"]), c) for c in sorted(some, key=lambda c: c["name"])]
+        # An order is the prefix's, then the name's: no two are equal, so that tuples never compare what follows it.
+        grown = []
+        for cost, risk, order, link in beam:
+            for j, (more, worse, c) in enumerate(named, order * len(named)):
+                a, b = cost + more, risk + worse
+                grown.append((a + RISK_WEIGHT * b, a, b, j, link, c))
+        best = sorted(grown)[:width]
+        turn = {o: i for i, o in enumerate(sorted(s[3] for s in best))}  # names so far, as places among those kept
+        beam = [(s[1], s[2], turn[s[3]], (s[4], s[5])) for s in best]
     return beam
 
 

@@ -63,3 +63,25 @@ def test_only_what_holds_is_compiled(spark):
         bad = masked.where("atom_id = 'c'").withColumn("sources", F.array(*[F.lit(x) for x in sources]).cast("array<string>"))
         with pytest.raises(Exception, match="no candidate"):
             compiler.compile_state(bad, events, archive, 5, 6).count()
+
+
+def test_forms_are_read_once_for_all_prefixes():
+    """What a form costs is read once, not for each prefix that it may follow; ties go to the names chosen before."""
+
+    class Form(dict):
+        reads = 0
+
+        def __getitem__(self, name):
+            Form.reads += name == "cost"
+            return super().__getitem__(name)
+
+    beam = compiler._searched([[Form(name=n, cost=1, risk=0.0) for n in "ba"] for _ in range(4)], 0, 16)
+    assert Form.reads == 8 and len(beam) == 16
+    named = []
+    for *_, link in sorted(beam, key=lambda s: s[2]):
+        names = []
+        while link:
+            names.append(link[1]["name"])
+            link = link[0]
+        named.append("".join(reversed(names)))
+    assert named == ["".join(x) for x in itertools.product("ab", repeat=4)]
