@@ -75,7 +75,7 @@ class Encoder:
     def made(self, word: str) -> bytes:
         """Ids of a word that holds no mark behind its letters."""
         low = word.lower()
-        if not low.isalpha() or max(low) >= "\u0250":
+        if not low.isalpha() or not low.isascii() and max(low) >= "\u0250":
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
         if not low.isascii():
             low = low.encode().decode("latin-1").translate(self.letters)
@@ -131,19 +131,32 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cell_of(ids: np.ndarray, counts: np.ndarray) -> int:
-    """The cell of a document with these distinct ids: its two ids of the most weight, root of the count times logarithm of the id.
+def cells_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each document, and how many documents hold each id. Up to 2 ** 16 documents, none of them empty, are sorted as one.
 
-    Byte-pair vocabularies number their ids by falling frequency, so that an id tells how rare it is before any document
+    A cell is the document's two ids of the most weight, root of the count times logarithm of the id; of equal weights the smaller id
+    comes first. Byte-pair vocabularies number their ids by falling frequency, so that an id tells how rare it is before any document
     has been counted. The end id says nothing.
     """
-    weight = np.sqrt(counts) * np.log(ids + 2.0)
-    weight[ids == END] = 0
-    if len(ids) < 3:
-        return int(ids[weight.argmax()]) * SECOND
-    two = np.argpartition(-weight, 1)[:2]
-    first, second = ids[two[np.lexsort((ids[two], -weight[two]))]].tolist()
-    return first * SECOND + zlib.crc32(second.to_bytes(2, "little")) % SECOND
+    if not ids:
+        return np.zeros(0, np.int64), np.zeros(1 << 16, np.int64)
+    key = np.sort(np.repeat(np.arange(len(ids), dtype=np.uint32) << 16, [len(x) for x in ids]) | np.concatenate(ids))
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    used, counts = key[at] & 0xFFFF, np.diff(at, append=len(key))
+    start = np.searchsorted(key[at], np.arange(len(ids), dtype=np.uint32) << 16)
+    size = np.diff(start, append=len(at))
+    weight = np.sqrt(counts) * np.log(used + 2.0)
+    weight[used == END] = 0
+
+    def heaviest() -> np.ndarray:
+        best = np.flatnonzero(weight == np.repeat(np.maximum.reduceat(weight, start), size))
+        return best[np.searchsorted(best, start)]
+
+    first = heaviest()
+    cells = used[first].astype(np.int64) * SECOND
+    weight[first] = -1
+    second = [zlib.crc32(x.to_bytes(2, "little")) % SECOND for x in used[heaviest()].tolist()]
+    return cells + np.where(size < 3, 0, second), np.bincount(used, minlength=1 << 16)
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,14 +173,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             kind = b.schema.field(1).type
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
-                cells, ids = [], []
-                for x in encode(part.column(2)):
-                    x = np.concatenate([x, end])
-                    used, counts = np.unique(x, return_counts=True)
-                    df[used] += 1
-                    cells.append(cell_of(used, counts))
-                    ids.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells, pa.int32()), pa.array([len(x) // 2 for x in ids], pa.int32()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+                ids = [np.concatenate([x, end]) for x in encode(part.column(2))]
+                cells, held = cells_of(ids)
+                df += held
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells, pa.int32()), pa.array([len(x) for x in ids], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
         if kind is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary())], names=names)
 

@@ -4,7 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from math import log10
+from math import log, log10, sqrt
 
 import numpy as np
 import public_tokenizers
@@ -817,3 +817,20 @@ def test_main_text(spark, sf_dir):
 def test_kept_digest(spark):
     df = spark.createDataFrame([(1, "a\nb")], "doc_id bigint, text string")
     assert line_dedup.dedup_lines(df).select(F.sha2("text", 256)).first()[0] == hashlib.sha256(b"a\nb").hexdigest()
+
+
+def test_cells_of_many_documents_are_those_of_each():
+    """Sorted as one, documents have the cells and held ids that each has by itself; of equal weights the smaller id comes first."""
+    rng = np.random.default_rng(5)
+    ids = [np.append(rng.zipf(1.3, rng.integers(0, 60)) % 300, packing.END).astype(np.uint16) for _ in range(200)] + [np.array(x, np.uint16) for x in ([1], [1, 1], [0, 1], [7, 7, 7, 7, 79, 1])]
+    held = np.zeros(1 << 16, np.int64)
+    want = []
+    for x in ids:
+        used, counts = np.unique(x, return_counts=True)
+        held[used] += 1
+        order = sorted((-sqrt(c) * log(i + 2.0) if i != packing.END else 0.0, i) for i, c in zip(used.tolist(), counts.tolist(), strict=True))
+        second = zlib.crc32(order[1][1].to_bytes(2, "little")) % packing.SECOND if len(order) > 2 else 0
+        want.append(order[0][1] * packing.SECOND + second)
+    cells, df = packing.cells_of(ids)
+    assert cells.tolist() == want and (df == held).all()
+    assert packing.cells_of([])[0].tolist() == []
