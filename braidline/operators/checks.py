@@ -23,7 +23,7 @@ def risk_mask(atoms: DataFrame, form: Column, pending: DataFrame) -> DataFrame:
     form: how the atom would be shown; pending: (session_id, atom_id) that the query awaits. blocking and archived are columns of atoms.
     """
     rows = atoms.join(pending.distinct().withColumn("awaited", F.lit(True)), ["session_id", "atom_id"], "left")
-    reasons = F.array_sort(
+    reasons = F.sort_array(
         F.filter(
             F.array(
                 F.when(F.col("hard"), "hard_atom"),

@@ -7,9 +7,11 @@ compile_state() does all of it and checks what came out.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +29,17 @@ def candidates_of(masked: DataFrame) -> DataFrame:
 
     masked: atoms after checks.risk_mask. A hard or protected atom has no omission; a handle needs an archive. Atoms are placed by step and id.
     """
-    text = F.concat_ws(" ", "key", F.coalesce("value", F.lit("")))
+    # What forms cost is read more than once, so it is a column of its own before the array of forms.
+    masked = masked.withColumn("text", F.concat_ws(" ", "key", F.coalesce("value", F.lit(""))))
+    masked = masked.withColumns({"whole": estimate_tokens(F.col("text")), "short": estimate_tokens(truncated(F.col("text"), 8)), "shorter": estimate_tokens(truncated(F.col("text"), 6))})
     guard = (F.col("atom_type") == "conflicting_fact") & F.col("verified")
     option = lambda name, cost, risk: F.struct(F.lit(name).alias("name"), cost.cast("bigint").alias("cost"), risk.cast("double").alias("risk"))
     none = F.lit(0.0)
     ways = F.array(
-        option("raw_message", estimate_tokens(text) + 8, none),
-        F.when(F.col("atom_type").isin("slot_value", "superseded_fact", "state_delta", "known_fact", "completed_operation"), option("structured_state_delta", estimate_tokens(text), none)),
-        F.when(F.col("verified"), option("verified_summary", estimate_tokens(truncated(text, 8)), F.when(F.col("hard"), 0.02).otherwise(0.01))),
-        F.when(guard, option("negative_guard", estimate_tokens(truncated(text, 6)), F.lit(0.015))),
+        option("raw_message", F.col("whole") + 8, none),
+        F.when(F.col("atom_type").isin("slot_value", "superseded_fact", "state_delta", "known_fact", "completed_operation"), option("structured_state_delta", F.col("whole"), none)),
+        F.when(F.col("verified"), option("verified_summary", F.col("short"), F.when(F.col("hard"), 0.02).otherwise(0.01))),
+        F.when(guard, option("negative_guard", F.col("shorter"), F.lit(0.015))),
         F.when(F.col("archived"), option("archive_handle", F.lit(18), F.when(F.col("hard"), 0.2).otherwise(0.03))),
         F.when(F.col("omit_allowed"), option("omit", F.lit(0), F.col("probability"))),
     )
@@ -64,7 +68,7 @@ def verified(candidates: DataFrame, atoms: DataFrame, events: DataFrame, archive
 
 
 def _searched(options: list, session: object, width: int) -> list[tuple]:
-    """The width best ends of a session: (cost, risk, order of names, (prefix, option))."""
+    """The width best ends of one session: (cost, risk, order of names, (prefix, option)). What _searched_together() finds is held to it."""
     beam: list[tuple] = [(0, 0.0, 0, None)]
     for some in options:
         if not len(some):
@@ -82,36 +86,125 @@ def _searched(options: list, session: object, width: int) -> list[tuple]:
     return beam
 
 
-def compile_budgets(atoms: DataFrame, budgets: tuple[int, ...], width: int = BEAM) -> DataFrame:
-    """(session_id, budget, place, choice, cost, risk, feasible): for each atom a representation, under every budget, by one beam search.
+#: Sessions searched at a time, and bytes of their ways back.
+SESSIONS, WAYS = 512, 1 << 26
 
-    atoms: (session_id, place, candidates array<struct<name, cost, risk>>), one row for each atom in order. A beam keeps the width
-    best prefixes by cost + RISK_WEIGHT x risk, cost, risk and names; it does not depend on the budget. Of its ends the best that fits wins, or
-    the least risky if none does. That is a search over one session's atoms, so it is a grouped function; prefixes share what they
-    have in common, so that it holds width x atoms links. An atom without a candidate is an error.
-    """
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("place")
-        beam, out = _searched(list(part["candidates"]), key[0], width), []
-        for budget in budgets:
-            fits = [s for s in beam if s[0] <= budget]
-            end = min(fits, key=lambda s: (s[0] + RISK_WEIGHT * s[1], *s[:3])) if fits else min(beam, key=lambda s: (s[1], s[0], s[2]))
-            picked, link = [], end[3]
-            while link:
-                picked.append(link[1])
-                link = link[0]
-            picked.reverse()
-            out.append(pd.DataFrame({"session_id": key[0], "budget": budget, "place": part["place"].to_numpy(), "choice": [str(c["name"]) for c in picked], "cost": [int(c["cost"]) for c in picked], "risk": [float(c["risk"]) for c in picked], "feasible": bool(fits)}))
-        return pd.concat(out)
+def _searched_together(first: np.ndarray, size: np.ndarray, start: np.ndarray, forms: np.ndarray, cost: np.ndarray, risk: np.ndarray, budgets: tuple[int, ...], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(form of each atom, whether something fits), a row for each budget: what _searched() finds, place by place for many sessions at once.
 
-    kind = atoms.schema["session_id"].dataType.simpleString()
-    return atoms.select("session_id", "place", "candidates").groupBy("session_id").applyInPandas(run, f"session_id {kind}, budget bigint, place bigint, choice string, cost bigint, risk double, feasible boolean")
+    first, size: of a session's atoms; start, forms: of an atom's forms, which are in order of their names. Prefixes lie in order of their names, so that
+    sorts that keep equal ones in their order break ties by names.
+    """
+    order = np.argsort(-size, kind="stable")  # sessions that still have atoms are always the first ones
+    first, size = first[order], size[order]
+    a, b, live = np.zeros((len(order), 1), np.int64), np.zeros((len(order), 1)), np.ones(len(order), np.int64)
+    ends_a, ends_b, ends = np.zeros((len(order), width), np.int64), np.zeros((len(order), width)), np.zeros(len(order), np.int64)
+    ways = []
+    for place in range(int(size[0])):
+        m = int(np.searchsorted(-size, -place, side="left"))
+        a, b, live = a[:m], b[:m], live[:m]
+        at = first[:m] + place
+        most = int(forms[at].max())
+        some = np.arange(most) < forms[at][:, None]
+        form = np.where(some, start[at][:, None] + np.arange(most), 0)
+        grown_a = (a[:, :, None] + cost[form][:, None, :]).reshape(m, -1)
+        grown_b = (b[:, :, None] + risk[form][:, None, :]).reshape(m, -1)
+        there = ((np.arange(a.shape[1]) < live[:, None])[:, :, None] & some[:, None, :]).reshape(m, -1)
+        total = np.where(there, grown_a + RISK_WEIGHT * grown_b, np.inf)
+        best = np.argsort(total, axis=1, kind="stable")
+        by = lambda x: np.take_along_axis(x, best, 1)
+        t, c, d = by(total), by(grown_a), by(grown_b)
+        turned = (t[:, 1:] == t[:, :-1]) & np.isfinite(t[:, 1:]) & ((c[:, 1:] < c[:, :-1]) | (c[:, 1:] == c[:, :-1]) & (d[:, 1:] < d[:, :-1]))
+        again = np.flatnonzero(turned.any(axis=1))
+        if len(again):
+            best[again] = np.lexsort((grown_b[again], grown_a[again], total[again]), axis=1)
+        kept, live = best[:, :width], np.minimum(live * forms[at], width)
+        kept = np.sort(np.where(np.arange(kept.shape[1]) < live[:, None], kept, total.shape[1]), axis=1)
+        kept[kept == total.shape[1]] = 0
+        ways.append(((kept // most).astype(np.int32), (kept % most).astype(np.int32)))
+        a, b = np.take_along_axis(grown_a, kept, 1), np.take_along_axis(grown_b, kept, 1)
+        done = size[:m] == place + 1
+        ends_a[:m][done, : a.shape[1]], ends_b[:m][done, : a.shape[1]], ends[:m][done] = a[done], b[done], live[done]
+    there = np.arange(width) < ends[:, None]
+    picked, fitting = np.zeros((len(budgets), len(start)), np.int64), np.zeros((len(budgets), len(order)), bool)
+    for i, budget in enumerate(budgets):
+        fits = there & (ends_a <= budget)
+        best = np.lexsort((ends_b, ends_a, np.where(fits, ends_a + RISK_WEIGHT * ends_b, np.inf)), axis=1)[:, 0]
+        least = np.lexsort((ends_a, np.where(there, ends_b, np.inf)), axis=1)[:, 0]
+        fitting[i, order] = fits.any(axis=1)
+        end = np.where(fits.any(axis=1), best, least)
+        for place in range(len(ways) - 1, -1, -1):
+            before, which = ways[place]
+            m = len(before)
+            at = first[:m] + place
+            picked[i, at] = start[at] + which[np.arange(m), end[:m]]
+            end[:m] = before[np.arange(m), end[:m]]
+    return picked, fitting
+
+
+def compile_budgets(atoms: DataFrame, budgets: tuple[int, ...], width: int = BEAM, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(session_id, budget, place, choice, cost, risk, feasible): for each atom a representation, under every budget, by one beam search.
 
+    atoms: (session_id, place, candidates array<struct<name, cost, risk>>), one row for each atom in order; keep: further columns to give out. A beam keeps the
+    width best prefixes by cost + RISK_WEIGHT x risk, cost, risk and names; it does not depend on the budget. Of its ends the best that fits wins, or
+    the least risky if none does. Sessions are searched side by side, SESSIONS at a time at most; prefixes share what they
+    have in common, so that a search holds width x atoms links. An atom without a candidate is an error.
+    """
 
-def compile_beam(atoms: DataFrame, budget: int, width: int = BEAM) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("held")
+            rows, lengths = held.flatten(), np.diff(held.offsets.to_numpy())
+            place = rows.field("place").to_numpy()
+            session = np.repeat(np.arange(len(held)), lengths)
+            turn = np.lexsort((place, session))
+            rows, place = rows.take(pa.array(turn)), place[turn]
+            some = rows.field("candidates")
+            forms = some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not forms.all():
+                raise ValueError(f"an atom of {batch.column('session_id')[int(session[np.flatnonzero(forms == 0)[0]])]} has no candidate")
+            options = some.flatten()
+            names = options.field("name").dictionary_encode()
+            rank = np.argsort(np.argsort(np.array(names.dictionary.to_pylist(), object)))
+            by_name = np.lexsort((rank[names.indices.to_numpy()], np.repeat(np.arange(len(forms)), forms)))
+            options = options.take(pa.array(by_name))
+            if options.field("cost").null_count or options.field("risk").null_count:
+                raise ValueError("a candidate has no cost or no risk")
+            cost, risk = options.field("cost").to_numpy().astype(np.int64), options.field("risk").to_numpy().astype(np.float64)
+            first, start = np.cumsum(lengths) - lengths, np.cumsum(forms) - forms
+            at = 0
+            while at < len(lengths):
+                longest = np.maximum.accumulate(lengths[at : at + SESSIONS])
+                n = max(1, int(np.count_nonzero(np.arange(1, len(longest) + 1) * longest * width * 8 <= WAYS)))
+                lo, hi = int(first[at]), int(first[at + n - 1] + lengths[at + n - 1])
+                picked, fits = _searched_together(first[at : at + n] - lo, lengths[at : at + n], start[lo:hi], forms[lo:hi], cost, risk, budgets, width)
+                which = pa.array(np.repeat(np.arange(at, at + n), lengths[at : at + n]))
+                for i, budget in enumerate(budgets):
+                    choice = options.take(pa.array(picked[i]))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "session_id": batch.column("session_id").take(which),
+                            "budget": pa.array(np.full(hi - lo, budget, np.int64)),
+                            "place": pa.array(place[lo:hi]),
+                            "choice": choice.field("name"),
+                            "cost": pa.array(cost[picked[i]]),
+                            "risk": pa.array(risk[picked[i]]),
+                            "feasible": pa.array(np.repeat(fits[i], lengths[at : at + n])),
+                            **{c: rows.field(c).slice(lo, hi - lo) for c in keep},
+                        }
+                    )
+                at += n
+
+    kinds = {f.name: f.dataType.simpleString() for f in atoms.schema}
+    held = F.collect_list(F.struct(F.col("place").cast("bigint").alias("place"), "candidates", *keep)).alias("held")
+    out = f"session_id {kinds['session_id']}, budget bigint, place bigint, choice string, cost bigint, risk double, feasible boolean"
+    return atoms.groupBy("session_id").agg(held).mapInArrow(run, ", ".join([out, *[f"{c} {kinds[c]}" for c in keep]]))
+
+
+def compile_beam(atoms: DataFrame, budget: int, width: int = BEAM, keep: tuple[str, ...] = ()) -> DataFrame:
     """(session_id, place, choice, cost, risk, feasible): compile_budgets() under one budget."""
-    return compile_budgets(atoms, (budget,), width).drop("budget")
+    return compile_budgets(atoms, (budget,), width, keep).drop("budget")
 
 
 def compile_exact(atoms: DataFrame, budget: int, weight: int = int(RISK_WEIGHT)) -> DataFrame:
@@ -177,7 +270,7 @@ def compile_state(masked: DataFrame, events: DataFrame, archive: DataFrame, budg
     """
     # The search, its places and all checks read the same forms and choices: without tables each of them would make them again.
     options = table(verified(table(candidates_of(masked), "candidates"), masked, events, archive), "forms")
-    chosen = table(compile_beam(options, budget).join(options.select("session_id", "place", "atom_id", "rejected"), ["session_id", "place"]), "choices")
+    chosen = table(compile_beam(options, budget, keep=("atom_id", "rejected")), "choices", lies=True)
     form = F.col("choice")
     per = chosen.groupBy("session_id").agg(
         F.sum("cost").alias("cost"),
@@ -199,7 +292,7 @@ def sweep(atoms: DataFrame, budgets: tuple[int, ...], raw: DataFrame) -> DataFra
 
     atoms: candidates_of() with hard; raw: (session_id, raw_tokens). One search serves all budgets.
     """
-    done = compile_budgets(atoms, budgets).join(atoms.select("session_id", "place", "hard"), ["session_id", "place"])
+    done = compile_budgets(atoms, budgets, keep=("hard",))
     per = done.groupBy("session_id", "budget").agg(F.sum("cost").alias("cost"), F.min(~F.col("hard") | (F.col("choice") != "omit")).alias("covered"), F.min("feasible").alias("feasible")).join(raw, "session_id")
     rows = per.groupBy("budget").agg(F.count("*").alias("points"), F.avg(F.col("covered").cast("double")).alias("hard_coverage_rate"), F.avg((~F.col("feasible")).cast("double")).alias("fallback_rate"), F.median("cost").alias("median_cost"), F.median(F.try_divide((F.col("raw_tokens") - F.col("cost")).cast("double"), F.col("raw_tokens"))).alias("median_reduction"))
     good = (F.col("hard_coverage_rate") == 1.0) & (F.col("fallback_rate") <= 0.05)

@@ -34,7 +34,7 @@ def visible(nodes: DataFrame, edges: DataFrame, cutoffs: DataFrame | None = None
 def _atoms(rows: DataFrame, kind: Column | str, key: Column, value: Column, sources: Column, hard: Column | bool, *, status: Column | str = "current", tool: Column | None = None, slot: Column | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    made = rows.select("session_id", lit(kind).alias("atom_type"), key.alias("key"), (none if tool is None else tool).alias("tool_name"), (none if slot is None else slot).alias("slot"), value.alias("value"), lit(status).alias("status"), lit(hard).alias("hard"), F.lit(True).alias("verified"), F.lit(1.0).alias("confidence"), "step_id", "side_effect", F.array_sort(F.array_distinct(sources)).alias("sources"))
+    made = rows.select("session_id", lit(kind).alias("atom_type"), key.alias("key"), (none if tool is None else tool).alias("tool_name"), (none if slot is None else slot).alias("slot"), value.alias("value"), lit(status).alias("status"), lit(hard).alias("hard"), F.lit(True).alias("verified"), F.lit(1.0).alias("confidence"), "step_id", "side_effect", F.sort_array(F.array_distinct(sources)).alias("sources"))
     return made.select(*[stable_id("atom", F.col("session_id"), F.col("atom_type"), F.col("key"), F.coalesce("value", F.lit("")), F.array_join("sources", ",")).alias(c) if c == "atom_id" else F.col(c) for c in COLUMNS])
 
 

@@ -42,6 +42,28 @@ def test_one_search_serves_all_budgets(spark):
         assert one == {k: v for k, v in many.items() if k[1] == budget}
 
 
+def test_sessions_are_searched_side_by_side(spark):
+    """Sessions of unlike lengths at once, with ties in cost and risk, end as each does alone; columns that are kept stay with their atoms."""
+    rng = random.Random(5)
+    options = {(s, p): [(n, rng.choice((0, 1, 2, 18)), rng.choice((0.0, 0.01, 0.02))) for n in rng.sample("abcdef", rng.randrange(1, 6))] for s in range(9) for p in range(1 + 3 * s)}
+    atoms = spark.createDataFrame([(s, p, o, f"{s}-{p}") for (s, p), o in options.items()], f"{OPTIONS}, atom_id string").repartition(1)
+    for width in (2, 16):
+        got = {}
+        for r in compiler.compile_budgets(atoms, (4, 30), width, keep=("atom_id",)).collect():
+            assert r.atom_id == f"{r.session_id}-{r.place}" and (r.choice, r.cost, r.risk) in options[r.session_id, r.place]
+            got.setdefault((r.session_id, r.budget), {})[r.place] = (r.choice, r.feasible)
+        for s in range(9):
+            beam = compiler._searched([[dict(name=n, cost=c, risk=x) for n, c, x in options[s, p]] for p in range(1 + 3 * s)], s, width)
+            for budget in (4, 30):
+                fits = [e for e in beam if e[0] <= budget]
+                link = (min(fits, key=lambda e: (e[0] + compiler.RISK_WEIGHT * e[1], *e[:3])) if fits else min(beam, key=lambda e: (e[1], e[0], e[2])))[3]
+                names = []
+                while link:
+                    names.append(link[1]["name"])
+                    link = link[0]
+                assert got[s, budget] == {p: (n, bool(fits)) for p, n in enumerate(reversed(names))}
+
+
 def test_only_what_holds_is_compiled(spark):
     """A claim of an unverified atom, a handle without content, and atoms without sources or with sources that are no events."""
     columns = "session_id bigint, atom_id string, step_id bigint, atom_type string, key string, value string, hard boolean, verified boolean, archived boolean, omit_allowed boolean, probability double, sources array<string>, raw_ref string"
