@@ -1,8 +1,11 @@
 """Rows of a session stay together: what is kept of stories is not exchanged again."""
 
+from collections import Counter
+
 import pytest
 
 from braidline import scratch
+from braidline.operators import liveness
 from braidline.plans import QUERIES, states
 
 
@@ -33,3 +36,14 @@ def test_settings_come_back(spark, sf_dir):
     assert {k: spark.conf.get(k) for k in scratch.TOGETHER} == scratch.TOGETHER
     QUERIES["exchanges"](spark, sf_dir)
     assert {k: spark.conf.get(k) for k in scratch.TOGETHER} == before and spark.conf.get(scratch.PARTS, None) is None
+
+
+@pytest.mark.parametrize("name", ["liveness_recall", "projected_spans", "reactivation_audit"])
+def test_spans_and_closures_are_made_once(name, spark, sf_dir, monkeypatch):
+    """What spans are judged by is a table: nothing makes stories, spans or what is live again."""
+    calls = Counter()
+    for module, function in ((liveness, "spans"), (liveness, "live_atoms"), (states, "waiting")):
+        real = getattr(module, function)
+        monkeypatch.setattr(module, function, lambda *a, real=real, function=function, **k: calls.update([function]) or real(*a, **k))
+    QUERIES[name](spark, sf_dir)
+    assert calls == {"spans": 1, "live_atoms": 1, "waiting": 1}
