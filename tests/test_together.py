@@ -47,3 +47,9 @@ def test_spans_and_closures_are_made_once(name, spark, sf_dir, monkeypatch):
         monkeypatch.setattr(module, function, lambda *a, real=real, function=function, **k: calls.update([function]) or real(*a, **k))
     QUERIES[name](spark, sf_dir)
     assert calls == {"spans": 1, "live_atoms": 1, "waiting": 1}
+
+
+def test_rows_are_made_without_lambdas(spark, sf_dir):
+    """What explodes is not filtered by a lambda first, which no generated code runs."""
+    _, edges = states.waiting(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    assert "lambda" not in edges._jdf.queryExecution().executedPlan().toString()
